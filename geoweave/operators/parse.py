@@ -22,6 +22,18 @@ _CIVIC_SHAPE = r"^([0-9]+[A-Za-z]?(?:\s+[0-9]+/[0-9]+)?)\s+(.+)$"
 PARSED = ["civic", "name", "type", "direction", "unit"]
 
 
+def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns as the output of a one-row generator.
+
+    A filter on such a column is checked after it is computed. Without this the optimizer would
+    rewrite the filter in terms of the raw text and repeat every step of the parse inside it.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(
+        *kept, F.inline(F.array(F.struct(*[e.alias(n) for n, e in columns.items()])))
+    )
+
+
 def parse_address(df: DataFrame, address: str, prefix: str) -> DataFrame:
     """TX8, TX9: add ``prefix`` + civic, name, type, direction and unit ('' where absent).
 
@@ -83,9 +95,11 @@ def parse_address(df: DataFrame, address: str, prefix: str) -> DataFrame:
     ).otherwise("")
     direction = F.when(ends_in_dir, text.street_direction(last)).otherwise("")
     scratch = [f"{prefix}_{c}" for c in ("rest", "u", "k", "tail", "tokens", "has", "n", "last", "second")]
-    return out.withColumns(
-        {f"{prefix}name": name, f"{prefix}type": kind, f"{prefix}direction": direction}
-    ).drop(*scratch)
+    parts = {
+        f"{prefix}civic": F.col(f"{prefix}civic"), f"{prefix}name": name, f"{prefix}type": kind,
+        f"{prefix}direction": direction, unit: F.col(unit),
+    }
+    return pin(out, parts).drop(*scratch)
 
 
 def parse_requests(df: DataFrame) -> DataFrame:
@@ -103,8 +117,12 @@ def parse_requests(df: DataFrame) -> DataFrame:
     )
     parsed = parse_address(parse_address(staged, "_full", "x_"), "address", "r_")
     tokens = {f"{p}name": text.search_token(F.col(f"{p}name")) for p in ("x_", "r_")}
-    parsed = parsed.withColumns(tokens | {"q_unit": text.normalize_unit(F.col("x_unit"))})
-    return parsed.withColumn("q_civic", text.civic_parts(F.col("x_civic"))).drop("_full")
+    queried = {c: F.col(c) for c in ("q_city", "q_province", "q_postal")}
+    extra = {
+        "q_unit": text.normalize_unit(F.col("x_unit")),
+        "q_civic": text.civic_parts(F.col("x_civic")),
+    }
+    return pin(parsed, tokens | queried | extra).drop("_full")
 
 
 def street_readings() -> Column:

@@ -12,19 +12,23 @@ ROWS_PER_TASK = 1_000_000
 MAX_HOT_KEYS = 2_000
 
 
-def hot_keys(df: DataFrame, keys: list[str], rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """At most MAX_HOT_KEYS rows: the keys of ``df`` that need spreading, with their salt counts.
-
-    The count is combined before the shuffle, so a hot key costs one row per task here.
+def hot_keys(
+    counts: DataFrame, keys: list[str], count: str, rows_per_task: int = ROWS_PER_TASK
+) -> DataFrame | None:
+    """The keys that need spreading, with their salt counts: a local table, or None.
+
+    ``counts`` has one row per key with its number of rows, as left by a grouping that combined
+    before its shuffle. At most MAX_HOT_KEYS rows come back; which keys they are changes only how
+    the work is spread, never the result.
     """
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") > rows_per_task)
-        .orderBy(F.desc("_n"))
+    hot = (
+        counts.where(F.col(count) > rows_per_task)
+        .orderBy(F.desc(count))
         .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
+        .select(*keys, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts"))
     )
+    rows = hot.collect()  # bounded: MAX_HOT_KEYS rows
+    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
 
 
 def salted_join(
@@ -32,31 +36,27 @@ def salted_join(
     right: DataFrame,
     keys: list[str],
     spread_by: list[Column | str],
-    how: str = "left",
-    rows_per_task: int = ROWS_PER_TASK,
+    how: str,
+    hot: DataFrame | None,
 ) -> DataFrame:
-    """Equi-join whose hot left keys are spread over several tasks.
+    """Equi-join whose hot left keys (from ``hot_keys``) are spread over several tasks.
 
     ``right`` rows of a hot key are repeated once per salt; each left row takes exactly one salt,
     taken from ``spread_by`` (columns that tell rows of one key apart), so a retried task gives the
     same salts and every left row meets every matching right row once.
     """
-    hot = F.broadcast(hot_keys(left, keys, rows_per_task))  # bounded: MAX_HOT_KEYS rows
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)  # bounded: MAX_HOT_KEYS rows
+    salts = F.coalesce(F.col("_salts"), F.lit(1))
     salted_left = (
         left.join(hot, keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(
-                F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*spread_by), F.col("_salts"))
-            ).otherwise(F.lit(0)).cast("int"),
-        )
+        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int"))
         .drop("_salts")
     )
     salted_right = (
         right.join(hot, keys, "left")
-        .withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-        )
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
         .drop("_salts")
     )
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions.geometry import bounding_box, edges_contain, ring_edges
-from geoweave.operators.skew import salted_join
+from geoweave.operators.skew import hot_keys, salted_join
 from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
 # Cells the grid aims for, whatever the extent of the boundaries.
@@ -216,7 +216,9 @@ def assign_points(
     x0, y0, x1, y1 = index.box
     inside = F.coalesce(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1), F.lit(False))
     columns = points.columns
-    joined = salted_join(located.where(inside), rows, keys, [pid], "left")
+    within = located.where(inside)
+    per_cell = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    joined = salted_join(within, rows, keys, [pid], "left", hot_keys(per_cell, keys, "n"))
     hit = F.when(
         F.col("ordinal").isNotNull()
         & _holds(F.struct("ordinal", "rings"), F.col("lon"), F.col("lat")),
