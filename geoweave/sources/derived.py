@@ -184,3 +184,49 @@ def provincial_districts(spark: SparkSession, sf_dir: str) -> DataFrame:
             shifted.alias("geom"),
         )
     )
+
+
+# Requests with gaps and faults in every field, one per order.
+FAULTY_REQUESTS_SQL = """
+SELECT o_orderkey AS req_id,
+  CASE o_orderkey % 7 WHEN 0 THEN '' WHEN 1 THEN '  12  Rue   Saint-Denis ' ELSE CAST(o_custkey AS STRING) || ' Main St' END AS address,
+  CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'm5v 2t' || CAST(o_custkey % 10 AS STRING) WHEN 2 THEN '9021' || CAST(o_custkey % 10 AS STRING)
+    WHEN 3 THEN 'K1A0B' || CAST(o_custkey % 10 AS STRING) ELSE 'this text is far too long ' || CAST(o_custkey AS STRING) END AS postal,
+  CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ' Montréal ' WHEN 2 THEN 'Toronto' ELSE 'City of Toronto' END AS city,
+  CASE o_orderkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'Québec' WHEN 2 THEN '35' WHEN 3 THEN 'ont' WHEN 4 THEN 'Narnia' ELSE 'QC' END AS state,
+  CASE o_orderkey % 3 WHEN 0 THEN 'Canada' ELSE '' END AS country,
+  CASE o_orderkey % 8 WHEN 0 THEN CAST(o_custkey % 200 AS DOUBLE) - 95.5 WHEN 1 THEN 43.123456 WHEN 2 THEN 45.5 END AS lat,
+  CASE o_orderkey % 8 WHEN 0 THEN -79.5 WHEN 2 THEN CAST(o_custkey % 500 AS DOUBLE) - 250.25 WHEN 3 THEN -75.25 END AS lon,
+  CASE o_orderkey % 11 WHEN 0 THEN 'municipality' WHEN 1 THEN ' municipality , municipality' WHEN 2 THEN 'colour,municipality' WHEN 3 THEN ' ' END AS return_raw,
+  CASE o_orderkey % 13 WHEN 0 THEN 'TRUE' WHEN 1 THEN ' no ' WHEN 2 THEN 'maybe' WHEN 3 THEN '1' WHEN 4 THEN '' END AS include_raw,
+  CASE o_orderkey % 9 WHEN 0 THEN 'auto' WHEN 1 THEN ' Postal_Centroid ' WHEN 2 THEN 'nearest' WHEN 3 THEN '' END AS method_raw,
+  CASE o_orderkey % 5 WHEN 0 THEN '/api' WHEN 1 THEN '/api/combined' WHEN 2 THEN '/api/qc' WHEN 3 THEN '/other' ELSE '/api/on' END AS path,
+  CASE o_orderkey % 10 WHEN 0 THEN '2022' WHEN 1 THEN '2024' WHEN 2 THEN 'quebecridings-2025.geojson' WHEN 3 THEN '1999' END AS pinned
+FROM {orders}
+"""
+
+# Raw provider answers, three per request, with titles near and far from the request.
+CANDIDATES_SQL = """
+SELECT req_id, pos,
+  CASE (req_id / 10 + pos) % 5 WHEN 0 THEN 'Highway 7, ' || city || ', Ontario'
+    WHEN 1 THEN upper(address) || ', ' || city || ', ' || state
+    WHEN 2 THEN 'Main Street, Vancouver, British Columbia'
+    WHEN 3 THEN substr(address, 1, 5) || ' Route 66, ' || city || ', Quebec'
+    ELSE address || ', ' || upper(city) || ', Ontario' END AS title,
+  CASE WHEN (req_id / 10 + pos) % 3 = 0 THEN 'INTERPOLATED_POSITION' ELSE 'LOCATION' END AS qualifier,
+  CAST((req_id / 10 * 7 + pos * 3) % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS score,
+  CAST(-80 AS DOUBLE) + CAST((req_id + pos) % 100 AS DOUBLE) / CAST(10 AS DOUBLE) AS lon,
+  CAST(43 AS DOUBLE) + CAST((req_id + pos) % 90 AS DOUBLE) / CAST(10 AS DOUBLE) AS lat
+FROM {requests} CROSS JOIN (VALUES (0),(1),(2)) AS u(pos)
+WHERE pos < 1 + req_id / 10 % 3
+"""
+
+
+def faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(FAULTY_REQUESTS_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(
+        CANDIDATES_SQL.replace("req_id / 10", "req_id DIV 10"), requests=requests(spark, sf_dir)
+    )
