@@ -2,7 +2,9 @@
 
 import importlib
 
-QUERY_MODULES = ["spatial_queries", "text_queries", "geocode_queries"]
+QUERY_MODULES = [
+    "spatial_queries", "text_queries", "geocode_queries", "search_queries",
+]
 
 
 def load_queries():

@@ -230,3 +230,27 @@ def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(
         CANDIDATES_SQL.replace("req_id / 10", "req_id DIV 10"), requests=requests(spark, sf_dir)
     )
+
+
+# Search queries, one per tenth address: plain, with civic, with unit, and short prefixes.
+SEARCH_QUERIES_SQL = """
+SELECT id AS query_id,
+  CASE id % 60 WHEN 0 THEN lower(street_name) || ' ' || lower(street_type)
+    WHEN 10 THEN civic_number || ' ' || street_name || ' ' || city
+    WHEN 20 THEN substr(street_name, 1, CAST(2 + id % 3 AS INT))
+    WHEN 30 THEN CASE WHEN unit = '' THEN '7' ELSE unit END || '-' || CAST(1 + 2 * (id % 60) AS STRING) || ' ' || street_name
+    WHEN 40 THEN CAST(1 + id % 119 AS STRING) || ' ' || lower(street_name) || ' street west'
+    ELSE street_name || ' ' || province END AS q,
+  CASE WHEN id % 70 = 0 THEN province END AS province,
+  CASE WHEN id % 50 = 0 THEN lat END AS bias_lat,
+  CASE WHEN id % 50 = 0 THEN lon END AS bias_lon,
+  CASE WHEN id % 80 = 10 THEN CAST(47 AS DOUBLE) END AS box_min_lat,
+  CASE WHEN id % 80 = 10 THEN CAST(48.1 AS DOUBLE) END AS box_max_lat,
+  CASE WHEN id % 80 = 10 THEN CAST(-76 AS DOUBLE) END AS box_min_lon,
+  CASE WHEN id % 80 = 10 THEN CAST(-74.8 AS DOUBLE) END AS box_max_lon
+FROM {addr} WHERE id % 10 = 0
+"""
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(SEARCH_QUERIES_SQL, addr=addresses(spark, sf_dir))
