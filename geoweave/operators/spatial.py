@@ -16,6 +16,7 @@ MIN_CELLS, MAX_CELLS = 1_024, 2_000_000
 # Largest index, in edges, that is broadcast, and most boundaries in one cell of a packed index.
 BROADCAST_MAX_EDGES = 1_000_000
 PACKED_MAX_PER_CELL = 1_000
+MAX_BROADCAST_FEATURES = 50_000
 
 
 def spatial_index(features: DataFrame) -> DataFrame:
@@ -237,11 +238,14 @@ def assign_points(
 def with_district(assigned: DataFrame, features: DataFrame, dataset: str | None = None) -> DataFrame:
     """Put the properties of the assigned boundary on each point.
 
-    Properties come from the feature table, one row per boundary, so the join never multiplies.
+    Properties come from the feature table, one row per boundary, so the join never multiplies. The
+    table is broadcast while its counted size is small; beyond that it is a plain join.
     """
     props = features.select(
         F.col("dataset").alias("_ds"), F.col("ordinal").cast("bigint").alias("ordinal"), "props"
     )
+    if features.count() <= MAX_BROADCAST_FEATURES:
+        props = F.broadcast(props)
     if dataset is None:
         return assigned.join(props.drop("_ds"), "ordinal", "left")
     left = assigned.withColumn("_ds", F.col(dataset))

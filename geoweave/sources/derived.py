@@ -254,3 +254,106 @@ FROM {addr} WHERE id % 10 = 0
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(SEARCH_QUERIES_SQL, addr=addresses(spark, sf_dir))
+
+
+CUSTOMERS_SQL = """
+SELECT c_custkey AS customer_id,
+  CASE c_custkey % 3 WHEN 0 THEN 'free' WHEN 1 THEN 'metered' ELSE 'enterprise' END AS plan,
+  CAST(CASE c_custkey % 5 WHEN 0 THEN 40 WHEN 1 THEN 100 ELSE 0 END AS INT) AS fuse_limit,
+  c_custkey % 7 = 0 AS soft
+FROM {customer}
+"""
+
+# Event rows of jobs: a job is a key and a slot, views are submissions and all else attempts.
+JOB_EVENTS_SQL = """
+SELECT key_id * 100 + event_id % 9 AS job_id, key_id % 25 AS batch_id, CAST(key_id % 4 AS INT) AS priority,
+  CASE WHEN route = 'view' OR event_id % 10 = 3 THEN 'submit' ELSE 'attempt' END AS kind,
+  ok AND key_id % 3 = 0 AND event_id % 4 = 0 AS ok, ms, ts, event_id
+FROM {log}
+"""
+
+# Access requests with origins, and the keys they use.
+ACCESS_LOG_SQL = """
+SELECT event_id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE key_id END AS key_id,
+  CASE event_id % 6 WHEN 0 THEN 'https://a.example.ca' WHEN 1 THEN 'https://SHOP.example.ca:8443/' WHEN 2 THEN 'http://example.ca'
+    WHEN 3 THEN 'https://example.ca.evil.test' WHEN 4 THEN 'http://localhost:3000' END AS origin,
+  CASE WHEN event_id % 4 = 1 THEN 'https://a.example.ca' END AS same_origin
+FROM {log}
+"""
+API_KEYS_SQL = """
+SELECT c_custkey AS key_id, CASE WHEN c_custkey % 11 = 0 THEN 'server' ELSE 'browser' END AS kind,
+  c_custkey % 13 = 0 AS disabled,
+  CASE c_custkey % 4 WHEN 0 THEN 'https://*.example.ca' WHEN 1 THEN 'https://shop.example.ca:8443' WHEN 2 THEN '*' ELSE 'http://localhost:3000' END AS origin1,
+  CASE WHEN c_custkey % 3 = 0 THEN 'http://example.ca/' ELSE '' END AS origin2,
+  CASE c_custkey % 17 WHEN 0 THEN NULL WHEN 1 THEN 999999999 ELSE c_custkey END AS owner
+FROM {customer} WHERE c_custkey % 10 <> 9
+"""
+
+# Comparison cases with two result sets, one per order.
+CASES_SQL = """
+SELECT o_orderkey AS case_id,
+  substr('ABCDEFGI', CAST(1 + o_orderkey % 8 AS INT), 1) AS category,
+  CASE WHEN o_orderkey % 23 = 0 THEN 'Expected divergence here' END AS notes,
+  CASE WHEN o_custkey % 3 = 0 THEN 'District-' || CAST(o_custkey % 7 AS STRING) END AS truth,
+  CAST(CASE o_orderkey % 10 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END AS INT) AS own_status,
+  CASE WHEN o_orderkey % 10 < 2 THEN '{{"code":"C' || CAST(o_orderkey % 4 AS STRING) || '","error":"' ||
+      CASE o_orderkey % 3 WHEN 0 THEN 'Geocoding timeout' WHEN 1 THEN 'Circuit breaker is OPEN' ELSE 'nothing' END || '"}}'
+    WHEN o_orderkey % 10 = 2 THEN '{{"properties":{{"FED_NAME":"District ' || CAST(o_custkey % 7 AS STRING) || '"}},"point":{{"lat":43.5,"lon":-79.25}}}}'
+    WHEN o_orderkey % 10 = 3 THEN '{{"properties":{{}}}}'
+    ELSE '{{"riding":"District-' || CAST(o_custkey % 7 AS STRING) || '","province_data":{{"properties":{{"ENGLISH_NAME":"Prov ' || CAST(o_custkey % 5 AS STRING) || '"}}}}}}' END AS own_raw,
+  CAST(CASE o_orderkey % 12 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE 200 END AS INT) AS other_status,
+  CASE WHEN o_orderkey % 24 = 0 THEN 'no postal or point' END AS other_error,
+  CASE WHEN o_orderkey % 6 = 5 THEN '{{"boundaries_centroid":[],"boundaries_concordance":[]}}'
+    WHEN o_orderkey % 6 = 4 THEN '{{"boundaries_centroid":[{{"name":"X","related":{{"boundary_set_url":"/other/"}}}}],"boundaries_concordance":[{{"name":"district—' || CAST((o_custkey + o_orderkey % 2) % 7 AS STRING) || '","related":{{"boundary_set_url":"/sets/federal/"}}}}]}}'
+    ELSE '{{"boundaries_centroid":[{{"name":"DISTRICT-' || CAST((o_custkey + o_orderkey % 5 % 2) % 7 AS STRING) || '","related":{{"boundary_set_url":"/sets/federal/"}}}}]}}' END AS other_raw,
+  o_totalprice AS ms
+FROM {orders}
+"""
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CUSTOMERS_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(JOB_EVENTS_SQL, log=request_log(spark, sf_dir))
+
+
+def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ACCESS_LOG_SQL, log=request_log(spark, sf_dir))
+
+
+def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.sql(API_KEYS_SQL, customer=table(spark, sf_dir, "customer"))
+    return keys.withColumn("origins", F.array("origin1", "origin2")).drop("origin1", "origin2")
+
+
+def comparison_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(CASES_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+# Requests with hint points on half of them, and requests for the bulk lookup with all fields.
+HINTED_SQL = """
+SELECT req_id, address, CASE WHEN req_id % 20 = 0 THEN '' ELSE postal END AS postal, city, state,
+  CASE WHEN req_id % 3 <> 0 THEN CAST(43 AS DOUBLE) + CAST((req_id * 53 + 5) % 9973 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS lat,
+  CASE WHEN req_id % 3 <> 0 THEN CAST(-80 AS DOUBLE) + CAST((req_id * 71 + 3) % 9967 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS lon
+FROM {requests}
+"""
+BULK_SQL = """
+SELECT req_id, CASE WHEN req_id % 70 = 10 THEN '/other' WHEN req_id % 30 = 0 THEN '/api/combined' WHEN req_id % 30 = 10 THEN '/api' ELSE '/api/on' END AS path,
+  CASE WHEN req_id % 50 < 20 THEN '' ELSE address END AS address, CASE WHEN req_id % 90 = 20 THEN 'much too long to be a postal code' ELSE postal END AS postal,
+  city, state, 'Canada' AS country,
+  CASE WHEN req_id % 50 = 10 THEN CAST(43 AS DOUBLE) + CAST((req_id * 53) % 9973 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 130 = 0 THEN 91.5 END AS lat,
+  CASE WHEN req_id % 50 = 10 THEN CAST(-80 AS DOUBLE) + CAST((req_id * 71) % 9967 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 130 = 0 THEN -79.5 END AS lon,
+  CASE WHEN req_id % 40 = 0 THEN 'municipality' END AS return_raw, CASE WHEN req_id % 60 = 10 THEN 'true' WHEN req_id % 60 = 30 THEN 'no' END AS include_raw,
+  CASE WHEN req_id % 80 = 30 THEN 'postal_centroid' END AS method_raw
+FROM {requests}
+"""
+
+
+def hinted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(HINTED_SQL, requests=requests(spark, sf_dir))
+
+
+def bulk_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BULK_SQL, requests=requests(spark, sf_dir))
