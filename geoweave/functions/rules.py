@@ -128,14 +128,14 @@ def wants_postal_centroid(postal: Column, method: Column) -> Column:
 
 def dataset_of_path(path: Column) -> Column:
     """Dataset of a lookup path; unknown paths fall back to the federal set."""
-    by_path = F.create_map(*[F.lit(x) for d in vocab.DATASETS for x in (d[4], d[1])])
+    by_path = text.literal_map({d[4]: d[1] for d in vocab.DATASETS})
     return F.coalesce(F.try_element_at(by_path, path), F.lit(vocab.FEDERAL_DATASET))
 
 
 def pin_error(path: Column, pinned: Column) -> Column:
     """VA7: a pinned vintage must be the dataset served on the path, by id or year."""
     dataset = dataset_of_path(path)
-    years = F.create_map(*[F.lit(x) for d in vocab.DATASETS for x in (d[1], str(d[3]))])
+    years = text.literal_map({d[1]: str(d[3]) for d in vocab.DATASETS})
     served = (pinned == F.concat(dataset, F.lit(".geojson"))) | (
         pinned == F.element_at(years, dataset)
     )
@@ -148,7 +148,7 @@ def region_match(label: Column, state: Column, city: Column) -> Column:
     has_city = text.null_to_empty(city) != ""
     upper = F.upper(text.null_to_empty(label))
     code = F.coalesce(text.province_code(state), F.upper(text.trim_ws(state)))
-    names = F.create_map(*[F.lit(x) for kv in vocab.PROVINCE_DISPLAY_NAME.items() for x in kv])
+    names = text.literal_map(vocab.PROVINCE_DISPLAY_NAME)
     name = F.try_element_at(names, code)
     city_token = text.search_token(city)
     tokens = F.filter(
@@ -274,7 +274,7 @@ def province_path(props: Column) -> Column:
     paths = {
         alias: d[4] for d in vocab.DATASETS for alias in d[5]
     }
-    by_alias = F.create_map(*[F.lit(x) for kv in paths.items() for x in kv])
+    by_alias = text.literal_map(paths)
     return F.try_element_at(by_alias, text.fold_accents(text.trim_ws(raw)))
 
 

@@ -60,9 +60,21 @@ def search_token(value: Column) -> Column:
     return F.trim(F.regexp_replace(kept, f"{WS}+", " "))
 
 
+def quoted(values) -> str:
+    """Values as SQL string literals. One SQL text is far quicker to build than many literals."""
+    return ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+
+
+def literal_map(mapping: dict[str, str]) -> Column:
+    return F.expr(f"map({quoted(part for item in mapping.items() for part in item)})")
+
+
+def literal_array(values) -> Column:
+    return F.expr(f"array({quoted(values)})")
+
+
 def _lookup(mapping: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(part) for item in mapping.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(literal_map(mapping), key)
 
 
 def province_code(value: Column) -> Column:
@@ -97,12 +109,16 @@ def street_direction(value: Column) -> Column:
     return canonical_direction(search_token(value))
 
 
-def is_street_type(token: Column) -> Column:
-    return token.isin(vocab.STREET_TYPE_TOKENS)
+_IS_TYPE = {t: t for t in vocab.STREET_TYPE_VALUES}
 
 
-def is_direction(token: Column) -> Column:
-    return token.isin(sorted(vocab.STREET_DIRECTION))
+def is_street_type(column: str) -> Column:
+    """Whether a named column holds a known street type."""
+    return F.expr(f"{column} IN ({quoted(vocab.STREET_TYPE_TOKENS)})")
+
+
+def is_direction(column: str) -> Column:
+    return F.expr(f"{column} IN ({quoted(vocab.STREET_DIRECTION)})")
 
 
 def is_canadian_postal(value: Column) -> Column:
@@ -184,11 +200,11 @@ def street_key_parts(key: Column) -> Column:
     parts = F.filter(F.split(key, r"\|"), lambda p: p != "")
     n = F.size(parts)
     last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
-    has_dir = (n > 1) & last.isin(vocab.STREET_DIRECTION_VALUES)
+    has_dir = (n > 1) & F.array_contains(literal_array(vocab.STREET_DIRECTION_VALUES), last)
     type_at = F.when(has_dir, F.lit(-2)).otherwise(F.lit(-1))
     maybe_type = F.coalesce(F.try_element_at(parts, type_at), F.lit(""))
     left = n - F.when(has_dir, 1).otherwise(0)
-    has_type = (left > 1) & maybe_type.isin(vocab.STREET_TYPE_VALUES)
+    has_type = (left > 1) & _lookup(_IS_TYPE, maybe_type).isNotNull()
     name_len = left - F.when(has_type, 1).otherwise(0)
     return F.struct(
         F.array_join(F.slice(parts, F.lit(1), F.greatest(name_len, F.lit(0))), " ").alias("name"),
@@ -230,26 +246,34 @@ def city_candidates(city: Column, province: Column) -> Column:
     ``city`` must be a search token. Own spelling first, then aliases, then the administrative
     prefixes added, then the prefixes stripped together with the aliases of what is left.
     """
-    no_cities = F.array().cast("array<string>")
-    alias_map = F.create_map(
-        *[
-            part
-            for key, names in vocab.CITY_ALIASES.items()
-            for part in (F.lit(key), F.array(*[F.lit(n) for n in names]))
-        ]
+    no_cities = F.expr("CAST(array() AS array<string>)")
+    entries = ", ".join(
+        f"{quoted([key])}, array({quoted(names)})" for key, names in vocab.CITY_ALIASES.items()
     )
+    alias_map = F.expr(f"map({entries})")
 
     def aliases(token: Column) -> Column:
         key = F.concat_ws("|", token, null_to_empty(province))
         return F.coalesce(F.try_element_at(alias_map, key), no_cities)
 
-    added = F.array(*[F.concat(F.lit(p + " "), city) for p in vocab.ADMIN_PREFIXES])
-    groups = [F.array(city), aliases(city), added]
-    for prefix in vocab.ADMIN_PREFIXES:
-        rest = F.trim(F.substring(city, len(prefix) + 2, _REST))
-        strips = city.startswith(prefix + " ") & (rest != "")
-        groups.append(F.when(strips, F.concat(F.array(rest), aliases(rest))).otherwise(no_cities))
-    return F.when(city != "", F.array_distinct(F.concat(*groups))).otherwise(no_cities)
+    added = F.transform(
+        literal_array(vocab.ADMIN_PREFIXES), lambda p: F.concat(p, F.lit(" "), city)
+    )
+    # What is left of the name without a prefix it starts with, and the aliases of that.
+    stripping = F.filter(
+        literal_array(vocab.ADMIN_PREFIXES), lambda p: F.startswith(city, F.concat(p, F.lit(" ")))
+    )
+    stripped = F.flatten(
+        F.transform(
+            stripping,
+            lambda p: F.concat(
+                F.array(F.trim(F.substring(city, F.length(p) + 2, F.length(city)))),
+                aliases(F.trim(F.substring(city, F.length(p) + 2, F.length(city)))),
+            ),
+        )
+    )
+    found = F.array_distinct(F.concat(F.array(city), aliases(city), added, stripped))
+    return F.when(city != "", F.filter(found, lambda c: c != "")).otherwise(no_cities)
 
 
 def sanitize(value: Column, limit: int = 1000) -> Column:

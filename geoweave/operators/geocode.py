@@ -225,7 +225,7 @@ def street_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
     Without one: the mean point of the best street. A unit that is not found ends the step.
     """
     kinds = F.when(F.col("x_type") != "", F.array("x_type")).otherwise(
-        F.array(*[F.lit(t) for t in vocab.DEFAULT_STREET_TYPES])
+        text.literal_array(vocab.DEFAULT_STREET_TYPES)
     )
     key = F.concat_ws(
         "|",
@@ -355,7 +355,7 @@ def postal_hits(queries: DataFrame, store: AddressStore, provinces: list[str],
 
 def city_hits(queries: DataFrame, store: AddressStore, provinces: list[str]) -> DataFrame:
     """GC7: first stored spelling of the city, by province in the given order, then by spelling."""
-    listed = F.array(*[F.lit(p) for p in provinces])
+    listed = text.literal_array(provinces)
     tried = (
         queries.where("q_city <> ''")
         .select(
@@ -466,7 +466,8 @@ def nearest_hits(queries: DataFrame, store: AddressStore, provinces: list[str])
 
 def confidence(method: Column, distance: Column) -> Column:
     """GC11."""
-    fixed = F.create_map(*[F.lit(x) for kv in vocab.CONFIDENCE.items() for x in kv])
+    pairs = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in vocab.CONFIDENCE.items())
+    fixed = F.expr(f"map({pairs})")
     nearest = F.least(
         F.lit(vocab.CONFIDENCE["nearest_neighbor"]),
         F.greatest(F.lit(0.3), 1 - distance / 10000),
@@ -490,7 +491,7 @@ def finish(hits: DataFrame, min_confidence: float) -> DataFrame:
     scored = hits.withColumn("confidence", confidence(F.col("method"), F.col("distance")))
     low = F.col("error_code").isNull() & (F.col("confidence") < min_confidence)
     code = F.when(low, "LOW_CONFIDENCE_GEOCODE").otherwise(F.col("error_code"))
-    fields = F.create_map(*[F.lit(x) for kv in MATCHED_FIELDS.items() for x in kv])
+    fields = text.literal_map(MATCHED_FIELDS)
     ok = F.col("error_code").isNull()
     return scored.withColumn("error_code", code).select(
         "qid",

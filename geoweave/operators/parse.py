@@ -78,8 +78,10 @@ def parse_address(df: DataFrame, address: str, prefix: str) -> DataFrame:
         }
     )
     n, last, second = F.col(f"{prefix}_n"), F.col(f"{prefix}_last"), F.col(f"{prefix}_second")
-    ends_in_dir = has & text.is_direction(last)
-    ends_in_type = has & (text.is_street_type(last) | text.is_street_type(second))
+    ends_in_dir = has & text.is_direction(f"{prefix}_last")
+    ends_in_type = has & (
+        text.is_street_type(f"{prefix}_last") | text.is_street_type(f"{prefix}_second")
+    )
 
     def head(drop: int) -> Column:
         return F.array_join(F.slice(tokens, F.lit(1), F.greatest(n - drop, F.lit(0))), " ")

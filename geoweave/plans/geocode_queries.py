@@ -112,7 +112,7 @@ def geocode_cascade(spark, sf_dir):
 {_BASE}, f AS (SELECT req_id, {O.postal('postal')} AS code, postal, {O.province('state')} AS prov FROM requests),
 c AS (SELECT f.req_id, p.lat, p.lon, row_number() OVER (PARTITION BY req_id ORDER BY p.province) AS rn FROM f JOIN postal_c p ON p.postal_code = f.code
   AND (f.prov IS NULL OR p.province = f.prov) WHERE p.province IN ('ON', 'QC'))
-SELECT f.req_id, CASE WHEN c.req_id IS NOT NULL THEN 'postal_centroid' END AS method, CASE WHEN c.req_id IS NOT NULL THEN 0.85 END AS confidence,
+SELECT f.req_id, CASE WHEN c.req_id IS NOT NULL THEN 'postal_centroid' END AS method, CASE WHEN c.req_id IS NOT NULL THEN CAST(0.85 AS DOUBLE) END AS confidence,
   CASE WHEN c.req_id IS NOT NULL THEN 0 END AS id, round(lat, 6) AS lat, round(lon, 6) AS lon,
   CASE WHEN c.req_id IS NULL THEN CASE WHEN postal = '' OR code IS NULL THEN 'INVALID_QUERY' ELSE 'ADDRESS_NOT_FOUND' END END AS error_code
 FROM f LEFT JOIN c ON c.req_id = f.req_id AND rn = 1""")
@@ -141,14 +141,13 @@ def _nearest(points: str, key: str, where: str = "true", out: str = "nn") -> str
 WITH {O.ADDR}, points AS ({O.POINTS}), {_nearest('points', 'pid')},
 j AS (SELECT p.pid, nn.id, nn.distance, least(0.7, greatest(0.3, 1 - distance / 10000)) AS conf FROM points p LEFT JOIN nn USING (pid)),
 k AS (SELECT *, CASE WHEN id IS NULL OR distance > 25000 THEN 'NO_NEARBY_ADDRESS' WHEN conf < 0.6 THEN 'LOW_CONFIDENCE_GEOCODE' END AS error_code FROM j)
-SELECT pid, CASE WHEN error_code IS NULL THEN id END AS id, round(distance, 3) AS distance,
-  CASE WHEN error_code IS NULL THEN round(conf, 9) END AS confidence, error_code FROM k""")
+SELECT pid, CASE WHEN error_code IS NULL THEN id END AS id, distance,
+  CASE WHEN error_code IS NULL THEN conf END AS confidence, error_code FROM k""")
 def reverse_geocode(spark, sf_dir):
     """GC12, J7."""
     out = G.reverse_geocode(derived.points(spark, sf_dir), store(spark, sf_dir))
     return out.select(
-        "pid", F.col("row.id").alias("id"), F.round("distance", 3).alias("distance"),
-        F.round("confidence", 9).alias("confidence"), "error_code",
+        "pid", F.col("row.id").alias("id"), "distance", "confidence", "error_code",
     )
 
 
@@ -165,14 +164,14 @@ hint_points AS (SELECT r.*, r.hint_lon AS plon FROM rest r JOIN geo USING (req_i
 {_nearest('hint_points', 'req_id', _BOUNDS)},
 fin AS (SELECT g.*, nn.id AS nid, nn.distance, least(0.7, greatest(0.3, 1 - nn.distance / 10000)) AS conf FROM geo g LEFT JOIN nn USING (req_id))
 SELECT req_id, CASE WHEN nid IS NULL THEN method WHEN conf >= 0.6 THEN 'nearest_neighbor' END AS method,
-  CASE WHEN nid IS NULL THEN confidence WHEN conf >= 0.6 THEN round(conf, 9) END AS confidence,
+  CASE WHEN nid IS NULL THEN confidence WHEN conf >= 0.6 THEN conf END AS confidence,
   CASE WHEN nid IS NULL THEN fin.id WHEN conf >= 0.6 THEN nid END AS id,
   CASE WHEN nid IS NULL THEN error_code WHEN conf < 0.6 THEN 'LOW_CONFIDENCE_GEOCODE' END AS error_code FROM fin""")
 def geocode_hinted(spark, sf_dir):
     """GC9 with bounds, and the hint distance rule of GC5."""
     out = G.geocode(derived.hinted_requests(spark, sf_dir), store(spark, sf_dir), PROVINCES)
     return out.select(
-        "req_id", "method", F.round("confidence", 9).alias("confidence"), F.col("row.id").alias("id"), "error_code"
+        "req_id", "method", "confidence", F.col("row.id").alias("id"), "error_code"
     )
 
 
@@ -183,7 +182,7 @@ t AS (SELECT req_id, q_city, p.prov, p.pr FROM f JOIN (VALUES ('ON', 0), ('QC',
 {O.spelling_ctes('t', 'q_city', 'prov', 'sp')},
 h AS (SELECT t.req_id, c.*, row_number() OVER (PARTITION BY t.req_id ORDER BY t.pr, sp.rank) AS rn
   FROM t JOIN sp ON sp.c = t.q_city AND sp.p = t.prov JOIN city_c c ON c.city_key = sp.token || '|' || t.prov)
-SELECT req_id, 'city_centroid' AS method, 0.45 AS confidence, city, round(lat, 6) AS lat, round(lon, 6) AS lon FROM h WHERE rn = 1""")
+SELECT req_id, 'city_centroid' AS method, CAST(0.45 AS DOUBLE) AS confidence, city, round(lat, 6) AS lat, round(lon, 6) AS lon FROM h WHERE rn = 1""")
 def geocode_city(spark, sf_dir):
     """GC7, GC8: the city step, kept with a minimum confidence of 0.4."""
     reqs = requests(spark, sf_dir).select("req_id", "city", "state")
