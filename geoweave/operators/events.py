@@ -24,7 +24,8 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def mean(total: Column, n: Column) -> Column:
-    return F.coalesce(F.floor(F.try_divide(total, n) * 100 + 0.5) / 100, F.lit(0.0))
+    # The sum is rounded first: its last bits depend on the order of adding.
+    return F.coalesce(F.floor(F.try_divide(F.round(total, 6), n) * 100 + 0.5) / 100, F.lit(0.0))
 
 
 # --- quotas -------------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ import importlib
 
 QUERY_MODULES = [
     "spatial_queries", "text_queries", "geocode_queries", "search_queries",
-    "event_queries", "compare_queries",
+    "event_queries", "compare_queries", "stream_queries", "io_queries",
 ]
 
 

@@ -123,7 +123,7 @@ _RATES = """count(*) AS requests, count(*) FILTER (WHERE NOT ok) AS errors, coun
   floor(count(*) FILTER (WHERE NOT ok) * 10000.0 / count(*) + 0.5) / 100 AS error_rate,
   floor(count(*) FILTER (WHERE hit) * 10000.0 / count(*) + 0.5) / 100 AS hit_rate,
   floor(count(*) FILTER (WHERE ok) * 10000.0 / count(*) + 0.5) / 100 AS success_rate,
-  floor(sum(ms) / count(*) * 100 + 0.5) / 100 AS avg_ms"""
+  floor(round(sum(ms), 6) / count(*) * 100 + 0.5) / 100 AS avg_ms"""
 
 
 @query("service_summary", f"""

@@ -15,7 +15,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more shuffle after it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # transformWithState needs this provider.
+    # Call-site capture on every column operation slows the building of long plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Keeps streaming state on disk instead of the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
