@@ -50,14 +50,23 @@ def trim_ws(value: Column) -> Column:
 
 
 def fold_accents(value: Column) -> Column:
-    """TX1: drop accents, upper-case."""
-    return F.upper(F.regexp_replace(F.translate(value, _ACCENTED, _BASE), r"\p{M}", ""))
+    """TX1: drop accents, upper-case. Plain ASCII, told by its byte length, only needs the case."""
+    folded = F.upper(F.regexp_replace(F.translate(value, _ACCENTED, _BASE), r"\p{M}", ""))
+    return F.when(F.octet_length(value) == F.length(value), F.upper(value)).otherwise(folded)
 
 
 def search_token(value: Column) -> Column:
-    """TX2: folded text of letters, digits, space, slash and hyphen; '' for null."""
-    kept = F.regexp_replace(fold_accents(null_to_empty(value)), r"[^A-Z0-9\s\p{Z}\x{FEFF}/-]", "")
-    return F.trim(F.regexp_replace(kept, f"{WS}+", " "))
+    """TX2: folded text of letters, digits, space, slash and hyphen; '' for null.
+
+    Most values are clean tokens once they are in upper case; one check spares them the rest.
+    """
+    upper = F.upper(value)
+    folded = F.upper(F.regexp_replace(F.translate(value, _ACCENTED, _BASE), r"\p{M}", ""))
+    kept = F.regexp_replace(folded, r"[^A-Z0-9\s\p{Z}\x{FEFF}/-]", "")
+    cleaned = F.trim(F.regexp_replace(kept, f"{WS}+", " "))
+    return F.when(upper.rlike("^[A-Z0-9/-]+(?: [A-Z0-9/-]+)*$"), upper).otherwise(
+        null_to_empty(cleaned)
+    )
 
 
 def quoted(values) -> str:
@@ -131,7 +140,8 @@ def postal_code(value: Column) -> Column:
     packed = F.upper(F.regexp_replace(value, f"{WS}+", ""))
     cleaned = F.upper(F.regexp_replace(trim_ws(value), f"{WS}+", " "))
     return (
-        F.when(
+        F.when(value.rlike(r"^[A-Z][0-9][A-Z] [0-9][A-Z][0-9]$"), value)
+        .when(
             packed.rlike(r"^[A-Z][0-9][A-Z][0-9][A-Z][0-9]$"),
             F.concat_ws(" ", F.substring(packed, 1, 3), F.substring(packed, 4, 3)),
         )

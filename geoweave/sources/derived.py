@@ -88,12 +88,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that scans as fewer partitions than there are cores, dealt out over all cores.
+
+    Work per row is heavy here (text rules, containment), so one small file must not mean one task. A
+    table of many files already has more partitions and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(POINTS_SQL, events=table(spark, sf_dir, "events"))
+    return spark.sql(POINTS_SQL, events=spread(table(spark, sf_dir, "events")))
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(ADDR_SQL, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(ADDR_SQL, orders=spread(table(spark, sf_dir, "orders")))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +233,7 @@ WHERE pos < 1 + req_id / 10 % 3
 
 
 def faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(FAULTY_REQUESTS_SQL, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(FAULTY_REQUESTS_SQL, orders=spread(table(spark, sf_dir, "orders")))
 
 
 def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,7 +339,7 @@ def api_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(CASES_SQL, orders=table(spark, sf_dir, "orders"))
+    return spark.sql(CASES_SQL, orders=spread(table(spark, sf_dir, "orders")))
 
 
 # Requests with hint points on half of them, and requests for the bulk lookup with all fields.
