@@ -72,11 +72,13 @@ def build_cell_index(features: DataFrame, side: float | None = None) -> CellInde
         F.sum((F.col("bbox.max_x") - F.col("bbox.min_x")) * (F.col("bbox.max_y") - F.col("bbox.min_y"))),
         F.sum(F.size(F.flatten(F.flatten("geom")))),
         F.min("bbox.min_x"), F.min("bbox.min_y"), F.max("bbox.max_x"), F.max("bbox.max_y"),
+        F.count(F.lit(1)),
     ).first()
-    area, vertices = stats[0] or 1.0, stats[1] or 1
-    box = tuple(stats)[2:] if stats[2] is not None else (0.0, 0.0, 0.0, 0.0)
+    area, vertices, features_n = stats[0] or 1.0, stats[1] or 1, stats[6]
+    box = tuple(stats)[2:6] if stats[2] is not None else (0.0, 0.0, 0.0, 0.0)
     if side is None:
-        target = min(max(vertices, MIN_CELLS), MAX_CELLS)
+        # A few cells per small boundary, a few edges per cell of a detailed one.
+        target = min(max(4 * features_n, vertices // 16, MIN_CELLS), MAX_CELLS)
         side = max(math.sqrt(area / target), max(box[2] - box[0], box[3] - box[1], 1e-6) / 4096)
 
     cells = (
@@ -127,7 +129,9 @@ def build_cell_index(features: DataFrame, side: float | None = None) -> CellInde
         )
         .withColumn(
             "center_in",
-            rings_contain(
+            # Only cells without an edge inside are judged by their centre.
+            ~F.col("enters")
+            & rings_contain(
                 F.col("rings"), (F.col("cx") + 0.5) * side, (F.col("cy") + 0.5) * side
             ),
         )
