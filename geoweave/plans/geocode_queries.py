@@ -11,7 +11,7 @@ from geoweave.operators.aggregates import city_centroids, postal_centroids, stre
 from geoweave.operators.parse import standardize_addresses
 from geoweave.plans import oracle_parts as O
 from geoweave.plans.bulk_lookup import bulk_lookup, precompute_postal
-from geoweave.plans.registry import query
+from geoweave.plans.registry import places, query
 from geoweave.plans.spatial_queries import _PATHS, boundaries, two_level
 from geoweave.session import cut_lineage
 from geoweave.sources import derived
@@ -38,40 +38,40 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _flat(results: DataFrame, key: str = "req_id") -> DataFrame:
     return results.select(
         key, "method", "confidence", F.col("row.id").alias("id"),
-        F.round("row.lat", 9).alias("lat"), F.round("row.lon", 9).alias("lon"), "error_code",
+        places("row.lat").alias("lat"), places("row.lon").alias("lon"), "error_code",
     )
 
 
-_GEO_COLS = "method, confidence, id, round(to_lat, 9) AS lat, round(to_lon, 9) AS lon, error_code"
+_GEO_COLS = "method, confidence, id, round(to_lat + 1e-11, 9) AS lat, round(to_lon + 1e-11, 9) AS lon, error_code"
 _BASE = f"WITH {O.ADDR}, {O.POSTAL}, {O.STREET}, requests AS ({O.REQUESTS})"
 
 
 @query("postal_centroid", f"""
 WITH {O.ADDR}, {O.POSTAL}
-SELECT province, postal_code, round(lat, 9) AS lat, round(lon, 9) AS lon, address_count FROM postal_c""")
+SELECT province, postal_code, round(lat + 1e-11, 9) AS lat, round(lon + 1e-11, 9) AS lon, address_count FROM postal_c""")
 def postal_centroid(spark, sf_dir):
     """AG1."""
     c = postal_centroids(store(spark, sf_dir).addr)
-    return c.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+    return c.withColumns({"lat": places("lat"), "lon": places("lon")})
 
 
 @query("city_centroid", f"""
 WITH {O.ADDR}, {O.CITY}
-SELECT province, city_key, city, round(lat, 9) AS lat, round(lon, 9) AS lon, address_count FROM city_c""")
+SELECT province, city_key, city, round(lat + 1e-11, 9) AS lat, round(lon + 1e-11, 9) AS lon, address_count FROM city_c""")
 def city_centroid(spark, sf_dir):
     """AG2."""
     c = city_centroids(store(spark, sf_dir).addr)
-    return c.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+    return c.withColumns({"lat": places("lat"), "lon": places("lon")})
 
 
 @query("street_range", f"""
 WITH {O.ADDR}, {O.STREET}
-SELECT province, city_key, street_key, min_civic, max_civic, round(lat, 9) AS lat, round(lon, 9) AS lon, address_count
+SELECT province, city_key, street_key, min_civic, max_civic, round(lat + 1e-11, 9) AS lat, round(lon + 1e-11, 9) AS lon, address_count
 FROM street_c""")
 def street_range(spark, sf_dir):
     """AG3."""
     c = street_ranges(store(spark, sf_dir).addr)
-    return c.withColumns({"lat": F.round("lat", 9), "lon": F.round("lon", 9)})
+    return c.withColumns({"lat": places("lat"), "lon": places("lon")})
 
 
 @query("geocode_exact", f"""
@@ -86,7 +86,7 @@ def geocode_exact(spark, sf_dir):
 
 @query("geocode_street", f"""
 {_BASE}, {O.cascade_ctes('requests', 'req_id', PROVINCES)}
-SELECT req_id, id, round(to_lat, 9) AS lat, round(to_lon, 9) AS lon FROM steps WHERE step = 2""")
+SELECT req_id, id, round(to_lat + 1e-11, 9) AS lat, round(to_lon + 1e-11, 9) AS lon FROM steps WHERE step = 2""")
 def geocode_street(spark, sf_dir):
     """GC3, GC4 on the requests that have no exact match."""
     s = store(spark, sf_dir)
@@ -96,7 +96,7 @@ def geocode_street(spark, sf_dir):
     hits = G.street_hits(rest, s)
     return hits.select(
         F.col("qid").alias("req_id"), F.col("row.id").alias("id"),
-        F.round("row.lat", 9).alias("lat"), F.round("row.lon", 9).alias("lon"),
+        places("row.lat").alias("lat"), places("row.lon").alias("lon"),
     )
 
 
@@ -113,7 +113,7 @@ def geocode_cascade(spark, sf_dir):
 c AS (SELECT f.req_id, p.lat, p.lon, row_number() OVER (PARTITION BY req_id ORDER BY p.province) AS rn FROM f JOIN postal_c p ON p.postal_code = f.code
   AND (f.prov IS NULL OR p.province = f.prov) WHERE p.province IN ('ON', 'QC'))
 SELECT f.req_id, CASE WHEN c.req_id IS NOT NULL THEN 'postal_centroid' END AS method, CASE WHEN c.req_id IS NOT NULL THEN CAST(0.85 AS DOUBLE) END AS confidence,
-  CASE WHEN c.req_id IS NOT NULL THEN 0 END AS id, round(lat, 9) AS lat, round(lon, 9) AS lon,
+  CASE WHEN c.req_id IS NOT NULL THEN CAST(0 AS BIGINT) END AS id, round(lat + 1e-11, 9) AS lat, round(lon + 1e-11, 9) AS lon,
   CASE WHEN c.req_id IS NULL THEN CASE WHEN postal = '' OR code IS NULL THEN 'INVALID_QUERY' ELSE 'ADDRESS_NOT_FOUND' END END AS error_code
 FROM f LEFT JOIN c ON c.req_id = f.req_id AND rn = 1""")
 def geocode_postal(spark, sf_dir):
@@ -182,14 +182,14 @@ t AS (SELECT req_id, q_city, p.prov, p.pr FROM f JOIN (VALUES ('ON', 0), ('QC',
 {O.spelling_ctes('t', 'q_city', 'prov', 'sp')},
 h AS (SELECT t.req_id, c.*, row_number() OVER (PARTITION BY t.req_id ORDER BY t.pr, sp.rank) AS rn
   FROM t JOIN sp ON sp.c = t.q_city AND sp.p = t.prov JOIN city_c c ON c.city_key = sp.token || '|' || t.prov)
-SELECT req_id, 'city_centroid' AS method, CAST(0.45 AS DOUBLE) AS confidence, city, round(lat, 9) AS lat, round(lon, 9) AS lon FROM h WHERE rn = 1""")
+SELECT req_id, 'city_centroid' AS method, CAST(0.45 AS DOUBLE) AS confidence, city, round(lat + 1e-11, 9) AS lat, round(lon + 1e-11, 9) AS lon FROM h WHERE rn = 1""")
 def geocode_city(spark, sf_dir):
     """GC7, GC8: the city step, kept with a minimum confidence of 0.4."""
     reqs = requests(spark, sf_dir).select("req_id", "city", "state")
     out = G.geocode(reqs, store(spark, sf_dir), PROVINCES, min_confidence=0.4)
     return out.where("method = 'city_centroid'").select(
         "req_id", "method", "confidence", F.col("row.city").alias("city"),
-        F.round("row.lat", 9).alias("lat"), F.round("row.lon", 9).alias("lon"),
+        places("row.lat").alias("lat"), places("row.lon").alias("lon"),
     )
 
 
@@ -239,7 +239,7 @@ placed AS (
   UNION ALL SELECT req_id, method, to_lat, to_lon, error_code FROM geo)"""
 
 
-@query("geocode_mixed", f"{_BULK} SELECT req_id, method, round(to_lat, 9) AS lat, round(to_lon, 9) AS lon, err AS error_code FROM placed")
+@query("geocode_mixed", f"{_BULK} SELECT req_id, method, round(to_lat + 1e-11, 9) AS lat, round(to_lon + 1e-11, 9) AS lon, err AS error_code FROM placed")
 def geocode_mixed(spark, sf_dir):
     """GC14 on the valid requests of the bulk input."""
     bulk = derived.bulk_requests(spark, sf_dir)
@@ -250,7 +250,7 @@ def geocode_mixed(spark, sf_dir):
     )
     valid = bulk.withColumns({"geocode_method": rules.geocode_method(c("method_raw")), "_e": error}).where("_e IS NULL")
     out = G.geocode_mixed(valid.drop("_e"), store(spark, sf_dir), PROVINCES)
-    return out.select("req_id", "method", F.round("to_lat", 9).alias("lat"), F.round("to_lon", 9).alias("lon"), "error_code")
+    return out.select("req_id", "method", places("to_lat").alias("lat"), places("to_lon").alias("lon"), "error_code")
 
 
 @query("bulk_lookup", f"""{_BULK},

@@ -11,7 +11,7 @@ from geoweave.operators.aggregates import (
 )
 from geoweave.plans import oracle_parts as O
 from geoweave.plans.geocode_queries import store
-from geoweave.plans.registry import query
+from geoweave.plans.registry import places, query
 from geoweave.sources import derived
 
 _SQ = derived.SEARCH_QUERIES_SQL.format(addr="addr_raw")
@@ -136,7 +136,7 @@ k AS (
     WHEN unit_total > 1 THEN 'building' ELSE 'premise' END AS kind FROM j)
 SELECT query_id, rank, kind, CASE WHEN kind = 'building' THEN unit_total END AS unit_count,
   CASE WHEN kind IN ('premise', 'ranged') THEN 'lookup' ELSE 'search' END AS next,
-  round(CASE WHEN a.id IS NOT NULL THEN a.lat ELSE k.lat END, 9) AS lat, round(CASE WHEN a.id IS NOT NULL THEN a.lon ELSE k.lon END, 9) AS lon,
+  round(CASE WHEN a.id IS NOT NULL THEN a.lat ELSE k.lat END + 1e-11, 9) AS lat, round(CASE WHEN a.id IS NOT NULL THEN a.lon ELSE k.lon END + 1e-11, 9) AS lon,
   CASE WHEN a.id IS NOT NULL THEN concat_ws(', ', a.city, a.province, nullif(a.postal_code, '')) ELSE k.city || ', ' || k.doc_province END AS secondary_text,
   CASE WHEN kind = 'premise' AND a.unit <> '' THEN a.unit || '-' || k.civic WHEN kind <> 'street' THEN CAST(k.civic AS VARCHAR) ELSE '' END AS lead
 FROM k LEFT JOIN addr a ON a.id = CASE WHEN kind = 'premise' AND unit_id IS NOT NULL THEN unit_id WHEN kind IN ('premise', 'building') THEN first_id END""")
@@ -146,7 +146,7 @@ def suggest_leaves(spark, sf_dir):
     ranked = G.cut_lineage(G.search_streets(derived.search_queries(spark, sf_dir), index), "ranked")
     return G.resolve_leaves(ranked, addr).select(
         "query_id", F.col("rank").cast("bigint").alias("rank"), "kind", "unit_count", "next",
-        F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "secondary_text",
+        places("lat").alias("lat"), places("lon").alias("lon"), "secondary_text",
         F.when(F.col("kind") == "street", "").otherwise(F.substring_index("main_text", " ", 1)).alias("lead"),
     )
 

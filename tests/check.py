@@ -7,7 +7,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
 from geoweave.session import local_session  # noqa: E402
-from tests.harness import compare, duck  # noqa: E402
+from tests.harness import compare, duck, type_differences  # noqa: E402
 
 if __name__ == "__main__":
     sf_dir = f"/root/testdata/sf{sys.argv[1]}"
@@ -22,6 +22,9 @@ if __name__ == "__main__":
             df = known[name](spark, sf_dir)
             if name in oracles:
                 problems = compare(df, con, oracles[name])
+                differing = type_differences(df, con, oracles[name])
+                if differing:
+                    print("     types", name, differing, flush=True)
             else:
                 problems = [] if df.count() else ["no rows"]
         except Exception as error:  # report and go on

@@ -52,3 +52,18 @@ def compare(df, con, sql: str) -> list[str]:
             f"cols {sorted(columns)}\n  only spark ({len(a - b)}): {extra}\n  only sql ({len(b - a)}): {missing}"
         )
     return problems
+
+
+_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
+def type_differences(df, con, sql: str) -> list[str]:
+    """Columns whose types differ between the two engines."""
+    want = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [
+        f"{name}: {kind} vs {want.get(name)}" for name, kind in df.dtypes
+        if _TYPES.get(kind) != want.get(name)
+    ]
