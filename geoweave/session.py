@@ -15,13 +15,17 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A skewed join is split even when that costs one more shuffle after it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Call-site capture on every column operation slows the building of long plans.
-    "spark.python.sql.dataFrameDebugging.enabled": "false",
     # Keeps streaming state on disk instead of the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
+# Settings that only a new session can take.
+START_CONF = {
+    # Call-site capture on every column operation slows the building of long plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 # Largest table, in rows, that is ever broadcast by hint. Callers check the size first.
 BROADCAST_MAX_ROWS = 200_000
 
@@ -47,7 +51,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", "8")
     )
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    for key, value in {**START_CONF, **RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
