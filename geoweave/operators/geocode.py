@@ -12,7 +12,7 @@ from geoweave.operators.aggregates import city_centroids, postal_centroids, stre
 from geoweave.operators.asof import neighbours
 from geoweave.operators.nearest import nearest_address
 from geoweave.operators.parse import parse_requests, street_readings
-from geoweave.operators.skew import hot_keys, salted_join
+from geoweave.operators.skew import hot_keys, salted_join, spread_join
 from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
 ADDRESS_FIELDS = [
@@ -199,7 +199,9 @@ def exact_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
             "key_province",
         ).alias("search_key"),
     )
-    hits = keyed.join(store.by_search_key, ["search_key", "want_unit"])
+    hits = spread_join(
+        keyed, store.by_search_key, ["search_key", "want_unit"], ["qid", "city_rank"], "inner"
+    )
     best = hits.groupBy("qid").agg(
         F.min_by(
             F.struct("row", "city_rank"), F.struct("city_rank", "reading_rank", "row_order")
@@ -259,8 +261,10 @@ def street_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
     # Best street that exists, for the two fallbacks.
     streets = store.streets.select("city_key", "street_key", "lat", "lon", "province")
     best_street = (
-        tried.where(~(numbered & (F.col("q_unit") != "")))
-        .join(streets, ["city_key", "street_key"])
+        spread_join(
+            tried.where(~(numbered & (F.col("q_unit") != ""))), streets,
+            ["city_key", "street_key"], ["qid", "city_rank"], "inner",
+        )
         .groupBy("qid")
         .agg(
             F.min_by(
@@ -334,7 +338,7 @@ def postal_hits(queries: DataFrame, store: AddressStore, provinces: list[str],
         lambda o: F.col("q_province").isNull() | (o["province"] == F.col("q_province")),
     )
     found = (
-        wanted.join(centroids, "postal_code")
+        spread_join(wanted, centroids, ["postal_code"], ["qid"], "inner")
         .withColumn("c", F.try_element_at(pick, F.lit(1)))
         .where("c IS NOT NULL")
     )
@@ -525,7 +529,7 @@ def geocode_queries(
     valid = parsed.where("early_error IS NULL").drop("early_error")
     exact = cut_lineage(exact_hits(city_spellings(valid, store), store), "exact")
     # The later steps only see what the exact step left over.
-    rest = valid.join(exact.select("qid"), "qid", "left_anti")
+    rest = cut_lineage(valid.join(exact.select("qid"), "qid", "left_anti"), "rest")
     hits = early.unionByName(exact)
     hits = hits.unionByName(street_hits(city_spellings(rest, store), store))
     hits = hits.unionByName(postal_hits(rest, store, provinces))

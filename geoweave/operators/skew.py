@@ -60,3 +60,14 @@ def salted_join(
         .drop("_salts")
     )
     return salted_left.join(salted_right, keys + ["_salt"], how).drop("_salt")
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[Column | str], how: str
+) -> DataFrame:
+    """``salted_join`` that counts the keys of ``left`` itself.
+
+    The count reads ``left`` once more, so ``left`` should come from a written table.
+    """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return salted_join(left, right, keys, spread_by, how, hot_keys(counts, keys, "_rows"))
