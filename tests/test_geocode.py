@@ -100,3 +100,19 @@ def test_csv_file(spark, tmp_path):
     assert (row[0].province, row[0].civic_number, row[0].street_type, row[0].full_address) == (
         "ON", "56", "CRESCENT", '56 "R" CRESCENT, AJAX')
     assert sorted(r.reject_reason for r in bad.collect()) == ["no coordinates", "unknown province"]
+
+
+def test_cascade_with_every_repeated_key_salted(spark, sf_dir, monkeypatch):
+    """The same results when each key with more than one row counts as hot."""
+    from geoweave.operators import skew
+    from geoweave.plans.geocode_queries import PROVINCES, store
+    from geoweave.sources import derived
+
+    flat = lambda df: sorted(
+        (r.req_id, r.method, r.error_code, r.row.id if r.row else None) for r in df.collect()
+    )
+    addresses, reqs = store(spark, sf_dir), derived.requests(spark, sf_dir)
+    reqs = reqs.unionByName(reqs.withColumn("req_id", F.col("req_id") + 1_000_000))
+    plain = flat(G.geocode(reqs, addresses, PROVINCES))
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (1,))
+    assert flat(G.geocode(reqs, addresses, PROVINCES)) == plain
