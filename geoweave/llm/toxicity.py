@@ -20,44 +20,49 @@ TABLE_BITS = 20
 # Added to the counts of both classes before their ratio is taken.
 SMOOTHING = 1.0
 # Features that the fit uses: those whose counts tell the classes apart best.
-FIT_FEATURES = 20_000
+FIT_FEATURES = 2_000
 # Labelled rows that the weights are fitted on; the counts and ratios are of all labelled rows.
 FIT_ROWS = 20_000
 # Characters of a text that are hashed at a time.
 TEXT_BLOCK = 1 << 18
 FIT_STEPS = 300
-RIDGE = 1e-4
+POSITIVE_WEIGHT = 2.0
+RIDGE = 1e-3
 
 
-def _features(text: str | None, seen: np.ndarray, orders=ORDERS, bits: int = TABLE_BITS) -> np.ndarray:
-    """The distinct hashed n-grams of a text, lower-cased, between two line feeds.
-
-    ``seen`` is a scratch array of the table's size that is all false, before and after.
-    """
+def _slots(text: str | None, orders: tuple[int, ...], bits: int) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a text, lower-cased, between two line feeds; repeats included."""
     points = np.frombuffer(f"\n{(text or '').lower()}\n".encode("utf-32-le"), np.uint32)
-    found, reach = [], max(orders) - 1
+    reach = max(orders) - 1
     for at in range(0, max(1, len(points) - reach), TEXT_BLOCK):
-        block = points[at : at + TEXT_BLOCK + reach]
-        mixed = block * np.uint32(0x9E3779B1)
-        rolled = np.zeros(len(block), np.uint32)
-        for i in range(max(orders)):
-            n = len(block) - i
-            if n <= 0:
-                break
-            rolled = (rolled[:n] ^ mixed[i:]) * np.uint32(0x85EBCA6B) + np.uint32(i + 1)
+        mixed = points[at : at + TEXT_BLOCK + reach] * np.uint32(0x9E3779B1)
+        rolled = np.zeros(len(mixed), np.uint32)
+        for i in range(min(max(orders), len(mixed))):
+            rolled = (rolled[: len(mixed) - i] ^ mixed[i:]) * np.uint32(0x85EBCA6B) + np.uint32(i + 1)
             rolled ^= rolled >> np.uint32(15)
             if i + 1 in orders:
-                slot = (rolled * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
-                new = slot[~seen[slot]]
-                seen[new] = True
-                found.append(new)
-    if not found:
-        return np.zeros(0, np.int64)
-    slots = np.concatenate(found)
-    once = slots[seen[slots]]
+                yield (rolled * np.uint32(0xC2B2AE35)) >> np.uint32(32 - bits)
+
+
+def _distinct(text: str | None, seen: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """The distinct slots of a text. ``seen`` has the table's size and is all false, before and after."""
+    found = []
+    for slot in _slots(text, orders, bits):
+        new = np.unique(slot[~seen[slot]])
+        seen[new] = True
+        found.append(new)
+    slots = np.concatenate(found) if found else np.zeros(0, np.uint32)
     seen[slots] = False
-    # ``new`` may hold a slot more than once in one block.
-    return np.unique(once).astype(np.int64)
+    return slots
+
+
+def _chosen(text: str | None, place: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    """Numbers, by ``place``, of the distinct slots of a text that have one (others: negative)."""
+    found = []
+    for slot in _slots(text, orders, bits):
+        at = place[slot]
+        found.append(at[at >= 0])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, place.dtype)
 
 
 def sum_by_slot(labelled: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
@@ -68,7 +73,7 @@ def sum_by_slot(labelled: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
         seen, counts = np.zeros(size, bool), np.zeros((2, size + 1), np.int64)
         for batch in batches:
             for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
-                counts[toxic, _features(text.as_py(), seen)] += 1
+                counts[toxic, _distinct(text.as_py(), seen, ORDERS, bits)] += 1
                 counts[toxic, size] += 1
         slot = np.flatnonzero(counts.any(axis=0))
         for i in range(0, len(slot), 100_000):
@@ -83,17 +88,18 @@ def sum_by_slot(labelled: DataFrame, bits: int = TABLE_BITS) -> DataFrame:
 
 @dataclass
 class Model:
-    """Slots with a weight, their weights, the intercept and the table's size."""
+    """Slots that have a weight, their weights, the intercept and the table's size."""
 
     slots: np.ndarray
     weights: np.ndarray
     intercept: float
     bits: int = TABLE_BITS
 
-    def table(self) -> np.ndarray:
-        full = np.zeros(1 << self.bits, np.float32)
-        full[self.slots] = self.weights
-        return full
+
+def _places(slots: np.ndarray, bits: int) -> np.ndarray:
+    place = np.full(1 << bits, -1, np.int32)
+    place[slots] = np.arange(len(slots), dtype=np.int32)
+    return place
 
 
 def _ratios(counts: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,20 +132,23 @@ def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[
     if not n or toxic.min() == toxic.max():
         share = (toxic.sum() + 1) / (n + 2)
         return w, float(np.log(share / (1 - share)))
-    b = float(np.log(toxic.mean() / (1 - toxic.mean())))
+    b = 0.0
+    # Both classes count alike, up to POSITIVE_WEIGHT times a row of the rarer one.
+    weight = np.where(toxic == 1, min(POSITIVE_WEIGHT, (1 - toxic).sum() / toxic.sum()), 1.0)
+    weight /= weight.mean()
     # The largest singular value of the rows, by power iteration, bounds the curvature.
     u, norm = np.ones(len(ratio)), 1.0
     for _ in range(20):
         u = u / np.linalg.norm(u)
         u = np.bincount(col, value * np.bincount(row, value * u[col], n)[row], len(ratio))
         norm = max(np.linalg.norm(u), 1e-9)
-    step = 1 / (0.25 * (1.2 * norm / n + 1) + RIDGE)
+    step = 1 / (0.25 * weight.max() * (1.2 * norm / n + 1) + RIDGE)
     past_w, past_b = w.copy(), b
     for k in range(FIT_STEPS):
         ahead = k / (k + 3)
         at_w, at_b = w + ahead * (w - past_w), b + ahead * (b - past_b)
         z = np.bincount(row, value * at_w[col], n) + at_b
-        wrong = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic
+        wrong = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
         past_w, past_b = w, b
         w = at_w - step * (np.bincount(col, value * wrong[row], len(ratio)) / n + RIDGE * at_w)
         b = at_b - step * wrong.mean()
@@ -157,18 +166,12 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
     labelled = written(labelled.where("toxic in (0, 1)").select(F.col("text"), F.col("toxic").cast("int").alias("toxic")), "toxic_labelled")
     counts = sum_by_slot(labelled, bits).toPandas()
     slots, ratio = _ratios(counts, bits)
-    place = np.full(1 << bits, -1, np.int32)
-    place[slots] = np.arange(len(slots))
     context = labelled.sparkSession.sparkContext
-    shared = context.broadcast(place)  # 4 bytes per slot of the table
+    shared = context.broadcast(_places(slots, bits))  # 4 bytes per slot of the table
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << bits, bool)
         for batch in batches:
-            found = []
-            for text in batch.column("text"):
-                f = shared.value[_features(text.as_py(), seen)]
-                found.append(f[f >= 0])
+            found = [_chosen(text.as_py(), shared.value, ORDERS, bits) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
 
     chosen = labelled.orderBy(F.xxhash64("text"), "toxic").limit(fit_rows) if labelled.count() > fit_rows else labelled
@@ -186,12 +189,12 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
 
 
 def _scorer(spark: SparkSession, model: Model):
-    """Scores of the texts of a batch, for use inside a task; the model's table is broadcast."""
-    shared = spark.sparkContext.broadcast((model.table(), model.intercept))  # 4 bytes per slot
+    """Scores of a batch of texts, for use inside a task; the model is broadcast."""
+    shared = spark.sparkContext.broadcast((_places(model.slots, model.bits), model.weights, model.intercept, model.bits))
 
-    def score(texts: pa.Array, seen: np.ndarray) -> np.ndarray:
-        table, intercept = shared.value
-        z = [float(table[_features(t.as_py(), seen)].sum(dtype=np.float64)) for t in texts]
+    def score(texts: pa.Array) -> np.ndarray:
+        place, weights, intercept, bits = shared.value
+        z = [float(weights[_chosen(t.as_py(), place, ORDERS, bits)].sum()) for t in texts]
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64) + intercept, -40, 40)))
 
     return score
@@ -199,26 +202,24 @@ def _scorer(spark: SparkSession, model: Model):
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``score`` per row of ``docs``; null texts count as empty, other columns are ignored."""
-    score, size = _scorer(docs.sparkSession, model), 1 << model.bits
+    score = _scorer(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, bool)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text"), seen))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score(batch.column("text")))], ["doc_id", "score"])
 
     return take(docs, "doc_id", "text").mapInArrow(run, "doc_id bigint, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score below ``threshold``; all columns stay, nothing is shuffled."""
-    score, size, names = _scorer(docs.sparkSession, model), 1 << model.bits, docs.columns
+    score, names = _scorer(docs.sparkSession, model), docs.columns
     text = names.index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(size, bool)
         for batch in batches:
-            yield batch.filter(pa.array(score(batch.column(text), seen) < threshold))
+            yield batch.filter(pa.array(score(batch.column(text)) < threshold))
 
     return plain.mapInArrow(run, plain.schema).toDF(*names)
 
