@@ -70,14 +70,15 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 16
     )
     key = ["digest", "text_sha256"]
     firsts = (
-        rows.join(groups, key)
+        rows.join(small(groups), key)
         .where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
         .groupBy(*key)
         .agg(F.min("tag").alias("keep_tag"))
     )
-    chosen = groups.join(firsts, key)
+    # Written, so that the join with all rows is a plain one, whose large keys can be split.
+    chosen = written(groups.join(firsts, key), "exact_chosen")
     alone = F.col("group_size").isNull()
-    return rows.join(chosen, key, "left").select(
+    return rows.join(small(chosen), key, "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import exact, packing, simhash, toxicity
+from geoweave.llm import exact, licenses, packing, shards, simhash, toxicity, warc
 from geoweave.llm.common import prepared
+from geoweave.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,3 +68,31 @@ def op7(table):
 def op10(table):
     """Exact duplicates of all documents; the largest id of each group stays."""
     return exact.exact_groups(table("documents"), keep="largest")
+
+
+@query("op2_license_scan", licenses.scan_sql())
+def op2(table):
+    """Lines and texts of all documents that are like a licence notice."""
+    return licenses.scan(table("documents"))
+
+
+@query("op8_warc")
+def op8(table):
+    """All pages written to WARC archives and read back."""
+    pages = table("pages")
+    folder = scratch_path(pages.sparkSession, "warc")
+    manifest = warc.write_archives(pages, folder)
+    return warc.read_chunks(pages.sparkSession, manifest, folder, payload=False).where("last").select(
+        "page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
+    )
+
+
+@query("op9_token_shards")
+def op9(table):
+    """Token sequences of all documents written in training order and read back."""
+    docs = table("documents")
+    folder = scratch_path(docs.sparkSession, "shards")
+    manifest = shards.write_shards(docs, folder)
+    return shards.read_slots(docs.sparkSession, manifest, folder).select(
+        "slot", "shard", "doc_id", "piece", "length", F.crc32("ids").alias("ids_crc32")
+    )
