@@ -22,6 +22,9 @@ SHARD_BYTES = 1 << 28
 # Bytes of records that a reading task hands on at a time.
 BATCH_BYTES = 1 << 22
 _ID = np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4")])
+_MANIFEST = pa.schema(
+    [("shard", pa.int32()), ("records", pa.int64()), ("bytes", pa.int64()), ("crc32", pa.int64()), ("file", pa.string())]
+)
 _NULL_ID = np.iinfo(np.int64).min
 
 
@@ -125,7 +128,7 @@ def write_shards(docs: DataFrame, folder: str, tokens: int = SEQUENCE_TOKENS, ke
 
         def finish() -> pa.RecordBatch:
             size = target.commit()
-            return pa.RecordBatch.from_pylist([{"shard": now, "records": records, "bytes": size, "crc32": crc, "file": f"shard-{now:06d}.bin"}])
+            return pa.RecordBatch.from_pylist([{"shard": now, "records": records, "bytes": size, "crc32": crc, "file": f"shard-{now:06d}.bin"}], _MANIFEST)
 
         for batch in batches:
             shard = batch.column("shard").to_numpy()
