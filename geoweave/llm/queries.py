@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import exact, licenses, packing, shards, simhash, toxicity, warc
+from geoweave.llm import exact, licenses, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
 from geoweave.llm.common import prepared
 from geoweave.session import scratch_path
 
@@ -96,3 +96,26 @@ def op9(table):
     return shards.read_slots(docs.sparkSession, manifest, folder).select(
         "slot", "shard", "doc_id", "piece", "length", F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op3_token_counts")
+def op3(table):
+    """Token counts of all documents before and after three edits of each."""
+    states = token_counts.build_trees(table("documents")).withColumn("edits", token_counts.sample_edits())
+    edited = token_counts.apply_edits(states)
+    return edited.select(
+        "doc_id", "tokens_before", F.element_at("tokens", 2).alias("tokens_after"), F.element_at("chars", 2).alias("chars_after"),
+        "recounted_chars", F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
+    )
+
+
+@query("op4_sampled_pieces")
+def op4(table):
+    """Three distinct sampled segmentations of every document."""
+    return pieces.sample(table("documents"), with_ids=False)
+
+
+@query("op5_near_vectors")
+def op5(table):
+    """Near-duplicate embeddings: links and components."""
+    return vectors.near_vectors(table("embeddings"))

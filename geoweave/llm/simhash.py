@@ -147,11 +147,16 @@ def _spread(rows: DataFrame, centres: int, guests: int) -> DataFrame:
     ).drop("cs", "gs")
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    # Unsigned: of a negative number, the bits of its absolute value would be counted.
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def _links(key: np.ndarray, fp: np.ndarray, guest: np.ndarray, bits: int):
     """Links (a, b) of complete groups of equal key whose centres come first."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    centres = np.add.reduceat(guest == 0, start).astype(np.int64)
+    centres = np.add.reduceat((guest == 0).astype(np.int64), start)
     use = (size > 1) & (centres > 0)
     start, size, centres = start[use], size[use], centres[use]
     pairs = size * centres
@@ -163,13 +168,13 @@ def _links(key: np.ndarray, fp: np.ndarray, guest: np.ndarray, bits: int):
         group = np.repeat(np.arange(len(s)), count)
         at = np.arange(len(group)) - np.repeat(np.cumsum(count) - count, count)
         a, b = fp[s[group] + at % c[group]], fp[s[group] + at // c[group]]
-        near = (np.bitwise_count(a ^ b) <= bits) & (a != b)
+        near = (_distance(a, b) <= bits) & (a != b)
         out.append((a[near], b[near]))
     for s, n, c in zip(start[~low], size[~low], centres[~low], strict=True):
         step = max(1, PAIRS_AT_ONCE // n)
         for i in range(0, c, step):
             a = fp[s + i : s + min(i + step, c)]
-            x, y = np.nonzero(np.bitwise_count(a[:, None] ^ fp[None, s : s + n]) <= bits)
+            x, y = np.nonzero(_distance(a[:, None], fp[None, s : s + n]) <= bits)
             x, y = a[x], fp[s + y]
             out.append(forest(x[x != y], y[x != y]))
     return out

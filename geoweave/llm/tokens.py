@@ -33,15 +33,18 @@ class Encoder:
     feed that follows another kind of character, and the chunks encoded one by one. The ids of common
     chunks are kept. Other chunks of letters whose classes all libraries agree on are merged by
     the same vocabulary in its faster form; all else (special tokens, control characters, other
-    scripts, white space in a row) takes the tokenizer itself.
+    scripts, white space in a row) takes the tokenizer itself. ``ordinary`` takes the strings of
+    special tokens as ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = ordinary
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if ordinary else special
         self.cache: dict[str, bytes] = {}
         self.fast = _ranked(path)
 
@@ -52,15 +55,17 @@ class Encoder:
         """Ids of a chunk as ``encode`` cuts it; None if the cut after it is not safe."""
         if not chunk or chunk[-1].isspace():
             return None
-        text = "\n" + chunk[1:] if chunk[0] == "\0" else " " + chunk
-        if self.fast and max(chunk) < LATIN_END and text[1:].isprintable():
-            ids = array("I", self.fast.encode_ordinary(text)).tobytes()
-        else:
-            ids = self._plain(text)
+        ids = self.run("\n" + chunk[1:] if chunk[0] == "\0" else " " + chunk)
         if len(self.cache) < CACHE_CHUNKS and len(chunk) <= CACHE_LENGTH:
             self.cache[chunk] = ids
         return ids
 
+    def run(self, text: str) -> bytes:
+        """Ids of a short text without special tokens."""
+        if self.fast and max(text) < LATIN_END and text[1:].isprintable() and text[0] in " \n":
+            return array("I", self.fast.encode_ordinary(text)).tobytes()
+        return self._plain(text)
+
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if "\0" in text or any(s in text for s in self.special):
@@ -95,11 +100,11 @@ def _ranked(path: str):
     return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary file; kept from task to task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, ordinary) not in _ENCODERS:
+        _ENCODERS[path, ordinary] = Encoder(path, ordinary)
+    return _ENCODERS[path, ordinary]
