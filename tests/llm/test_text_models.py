@@ -31,17 +31,13 @@ def all_segmentations(known, words):
 
 def test_samples_follow_the_distribution_without_replacement():
     known = pieces.lattices(MODEL)
-    words = pieces.words_of("the mat")
-    for w in words:
-        known.word(w)
-    a, runs = known.arrays(), 6000
+    words, runs = pieces.words_of("the mat"), 6000
     weight = all_segmentations(known, words)
     z = np.logaddexp.reduce(list(weight.values()))
     prob = {s: np.exp(w - z) for s, w in weight.items()}
     first, pairs, included, inclusion = Counter(), Counter(), Counter(), Counter()
-    for run in range(runs):
-        out = pieces.top_k(known, a, words, 3, pieces.row_seed(run, 1))
-        ids = [tuple(pieces.ids_of(a, e).tolist()) for e, _, _, _ in out]
+    for out in pieces.top_k(known, [words] * runs, 3, [pieces.row_seed(run, 1) for run in range(runs)]):
+        ids = [tuple(known.ids_of(e).tolist()) for e, _, _, _ in out]
         assert len(set(ids)) == 3 and [v for _, _, v, _ in out] == sorted((v for _, _, v, _ in out), reverse=True)
         for s, (_, log_prob, _, share) in zip(ids, out, strict=True):
             assert log_prob == pytest.approx(np.log(prob[s]))
@@ -63,12 +59,10 @@ def test_samples_follow_the_distribution_without_replacement():
 def test_all_segmentations_come_out_once_when_k_is_large():
     known = pieces.lattices(MODEL)
     words = pieces.words_of("to be")
-    for w in words:
-        known.word(w)
-    a = known.arrays()
     want = all_segmentations(known, words)
-    out = pieces.top_k(known, a, words, 10_000, 3)
-    got = [tuple(pieces.ids_of(a, e).tolist()) for e, _, _, _ in out]
+    (out, none) = pieces.top_k(known, [words, []], 100, [3, 4])
+    assert [(len(e), p, s) for e, p, _, s in none] == [(0, 0.0, 1.0)]
+    got = [tuple(known.ids_of(e).tolist()) for e, _, _, _ in out]
     assert len(got) == len(set(got)) == len(want) and set(got) == set(want)
     assert sum(np.exp(p) for _, p, _, _ in out) == pytest.approx(1) and all(s == 1.0 for *_, s in out)
 
