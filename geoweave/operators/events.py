@@ -162,28 +162,43 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def anchored_windows(log: DataFrame, keys: list[str], seconds: int) -> DataFrame:
-    """Add ``opened_at`` (microseconds) of the window each event falls in, and its number there."""
-    timed = with_micros(log)
+    """Add ``opened_at`` (microseconds) of the window each event falls in, and its number there.
+
+    Events with a null key have windows of their own. An event without a time is in no window: both
+    columns are null.
+    """
+    # Joins compare keys as text, with a mark for null that no key has.
+    own = [f"_key{i}" for i in range(len(keys))]
+    timed = with_micros(log).withColumns(
+        {o: F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for o, k in zip(own, keys, strict=True)}
+    )
     length, block = seconds * SECOND, max(seconds // 60, 1) * SECOND
-    times = timed.select(*keys, F.col("at").alias("v"))
-    openers = window_openers(times, keys, length, block)
-    placed = neighbours(openers, times, keys, block).select(
-        *keys, F.col("v").alias("at"), F.col("prev_v").alias("opened_at")
+    times = timed.where("at IS NOT NULL").select(*own, F.col("at").alias("v"))
+    openers = window_openers(times, own, length, block)
+    placed = neighbours(openers, times, own, block).select(
+        *own, F.col("v").alias("at"), F.col("prev_v").alias("opened_at")
     )
-    located = timed.join(placed, keys + ["at"])
-    return running(
-        located, [*keys, "opened_at"], "at", "event_id", block, sums={"in_window": F.lit(1)}
+    located = timed.join(placed, own + ["at"], "left")
+    numbered = running(
+        located, [*own, "opened_at"], "at", "event_id", block, sums={"in_window": F.lit(1)}
     )
+    return numbered.withColumn("in_window", F.when(F.col("at").isNotNull(), F.col("in_window"))).drop(*own)
 
 
 def rate_window(log: DataFrame, limit: int, key: str = "key_id",
                 seconds: int = vocab.RATE_WINDOW_SECONDS) -> DataFrame:
-    """ST4: up to ``limit`` events per window; the first event after a window's end opens the next."""
+    """ST4: up to ``limit`` events per window; the first event after a window's end opens the next.
+
+    ``allowed`` is null for an event without a time.
+    """
     return anchored_windows(log, [key], seconds).withColumn("allowed", F.col("in_window") <= limit)
 
 
 def ttl_hits(log: DataFrame, key: str = "key_id", seconds: int = vocab.CACHE_TTL_SECONDS) -> DataFrame:
-    """ST5: a hit while the stored entry is at most ``seconds`` old; hits do not refresh it."""
+    """ST5: a hit while the stored entry is at most ``seconds`` old; hits do not refresh it.
+
+    ``hit`` is null for an event without a time.
+    """
     return anchored_windows(log, [key], seconds).withColumn("hit", F.col("in_window") > 1)
 
 

@@ -143,7 +143,10 @@ def distinct_queries(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     as_text = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REQUEST_FIELDS]
     keyed = filled.withColumn("qid", F.md5(F.concat_ws("\u0001", *as_text)))
-    return keyed, keyed.groupBy("qid", *REQUEST_FIELDS).agg(F.count(F.lit(1)).alias("copies"))
+    # A null text and an empty one ask the same, so the id alone is the key.
+    return keyed, keyed.groupBy("qid").agg(
+        *[F.min(c).alias(c) for c in REQUEST_FIELDS], F.count(F.lit(1)).alias("copies")
+    )
 
 
 def parse_queries(queries: DataFrame, provinces: list[str]) -> DataFrame:
@@ -199,8 +202,10 @@ def exact_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
             "key_province",
         ).alias("search_key"),
     )
+    # Written: the join below counts its left side before it reads it.
     hits = spread_join(
-        keyed, store.by_search_key, ["search_key", "want_unit"], ["qid", "city_rank"], "inner"
+        cut_lineage(keyed, "search_keys"), store.by_search_key, ["search_key", "want_unit"],
+        ["qid", "city_rank"], "inner",
     )
     best = hits.groupBy("qid").agg(
         F.min_by(
@@ -244,6 +249,7 @@ def street_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
         .withColumn("street_key", key)
         .withColumn("rank", F.struct("city_rank", "type_rank"))
     )
+    tried = cut_lineage(tried, "streets_tried")
     numbered = F.col("q_civic.numeric").isNotNull()
 
     # Equal civic number, on any of the streets tried.
@@ -252,7 +258,10 @@ def street_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
         F.col("q_unit").alias("want_unit"),
     )
     equal = (
-        civic_tried.join(store.by_civic, ["city_key", "street_key", "civic", "want_unit"])
+        spread_join(
+            civic_tried, store.by_civic, ["city_key", "street_key", "civic", "want_unit"],
+            ["qid", "rank"], "inner",
+        )
         .groupBy("qid")
         .agg(F.min_by("row", F.struct("rank", "row.id")).alias("row"))
         .withColumn("order", F.lit(0))
@@ -531,8 +540,15 @@ def geocode_queries(
     # The later steps only see what the exact step left over.
     rest = cut_lineage(valid.join(exact.select("qid"), "qid", "left_anti"), "rest")
     hits = early.unionByName(exact)
-    hits = hits.unionByName(street_hits(city_spellings(rest, store), store))
-    hits = hits.unionByName(postal_hits(rest, store, provinces))
+    found = cut_lineage(
+        street_hits(city_spellings(rest, store), store).unionByName(
+            postal_hits(rest, store, provinces)
+        ),
+        "street_postal",
+    )
+    hits = hits.unionByName(found)
+    # So do the city and nearest steps, which cost most, with what street and postal code left.
+    rest = cut_lineage(rest.join(found.select("qid").distinct(), "qid", "left_anti"), "rest")
     if vocab.CONFIDENCE["city_centroid"] >= min_confidence:  # GC8: else never kept
         hits = hits.unionByName(city_hits(rest, store, provinces))
     if hints:

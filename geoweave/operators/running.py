@@ -24,6 +24,9 @@ def running(
     and what earlier slices add up to comes from a summary with one row per key and slice. A key with
     a third of all rows is so spread over as many tasks as it has slices. ``attach`` (by some of the
     keys) is joined to the summary instead of the rows, so a hot key does not skew that join either.
+
+    Null keys are keys like any other, and rows with a null ``order`` come before all others of their
+    key. The summary reaches the rows as one more row of their slice, not by a join.
     """
     sums, maxima = sums or {}, maxima or {}
     by_slice = [*keys, "_slice"]
@@ -41,18 +44,22 @@ def running(
     )
     if attach is not None:
         offsets = offsets.join(attach, [k for k in keys if k in attach.columns], "left")
-    inside = Window.partitionBy(*by_slice).orderBy(order, tie).rowsBetween(
+    inside = Window.partitionBy(*by_slice).orderBy("_kind", order, tie).rowsBetween(
         Window.unboundedPreceding, 0
     )
+    given = [c for c in offsets.columns if c not in by_slice]
     return (
-        sliced.withColumns(
+        sliced.withColumn("_kind", F.lit(1))
+        .unionByName(offsets.withColumn("_kind", F.lit(0)), allowMissingColumns=True)
+        .withColumns(
             {f"_i_{n}": F.sum(f"_v_{n}").over(inside) for n in sums}
             | {f"_i_{n}": F.max(f"_v_{n}").over(inside) for n in maxima}
+            | {c: F.first(c).over(inside) for c in given}
         )
-        .join(offsets, by_slice)
+        .where("_kind = 1")
         .withColumns(
             {n: F.col(f"_o_{n}") + F.coalesce(F.col(f"_i_{n}"), F.lit(0)) for n in sums}
             | {n: F.greatest(f"_o_{n}", f"_i_{n}") for n in maxima}
         )
-        .drop("_slice", *[f"{p}{n}" for p in ("_v_", "_i_", "_o_") for n in {**sums, **maxima}])
+        .drop("_slice", "_kind", *[f"{p}{n}" for p in ("_v_", "_i_", "_o_") for n in {**sums, **maxima}])
     )

@@ -5,30 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
+
 # Rows of one key that a single task may take before the key is spread over several.
 ROWS_PER_TASK = 1_000_000
-# A key outside the top MAX_HOT_KEYS holds less than 1/MAX_HOT_KEYS of all rows, so leaving it
-# whole is safe, and the table of hot keys can never grow past this many rows.
-MAX_HOT_KEYS = 2_000
 
 
 def hot_keys(
     counts: DataFrame, keys: list[str], count: str, rows_per_task: int = ROWS_PER_TASK
 ) -> DataFrame | None:
-    """The keys that need spreading, with their salt counts: a local table, or None.
+    """All keys that need spreading, with their salt counts: a written table, or None.
 
     ``counts`` has one row per key with its number of rows, as left by a grouping that combined
-    before its shuffle. At most MAX_HOT_KEYS rows come back; which keys they are changes only how
-    the work is spread, never the result.
+    before its shuffle. Which keys these are changes only how the work is spread, never the result.
     """
-    hot = (
-        counts.where(F.col(count) > rows_per_task)
-        .orderBy(F.desc(count))
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts"))
+    hot = counts.where(F.col(count) > rows_per_task).select(
+        *keys, F.ceil(F.col(count) / rows_per_task).cast("int").alias("_salts")
     )
-    rows = hot.collect()  # bounded: MAX_HOT_KEYS rows
-    return counts.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    hot = cut_lineage(hot, "hot_keys")
+    return None if hot.isEmpty() else hot
 
 
 def salted_join(
@@ -47,7 +42,8 @@ def salted_join(
     """
     if hot is None:
         return left.join(right, keys, how)
-    hot = F.broadcast(hot)  # bounded: MAX_HOT_KEYS rows
+    if hot.count() <= BROADCAST_MAX_ROWS:
+        hot = F.broadcast(hot)
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     salted_left = (
         left.join(hot, keys, "left")

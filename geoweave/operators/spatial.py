@@ -189,9 +189,10 @@ def assign_points(
     ``points`` need ``lon`` and ``lat``; ``dataset`` names a column that selects the boundary set
     per point (all rows use the index's only set when it is None). Adds ``ordinal``.
 
-    A small index is packed to one row per cell and broadcast: points are neither shuffled nor
-    multiplied. A large one is joined on the cell with hot cells spread over tasks, and the first
-    match is taken by an aggregation that combines before its shuffle.
+    Every input row comes back once, whatever ``pid`` holds. A small index is packed to one row per
+    cell and broadcast: points are neither shuffled nor multiplied. A large one is joined on the
+    cell with hot cells spread over tasks, and the first match of each row, by a number of its own,
+    is taken by an aggregation that combines before its shuffle.
     """
     broadcast = index.fits_broadcast if broadcast is None else broadcast
     located = points.withColumn("_cx", _cell(F.col("lon"), index.side)).withColumn(
@@ -221,19 +222,20 @@ def assign_points(
     x0, y0, x1, y1 = index.box
     inside = F.coalesce(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1), F.lit(False))
     columns = points.columns
-    within = located.where(inside)
+    within = cut_lineage(
+        located.where(inside).withColumn("_row", F.monotonically_increasing_id()), "points"
+    )
     per_cell = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    joined = salted_join(within, rows, keys, [pid], "left", hot_keys(per_cell, keys, "n"))
+    joined = salted_join(within, rows, keys, ["_row"], "left", hot_keys(per_cell, keys, "n"))
     hit = F.when(
         F.col("ordinal").isNotNull()
         & _holds(F.struct("ordinal", "rings"), F.col("lon"), F.col("lat")),
         F.col("ordinal"),
     )
-    rest = [c for c in columns if c != pid]
     first = (
-        joined.select(*columns, hit.alias("_hit"))
-        .groupBy(pid)
-        .agg(*[F.first(c).alias(c) for c in rest], F.min("_hit").alias("ordinal"))
+        joined.select("_row", *columns, hit.alias("_hit"))
+        .groupBy("_row")
+        .agg(*[F.first(c).alias(c) for c in columns], F.min("_hit").alias("ordinal"))
     )
     outside = located.where(~inside).select(*columns, F.lit(None).cast("bigint").alias("ordinal"))
     return first.select(*columns, "ordinal").unionByName(outside)

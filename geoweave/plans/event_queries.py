@@ -11,6 +11,8 @@ from geoweave.plans.registry import query
 from geoweave.sources import derived
 
 _LOG = f"log AS ({O.LOG})"
+# The log with gaps, under the same name.
+_GAPPY = f"raw_log AS ({O.LOG}), log AS ({derived.GAPPY_LOG_SQL.format(log='raw_log')})"
 _CUSTOMERS = f"customers AS ({derived.CUSTOMERS_SQL.format(customer='customer')})"
 _JOBS = f"jobs AS ({derived.JOB_EVENTS_SQL.format(log='log')})"
 _NOW = "2024-01-31 00:00:00"
@@ -28,12 +30,12 @@ used AS (
 
 
 @query("daily_quota", f"""
-WITH {_LOG}, n AS (SELECT event_id, key_id, strftime(ts, '%Y-%m-%d') AS day,
-  row_number() OVER (PARTITION BY key_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS n FROM log)
+WITH {_GAPPY}, n AS (SELECT event_id, key_id, strftime(ts, '%Y-%m-%d') AS day,
+  row_number() OVER (PARTITION BY key_id, strftime(ts, '%Y-%m-%d') ORDER BY ts NULLS FIRST, event_id) AS n FROM log)
 SELECT event_id, key_id, day, n <= 2 AS allowed, least(n, 2) AS "count" FROM n""")
 def daily_quota(spark, sf_dir):
-    """ST1."""
-    out = E.daily_quota(derived.request_log(spark, sf_dir), 2)
+    """ST1: events without a key share one quota, events without a time are a day of their own."""
+    out = E.daily_quota(derived.gappy_log(spark, sf_dir), 2)
     return out.select("event_id", "key_id", "day", "allowed", "count")
 
 
@@ -57,11 +59,11 @@ def customer_usage(spark, sf_dir):
 
 
 @query("batch_redaction", f"""
-WITH {_LOG}, n AS (SELECT event_id, customer_id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY event_id) AS s FROM log)
+WITH {_GAPPY}, n AS (SELECT event_id, customer_id, ok, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY event_id) AS s FROM log)
 SELECT event_id, customer_id, ok AND s > 50 + customer_id AS redacted FROM n""")
 def batch_redaction(spark, sf_dir):
     """ST3: a customer's events as one batch with an allowance per customer."""
-    log = derived.request_log(spark, sf_dir)
+    log = derived.gappy_log(spark, sf_dir)
     allowance = derived.customers(spark, sf_dir).select(
         "customer_id", (F.col("customer_id") + 50).alias("remaining")
     )
@@ -72,35 +74,36 @@ def batch_redaction(spark, sf_dir):
 
 def _fold(key: str, seconds: int, select: str) -> str:
     return f"""
-WITH RECURSIVE {_LOG},
-ev AS (SELECT {key}, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM log),
+WITH RECURSIVE {_GAPPY},
+ev AS (SELECT {key}, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM log WHERE ts IS NOT NULL),
 fold AS (
   SELECT {key}, n, us, event_id, us AS opened, 1 AS c FROM ev WHERE n = 1
   UNION ALL
   SELECT e.{key}, e.n, e.us, e.event_id, CASE WHEN e.us > f.opened + {seconds * 1000000} THEN e.us ELSE f.opened END,
     CASE WHEN e.us > f.opened + {seconds * 1000000} THEN 1 ELSE f.c + 1 END
-  FROM fold f JOIN ev e ON e.{key} = f.{key} AND e.n = f.n + 1)
+  FROM fold f JOIN ev e ON e.{key} IS NOT DISTINCT FROM f.{key} AND e.n = f.n + 1),
+folded AS (SELECT event_id, opened, c FROM fold UNION ALL SELECT event_id, NULL, NULL FROM log WHERE ts IS NULL)
 {select}"""
 
 
-@query("rate_window", _fold("customer_id", 21600, "SELECT event_id, opened AS opened_at, c <= 2 AS allowed FROM fold"))
+@query("rate_window", _fold("customer_id", 21600, "SELECT event_id, opened AS opened_at, c <= 2 AS allowed FROM folded"))
 def rate_window(spark, sf_dir):
     """ST4: two events per customer in windows of six hours that the first event opens."""
-    out = E.rate_window(derived.request_log(spark, sf_dir), 2, "customer_id", 21600)
+    out = E.rate_window(derived.gappy_log(spark, sf_dir), 2, "customer_id", 21600)
     return out.select("event_id", "opened_at", "allowed")
 
 
-@query("rate_window_minute", _fold("customer_id", 60, "SELECT event_id, opened AS opened_at, c <= 1 AS allowed FROM fold"))
+@query("rate_window_minute", _fold("customer_id", 60, "SELECT event_id, opened AS opened_at, c <= 1 AS allowed FROM folded"))
 def rate_window_minute(spark, sf_dir):
     """ST4 with the usual 60 seconds."""
-    out = E.rate_window(derived.request_log(spark, sf_dir), 1, "customer_id")
+    out = E.rate_window(derived.gappy_log(spark, sf_dir), 1, "customer_id")
     return out.select("event_id", "opened_at", "allowed")
 
 
-@query("ttl_hits", _fold("key_id", 86400, "SELECT event_id, c > 1 AS hit FROM fold"))
+@query("ttl_hits", _fold("key_id", 86400, "SELECT event_id, c > 1 AS hit FROM folded"))
 def ttl_hits(spark, sf_dir):
     """ST5."""
-    return E.ttl_hits(derived.request_log(spark, sf_dir)).select("event_id", "hit")
+    return E.ttl_hits(derived.gappy_log(spark, sf_dir)).select("event_id", "hit")
 
 
 @query("cache_states", f"""
@@ -219,8 +222,8 @@ def request_groups(spark, sf_dir):
     return E.group_requests(derived.faulty_requests(spark, sf_dir))
 
 
-_DELIVERY = f"""{_LOG}, d AS (
-  SELECT event_id, customer_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY customer_id, key_id ORDER BY ts, event_id) AS attempt FROM log WHERE NOT ok),
+_DELIVERY = f"""{_GAPPY}, d AS (
+  SELECT event_id, customer_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY key_id ORDER BY ts NULLS FIRST, event_id) AS attempt FROM log WHERE NOT ok),
 dd AS (SELECT *, CASE WHEN attempt < 5 THEN 'pending' ELSE 'failed' END AS status,
   CASE WHEN attempt < 5 THEN us + CAST(5000 * pow(2, attempt - 1) AS BIGINT) * 1000 END AS next_at FROM d)"""
 
@@ -228,17 +231,17 @@ dd AS (SELECT *, CASE WHEN attempt < 5 THEN 'pending' ELSE 'failed' END AS statu
 @query("delivery_retry", f"WITH {_DELIVERY} SELECT event_id, attempt, status, next_at FROM dd")
 def delivery_retry(spark, sf_dir):
     """ST9."""
-    d = E.delivery_states(derived.request_log(spark, sf_dir), "key_id")
+    d = E.delivery_states(derived.gappy_log(spark, sf_dir), "key_id")
     return d.select(
         "event_id", "attempt", "status", F.unix_micros(F.col("next_retry_at").cast("timestamp")).alias("next_at")
     )
 
 
 @query("due_deliveries", f"""
-WITH {_DELIVERY} SELECT event_id FROM dd WHERE status = 'pending' AND next_at <= epoch_us(TIMESTAMP '2024-01-15 00:00:00')""")
+WITH {_DELIVERY} SELECT event_id FROM dd WHERE status = 'pending' AND coalesce(next_at, 0) <= epoch_us(TIMESTAMP '2024-01-15 00:00:00')""")
 def due_deliveries(spark, sf_dir):
     """ST10."""
-    d = E.delivery_states(derived.request_log(spark, sf_dir), "key_id")
+    d = E.delivery_states(derived.gappy_log(spark, sf_dir), "key_id")
     return E.due(d, F.lit("2024-01-15 00:00:00").cast("timestamp")).select("event_id")
 
 
@@ -282,14 +285,14 @@ def retention(spark, sf_dir):
 
 
 @query("failure_alerts", f"""
-WITH {_LOG},
-f AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts, event_id) AS g FROM log),
-s AS (SELECT *, sum(CASE WHEN NOT ok AND event_id % 7 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id, g ORDER BY ts, event_id) AS failure_count FROM f)
+WITH {_GAPPY},
+f AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id ORDER BY ts NULLS FIRST, event_id) AS g FROM log),
+s AS (SELECT *, sum(CASE WHEN NOT ok AND event_id % 7 <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY customer_id, g ORDER BY ts NULLS FIRST, event_id) AS failure_count FROM f)
 SELECT event_id, customer_id, CAST(failure_count AS BIGINT) AS failure_count FROM s WHERE NOT ok AND event_id % 7 <> 0 AND failure_count >= 3""")
 def failure_alerts(spark, sf_dir):
     """ST13: three failures in a row; every seventh event id stands for exempt errors."""
     out = E.failure_alerts(
-        derived.request_log(spark, sf_dir), "customer_id", 3, exempt=F.col("event_id") % 7 == 0
+        derived.gappy_log(spark, sf_dir), "customer_id", 3, exempt=F.col("event_id") % 7 == 0
     )
     return out.select("event_id", "customer_id", "failure_count")
 
@@ -324,9 +327,12 @@ def denial_report(spark, sf_dir):
 
 
 @query("origin_audit", f"""{_AUTH}
-SELECT a.event_id, w.event_id IS NOT NULL AS allowed FROM ask a JOIN keys k USING (key_id) LEFT JOIN allowed w USING (event_id)""")
+SELECT a.event_id, k.key_id IS NOT NULL AS known, w.event_id IS NOT NULL AS allowed
+FROM ask a LEFT JOIN keys k ON k.key_id = a.key_id LEFT JOIN allowed w ON w.event_id = a.event_id""")
 def origin_audit(spark, sf_dir):
-    """VA11 on its own."""
-    log = derived.access_log(spark, sf_dir).join(derived.api_keys(spark, sf_dir).select("key_id", "origins"), "key_id")
-    origin = F.coalesce("origin", "same_origin")
-    return log.select("event_id", rules.origin_allowed(origin, F.col("origins")).alias("allowed"))
+    """VA11 on its own: a request with an unknown key, or none, is not allowed."""
+    keys = derived.api_keys(spark, sf_dir).select("key_id", "origins")
+    log = derived.access_log(spark, sf_dir).join(keys, "key_id", "left")
+    known, origin = F.col("origins").isNotNull(), F.coalesce("origin", "same_origin")
+    allowed = F.coalesce(known & rules.origin_allowed(origin, F.col("origins")), F.lit(False))
+    return log.select("event_id", known.alias("known"), allowed.alias("allowed"))

@@ -182,7 +182,7 @@ def boundary_store(spark, sf_dir):
     path = scratch_path(spark, "features")
     p = derived.parcels(spark, sf_dir).withColumn("props", F.create_map(F.lit("n"), F.col("ordinal").cast("string")))
     both = B.union_boundaries(p.withColumn("dataset", F.lit("a")), p.withColumn("dataset", F.lit("b")))
-    B.write_features(both, path)
+    B.write_features(both, path, ["a", "b"])
     B.write_features(p.where("ordinal % 2 = 0").withColumn("dataset", F.lit("a")), path)
     return boundary_stats(spark.read.parquet(path)).select("dataset", "features")
 

@@ -13,7 +13,7 @@ POINTS = derived.POINTS_SQL.format(events="events")
 ADDR_RAW = derived.ADDR_SQL.format(orders="orders")
 REQUESTS = derived.REQUESTS_SQL.format(addr="addr_raw")
 FAULTY = derived.FAULTY_REQUESTS_SQL.format(orders="orders")
-CANDIDATES = derived.CANDIDATES_SQL.replace("req_id / 10", "req_id // 10").format(requests="requests")
+CANDIDATES = derived.CANDIDATES_SQL.format(requests="requests")
 LOG = derived.REQUEST_LOG_SQL.format(events="events")
 VERTICES = derived.POLY_VERTICES_SQL.format(nation="nation")
 PARCEL_VERTICES = derived.PARCEL_VERTICES_SQL.format(customer="customer")

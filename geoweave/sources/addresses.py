@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from geoweave.functions import text, vocab
 from geoweave.operators.aggregates import (
     city_centroids, postal_centroids, street_ranges, street_search_rows,
 )
 from geoweave.operators.parse import standardize_addresses, with_mailing
+from geoweave.sources.store import read_stored, replace_partitions
 
 _NUMBER = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 FIELDS = [f for f in vocab.ADDRESS_HEADERS if f not in ("lat", "lon", "province")]
@@ -105,22 +107,29 @@ def address_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def _overwrite_provinces(df: DataFrame, path: str) -> None:
-    (
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("province").parquet(path)
-    )
-
+def rebuild_aggregates(
+    spark: SparkSession, root: str, province: str, schema: StructType | None = None
+) -> None:
+    """IO9: the three aggregates and the search rows of one province, from its stored addresses.
 
-def rebuild_aggregates(spark: SparkSession, root: str, province: str) -> None:
-    """IO9: the three aggregates and the search rows of one province, from its stored addresses."""
-    addr = spark.read.parquet(f"{root}/addresses").where(F.col("province") == province)
-    _overwrite_provinces(postal_centroids(addr), f"{root}/postal_centroids")
-    _overwrite_provinces(city_centroids(addr), f"{root}/city_centroids")
-    _overwrite_provinces(street_ranges(addr), f"{root}/street_ranges")
-    here = lambda name: spark.read.parquet(f"{root}/{name}").where(F.col("province") == province)
-    _overwrite_provinces(
-        street_search_rows(here("street_ranges"), here("city_centroids")), f"{root}/street_search"
+    A province without addresses any more loses its rows. ``schema`` is that of the addresses, for a
+    store that may hold none.
+    """
+    schema = schema or spark.read.parquet(f"{root}/addresses").schema
+    addr = read_stored(spark, f"{root}/addresses", schema).where(F.col("province") == province)
+    made = {
+        "postal_centroids": postal_centroids(addr), "city_centroids": city_centroids(addr),
+        "street_ranges": street_ranges(addr),
+    }
+    for name, rows in made.items():
+        replace_partitions(rows, f"{root}/{name}", "province", [province])
+    here = {
+        name: read_stored(spark, f"{root}/{name}", rows.schema).where(F.col("province") == province)
+        for name, rows in made.items()
+    }
+    replace_partitions(
+        street_search_rows(here["street_ranges"], here["city_centroids"]), f"{root}/street_search",
+        "province", [province],
     )
 
 
@@ -130,19 +139,19 @@ def import_province(
 ) -> DataFrame:
     """IO7, IO8, IO11: load one province and return its import-log row.
 
-    A plain load replaces the province's partitions of every table; a resumed one appends the rows
-    that are missing and rebuilds the aggregates.
+    A plain load replaces the province's partitions of every table, also with nothing when the file has
+    no row of it; a resumed one appends the rows that are missing and rebuilds the aggregates.
     """
     good, bad = normalize_rows(read_address_csv(spark, csv_path, max_rows), province)
+    path = f"{root}/addresses"
+    fresh = address_table(missing_rows(good, None))
     if resume:
-        stored = spark.read.parquet(f"{root}/addresses").where(F.col("province") == province)
-        address_table(missing_rows(good, stored)).write.mode("append").partitionBy(
-            "province"
-        ).parquet(f"{root}/addresses")
+        stored = read_stored(spark, path, fresh.schema).where(F.col("province") == province)
+        address_table(missing_rows(good, stored)).write.mode("append").partitionBy("province").parquet(path)
     else:
-        _overwrite_provinces(address_table(missing_rows(good, None)), f"{root}/addresses")
-    rebuild_aggregates(spark, root, province)
-    loaded = spark.read.parquet(f"{root}/addresses").where(F.col("province") == province)
+        replace_partitions(fresh, path, "province", [province])
+    rebuild_aggregates(spark, root, province, fresh.schema)
+    loaded = read_stored(spark, path, fresh.schema).where(F.col("province") == province)
     rejected = bad.agg(F.count(F.lit(1)).alias("n"))
     entry = loaded.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(province).alias("province"),

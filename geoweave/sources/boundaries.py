@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import text, vocab
 from geoweave.functions.geometry import GEOM_TYPE, bounding_box, vertex_centroid
+from geoweave.sources.store import replace_partitions
 
 
 def dataset_registry(spark: SparkSession) -> DataFrame:
@@ -20,6 +21,10 @@ def dataset_registry(spark: SparkSession) -> DataFrame:
     )
 
 
+# Numbers that the features of one file, and those of one set, may take.
+FILE_STRIDE = 1 << 24
+SET_STRIDE = 1 << 50
+
 # Geometry stays text until its type is known: coordinates nest to a different depth per type.
 _FEATURE_JSON = (
     "type string, features array<struct<type: string, properties: map<string, string>, "
@@ -40,8 +45,9 @@ def read_geojson(spark: SparkSession, path: str, dataset: str) -> tuple[DataFram
     """IO4: (features, rejects) of one or many FeatureCollection files.
 
     Every feature is checked, not a sample. Rejects carry a reason and never stop the load. One
-    file is one JSON document, so the unit of parallel reading is the file; ``ordinal`` is the
-    position within it.
+    file is one JSON document, so the unit of parallel reading is the file. ``ordinal`` numbers the
+    features of all files: the position within the file, after FILE_STRIDE numbers for every file
+    before it in the order of their names.
     """
     raw = (
         spark.read.schema(_FEATURE_JSON)
@@ -50,12 +56,18 @@ def read_geojson(spark: SparkSession, path: str, dataset: str) -> tuple[DataFram
         .json(path)
         .withColumn("file", F.input_file_name())
     )
+    files = spark.createDataFrame(
+        [(name, number * FILE_STRIDE) for number, name in enumerate(sorted(raw.inputFiles()))],
+        "listed string, first bigint",
+    )
+    # Names of files are few next to their features; the optimizer picks the join.
+    raw = raw.join(files, F.col("file") == F.col("listed"), "left")
     exploded = raw.select(
-        "file", F.col("type").alias("collection_type"), F.posexplode_outer("features")
+        "first", "file", F.col("type").alias("collection_type"), F.posexplode_outer("features")
     ).select(
         "file",
         "collection_type",
-        F.col("pos").alias("ordinal"),
+        (F.col("first") + F.col("pos")).alias("ordinal"),
         F.col("col.type").alias("feature_type"),
         F.col("col.properties").alias("props"),
         F.col("col.geometry.type").alias("geometry_type"),
@@ -102,35 +114,61 @@ def normalize_boundaries(features: DataFrame, province: Column | str) -> tuple[D
 
 
 def union_boundaries(*sets: DataFrame) -> DataFrame:
-    """IO6."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+    """IO6: one table of several sets.
+
+    Features of a dataset that an earlier set holds as well are numbered after those: SET_STRIDE
+    numbers further for every such set. Other rows keep their number.
+    """
+    if any("dataset" not in s.columns or "ordinal" not in s.columns for s in sets):
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sets)
+    held = reduce(
+        DataFrame.unionByName,
+        [s.select("dataset", F.lit(i).alias("_set")).distinct() for i, s in enumerate(sets)],
+    )
+    before = Window.partitionBy("dataset").orderBy("_set")
+    shift = held.withColumn("_shift", (F.row_number().over(before) - 1).cast("bigint") * SET_STRIDE)
+    numbered = reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [s.withColumn("_set", F.lit(i)) for i, s in enumerate(sets)],
+    )
+    return (
+        numbered.join(shift, ["dataset", "_set"], "left")
+        .withColumn("ordinal", F.col("ordinal") + F.coalesce("_shift", F.lit(0)))
+        .select(*[c for c in numbered.columns if c != "_set"])
+    )
 
 
 def feature_rows(features: DataFrame) -> DataFrame:
     """IO10: stored form with id, box and centroid.
 
-    A feature without an id property takes its position, so two features never share an id.
+    A feature without an id property takes its position, marked so that it is no other's property.
+    Of features of a dataset with one id property, all but the first add their position to it. So
+    two features with different positions never share an id.
     """
     ids = [F.try_element_at("props", F.lit(f)) for f in vocab.BOUNDARY_ID_FIELDS]
+    place = F.col("ordinal").cast("string")
+    given = features.withColumn("_given", F.coalesce(*ids))
+    firsts = given.where("_given IS NOT NULL").groupBy("dataset", "_given").agg(F.min("ordinal").alias("_first"))
+    again = F.col("_first") != F.col("ordinal")
     return (
-        features.withColumn("bbox", bounding_box(F.col("geom")))
+        given.join(firsts, ["dataset", "_given"], "left")
+        .withColumn("_id", F.when(again, F.concat_ws("#", "_given", place)).otherwise(F.coalesce("_given", F.concat(F.lit("#"), place))))
+        .withColumn("bbox", bounding_box(F.col("geom")))
         .withColumn("centroid", vertex_centroid(F.col("geom")))
         .withColumn(
-            "id", F.concat_ws("_", "dataset", F.coalesce(*ids, F.col("ordinal").cast("string")))
+            "id", F.concat_ws("_", "dataset", "_id")
         )
+        .select(*features.columns, "bbox", "centroid", "id")
     )
 
 
-def write_features(features: DataFrame, path: str) -> None:
-    """IO10: replace the stored rows of the datasets at hand; other datasets stay."""
-    (
-        feature_rows(features)
-        .withColumn("synced_at", F.current_timestamp())
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dataset")
-        .parquet(path)
-    )
+def write_features(features: DataFrame, path: str, datasets: list[str] | None = None) -> None:
+    """IO10: replace the stored rows of the datasets at hand; other datasets stay.
+
+    ``datasets`` names those to replace, so that one without rows any more is emptied.
+    """
+    rows = feature_rows(features).withColumn("synced_at", F.current_timestamp())
+    replace_partitions(rows, path, "dataset", datasets or [])
 
 
 def missing_datasets(spark: SparkSession, stored: DataFrame) -> DataFrame:

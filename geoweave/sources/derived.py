@@ -46,7 +46,7 @@ WHERE v < 5 + (c_custkey + part * 3) % 8 AND (part = 0 OR c_custkey % 7 = 0)
 
 ADDR_SQL = """
 SELECT o_orderkey AS id,
-  CAST(1 + 2 * (o_custkey % 60) AS STRING) || CASE WHEN o_orderkey % 17 = 0 THEN 'A' ELSE '' END AS civic_number,
+  CAST(1 + 2 * ((o_custkey * 7 + o_orderkey * 13) % 61) AS STRING) || CASE WHEN o_orderkey % 17 = 0 THEN 'A' ELSE '' END AS civic_number,
   CASE o_orderkey % 6 WHEN 0 THEN 'MAIN' WHEN 1 THEN 'KING' WHEN 2 THEN 'VICTORIA PARK' WHEN 3 THEN 'SAINT-PAUL'
     WHEN 4 THEN 'Québec' ELSE 'WEST' END AS street_name,
   CASE o_custkey % 4 WHEN 0 THEN 'ST' WHEN 1 THEN 'AVENUE' WHEN 2 THEN 'MALL' ELSE '' END AS street_type,
@@ -65,15 +65,15 @@ FROM {orders}
 
 REQUESTS_SQL = """
 SELECT id AS req_id,
-  CASE id % 40
-    WHEN 0 THEN unit || '-' || civic_number || ' ' || street_name || ' ' || street_type
-    WHEN 10 THEN 'Unit ' || CASE WHEN unit = '' THEN '1' ELSE unit END || ', ' || civic_number || ' ' || lower(street_name) || ' ' || street_type
-    WHEN 20 THEN civic_number || ' The ' || street_name || ' ' || street_type
+  CASE id % 4
+    WHEN 0 THEN CASE WHEN unit = '' THEN '' ELSE unit || '-' END || civic_number || ' ' || street_name || ' ' || street_type
+    WHEN 1 THEN 'Unit ' || CASE WHEN unit = '' THEN '1' ELSE unit END || ', ' || civic_number || ' ' || lower(street_name) || ' ' || street_type
+    WHEN 2 THEN civic_number || ' The ' || street_name || ' ' || street_type
     ELSE '99999 ' || street_name || ' ' || street_type END AS address,
-  CASE WHEN id % 30 = 0 THEN '' ELSE postal_code END AS postal,
+  CASE WHEN id % 3 = 0 THEN '' ELSE postal_code END AS postal,
   CASE city WHEN 'FORMER TORONTO' THEN 'Toronto' WHEN 'SCARBOROUGH' THEN 'Toronto' WHEN 'CITY OF HAMILTON' THEN 'Hamilton' ELSE city END AS city,
-  CASE WHEN id % 70 = 0 THEN '' ELSE province END AS state
-FROM {addr} WHERE id % 10 = 0
+  CASE WHEN id % 7 = 0 THEN '' ELSE province END AS state
+FROM {addr}
 """
 
 REQUEST_LOG_SQL = """
@@ -81,6 +81,13 @@ SELECT event_id, ts, user_id AS key_id, user_id % 40 AS customer_id, event_type
 FROM {events}
 """
 
+# The same log with keys, customers and times missing here and there.
+GAPPY_LOG_SQL = """
+SELECT event_id, CASE WHEN event_id % 97 = 5 THEN NULL ELSE ts END AS ts, CASE WHEN event_id % 29 = 3 THEN NULL ELSE key_id END AS key_id,
+  CASE WHEN event_id % 31 = 4 THEN NULL ELSE customer_id END AS customer_id, ok, route, ms
+FROM {log}
+"""
+
 PROVINCE_OF_REGION = {0: "ON", 1: "QC", 2: "BC", 3: "AB", 4: "NS"}
 
 
@@ -114,6 +121,10 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(REQUEST_LOG_SQL, events=table(spark, sf_dir, "events"))
 
 
+def gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(GAPPY_LOG_SQL, log=request_log(spark, sf_dir))
+
+
 def _assemble(vertices: DataFrame) -> DataFrame:
     """Vertex rows to one MultiPolygon array per ordinal.
 
@@ -218,17 +229,17 @@ FROM {orders}
 # Raw provider answers, three per request, with titles near and far from the request.
 CANDIDATES_SQL = """
 SELECT req_id, pos,
-  CASE (req_id / 10 + pos) % 5 WHEN 0 THEN 'Highway 7, ' || city || ', Ontario'
+  CASE (req_id + pos) % 5 WHEN 0 THEN 'Highway 7, ' || city || ', Ontario'
     WHEN 1 THEN upper(address) || ', ' || city || ', ' || state
     WHEN 2 THEN 'Main Street, Vancouver, British Columbia'
     WHEN 3 THEN substr(address, 1, 5) || ' Route 66, ' || city || ', Quebec'
     ELSE address || ', ' || upper(city) || ', Ontario' END AS title,
-  CASE WHEN (req_id / 10 + pos) % 3 = 0 THEN 'INTERPOLATED_POSITION' ELSE 'LOCATION' END AS qualifier,
-  CAST((req_id / 10 * 7 + pos * 3) % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS score,
+  CASE WHEN (req_id + pos) % 3 = 0 THEN 'INTERPOLATED_POSITION' ELSE 'LOCATION' END AS qualifier,
+  CAST((req_id * 7 + pos * 3) % 10 AS DOUBLE) / CAST(10 AS DOUBLE) AS score,
   CAST(-80 AS DOUBLE) + CAST((req_id + pos) % 100 AS DOUBLE) / CAST(10 AS DOUBLE) AS lon,
   CAST(43 AS DOUBLE) + CAST((req_id + pos) % 90 AS DOUBLE) / CAST(10 AS DOUBLE) AS lat
 FROM {requests} CROSS JOIN (VALUES (0),(1),(2)) AS u(pos)
-WHERE pos < 1 + req_id / 10 % 3
+WHERE pos < 1 + req_id % 3
 """
 
 
@@ -237,28 +248,26 @@ def faulty_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(
-        CANDIDATES_SQL.replace("req_id / 10", "req_id DIV 10"), requests=requests(spark, sf_dir)
-    )
+    return spark.sql(CANDIDATES_SQL, requests=requests(spark, sf_dir))
 
 
-# Search queries, one per tenth address: plain, with civic, with unit, and short prefixes.
+# Search queries, one per address: plain, with civic, with unit, and short prefixes.
 SEARCH_QUERIES_SQL = """
 SELECT id AS query_id,
-  CASE id % 60 WHEN 0 THEN lower(street_name) || ' ' || lower(street_type)
-    WHEN 10 THEN civic_number || ' ' || street_name || ' ' || city
-    WHEN 20 THEN substr(street_name, 1, CAST(2 + id % 3 AS INT))
-    WHEN 30 THEN CASE WHEN unit = '' THEN '7' ELSE unit END || '-' || CAST(1 + 2 * (id % 60) AS STRING) || ' ' || street_name
-    WHEN 40 THEN CAST(1 + id % 119 AS STRING) || ' ' || lower(street_name) || ' street west'
+  CASE id % 6 WHEN 0 THEN lower(street_name) || ' ' || lower(street_type)
+    WHEN 1 THEN civic_number || ' ' || street_name || ' ' || city
+    WHEN 2 THEN substr(street_name, 1, CAST(2 + id % 3 AS INT))
+    WHEN 3 THEN CASE WHEN unit = '' THEN '7' ELSE unit END || '-' || CAST(1 + 2 * (id % 60) AS STRING) || ' ' || street_name
+    WHEN 4 THEN CAST(1 + id % 119 AS STRING) || ' ' || lower(street_name) || ' street west'
     ELSE street_name || ' ' || province END AS q,
-  CASE WHEN id % 70 = 0 THEN province END AS province,
-  CASE WHEN id % 50 = 0 THEN lat END AS bias_lat,
-  CASE WHEN id % 50 = 0 THEN lon END AS bias_lon,
-  CASE WHEN id % 80 = 10 THEN CAST(47 AS DOUBLE) END AS box_min_lat,
-  CASE WHEN id % 80 = 10 THEN CAST(48.1 AS DOUBLE) END AS box_max_lat,
-  CASE WHEN id % 80 = 10 THEN CAST(-76 AS DOUBLE) END AS box_min_lon,
-  CASE WHEN id % 80 = 10 THEN CAST(-74.8 AS DOUBLE) END AS box_max_lon
-FROM {addr} WHERE id % 10 = 0
+  CASE WHEN id % 7 = 0 THEN province END AS province,
+  CASE WHEN id % 5 = 0 THEN lat END AS bias_lat,
+  CASE WHEN id % 5 = 0 THEN lon END AS bias_lon,
+  CASE WHEN id % 8 = 1 THEN CAST(47 AS DOUBLE) END AS box_min_lat,
+  CASE WHEN id % 8 = 1 THEN CAST(48.1 AS DOUBLE) END AS box_max_lat,
+  CASE WHEN id % 8 = 1 THEN CAST(-76 AS DOUBLE) END AS box_min_lon,
+  CASE WHEN id % 8 = 1 THEN CAST(-74.8 AS DOUBLE) END AS box_max_lon
+FROM {addr}
 """
 
 
@@ -274,11 +283,13 @@ SELECT c_custkey AS customer_id,
 FROM {customer}
 """
 
-# Event rows of jobs: a job is a key and a slot, views are submissions and all else attempts.
+# Event rows of jobs: a job is a key and a slot, views are submissions and all else attempts. Every
+# seventh key has one job with attempts only, which all succeed or all fail, so that its batches end.
 JOB_EVENTS_SQL = """
-SELECT key_id * 100 + event_id % 9 AS job_id, key_id % 25 AS batch_id, CAST(key_id % 4 AS INT) AS priority,
-  CASE WHEN route = 'view' OR event_id % 10 = 3 THEN 'submit' ELSE 'attempt' END AS kind,
-  ok AND key_id % 3 = 0 AND event_id % 4 = 0 AS ok, ms, ts, event_id
+SELECT key_id * 100 + CASE WHEN key_id % 7 = 0 THEN 0 ELSE event_id % 9 END AS job_id,
+  CASE WHEN key_id % 7 = 0 THEN 100 + key_id % 5 ELSE key_id % 25 END AS batch_id, CAST(key_id % 4 AS INT) AS priority,
+  CASE WHEN key_id % 7 <> 0 AND (route = 'view' OR event_id % 10 = 3) THEN 'submit' ELSE 'attempt' END AS kind,
+  CASE WHEN key_id % 7 = 0 THEN key_id % 5 < 2 OR (key_id % 5 = 2 AND key_id % 2 = 0) ELSE ok AND key_id % 3 = 0 AND event_id % 4 = 0 END AS ok, ms, ts, event_id
 FROM {log}
 """
 
@@ -344,19 +355,19 @@ def comparison_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Requests with hint points on half of them, and requests for the bulk lookup with all fields.
 HINTED_SQL = """
-SELECT req_id, address, CASE WHEN req_id % 20 = 0 THEN '' ELSE postal END AS postal, city, state,
+SELECT req_id, address, CASE WHEN req_id % 2 = 0 THEN '' ELSE postal END AS postal, city, state,
   CASE WHEN req_id % 3 <> 0 THEN CAST(43 AS DOUBLE) + CAST((req_id * 53 + 5) % 9973 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS lat,
   CASE WHEN req_id % 3 <> 0 THEN CAST(-80 AS DOUBLE) + CAST((req_id * 71 + 3) % 9967 AS DOUBLE) / CAST(1000 AS DOUBLE) END AS lon
 FROM {requests}
 """
 BULK_SQL = """
-SELECT req_id, CASE WHEN req_id % 70 = 10 THEN '/other' WHEN req_id % 30 = 0 THEN '/api/combined' WHEN req_id % 30 = 10 THEN '/api' ELSE '/api/on' END AS path,
-  CASE WHEN req_id % 50 < 20 THEN '' ELSE address END AS address, CASE WHEN req_id % 90 = 20 THEN 'much too long to be a postal code' ELSE postal END AS postal,
+SELECT req_id, CASE WHEN req_id % 7 = 1 THEN '/other' WHEN req_id % 3 = 0 THEN '/api/combined' WHEN req_id % 3 = 1 THEN '/api' ELSE '/api/on' END AS path,
+  CASE WHEN req_id % 5 < 2 THEN '' ELSE address END AS address, CASE WHEN req_id % 9 = 2 THEN 'much too long to be a postal code' ELSE postal END AS postal,
   city, state, 'Canada' AS country,
-  CASE WHEN req_id % 50 = 10 THEN CAST(43 AS DOUBLE) + CAST((req_id * 53) % 9973 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 130 = 0 THEN 91.5 END AS lat,
-  CASE WHEN req_id % 50 = 10 THEN CAST(-80 AS DOUBLE) + CAST((req_id * 71) % 9967 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 130 = 0 THEN -79.5 END AS lon,
-  CASE WHEN req_id % 40 = 0 THEN 'municipality' END AS return_raw, CASE WHEN req_id % 60 = 10 THEN 'true' WHEN req_id % 60 = 30 THEN 'no' END AS include_raw,
-  CASE WHEN req_id % 80 = 30 THEN 'postal_centroid' END AS method_raw
+  CASE WHEN req_id % 5 = 1 THEN CAST(43 AS DOUBLE) + CAST((req_id * 53) % 9973 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 13 = 0 THEN 91.5 END AS lat,
+  CASE WHEN req_id % 5 = 1 THEN CAST(-80 AS DOUBLE) + CAST((req_id * 71) % 9967 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN req_id % 13 = 0 THEN -79.5 END AS lon,
+  CASE WHEN req_id % 4 = 0 THEN 'municipality' END AS return_raw, CASE WHEN req_id % 6 = 1 THEN 'true' WHEN req_id % 6 = 3 THEN 'no' END AS include_raw,
+  CASE WHEN req_id % 8 = 3 THEN 'postal_centroid' END AS method_raw
 FROM {requests}
 """
 
