@@ -172,12 +172,17 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_chosen(text.as_py(), shared.value, ORDERS, bits) for text in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hash"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["hash", "toxic", "features"]
+            )
 
-    chosen = labelled.orderBy(F.xxhash64("text"), "toxic").limit(fit_rows) if labelled.count() > fit_rows else labelled
-    rows = chosen.mapInArrow(reduced, "toxic int, features array<int>")
+    hashed = labelled.withColumn("hash", F.xxhash64("text"))
+    chosen = hashed.orderBy("hash", "toxic").limit(fit_rows) if labelled.count() > fit_rows else hashed
+    rows = chosen.mapInArrow(reduced, "hash bigint, toxic int, features array<int>")
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        # One order whatever the shuffle's, so that sums and scores are the same to the last bit.
+        frame = frame.sort_values(["hash", "toxic"], kind="stable")
         weights, intercept = _fit([np.asarray(f, np.int64) for f in frame["features"]], frame["toxic"].to_numpy(np.float64), ratio)
         return pd.DataFrame({"weights": [weights], "intercept": [intercept]})
 

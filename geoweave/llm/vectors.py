@@ -48,7 +48,7 @@ _GRAPH = "shard int, place int, node bigint, copies bigint, vector array<double>
 def _built(nodes: DataFrame) -> DataFrame:
     """Graphs of shards, one row per vector: its place, its top layer from below, its links layer by layer from below."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key, table):
         table = table.combine_chunks().sort_by("node")
         vectors = _matrix(table.column("vector").combine_chunks())
         graph = build(vectors.astype(np.float32))
@@ -94,7 +94,7 @@ def _searched(graphs: DataFrame, nodes: DataFrame, shards: int, parts: int, beam
     """
     held = graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("query", F.lit(0))
     asked = nodes.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("int").alias("shard"), F.lit(0).alias("place"), "node", "copies", "vector",
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(0).alias("place"), "node", "copies", "vector",
         F.lit(0).alias("level"), F.lit(None).cast("array<array<int>>").alias("links"),
         F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("query"),
     )
