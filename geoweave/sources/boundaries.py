@@ -141,18 +141,17 @@ def union_boundaries(*sets: DataFrame) -> DataFrame:
 def feature_rows(features: DataFrame) -> DataFrame:
     """IO10: stored form with id, box and centroid.
 
-    A feature without an id property takes its position, marked so that it is no other's property.
-    Of features of a dataset with one id property, all but the first add their position to it. So
-    two features with different positions never share an id.
+    A feature without an id property takes its position. Where several features of a dataset come
+    to the same id, all but the first add their position to it after a ``#``.
     """
     ids = [F.try_element_at("props", F.lit(f)) for f in vocab.BOUNDARY_ID_FIELDS]
     place = F.col("ordinal").cast("string")
-    given = features.withColumn("_given", F.coalesce(*ids))
-    firsts = given.where("_given IS NOT NULL").groupBy("dataset", "_given").agg(F.min("ordinal").alias("_first"))
+    given = features.withColumn("_given", F.coalesce(*ids, place))
+    firsts = given.groupBy("dataset", "_given").agg(F.min("ordinal").alias("_first"))
     again = F.col("_first") != F.col("ordinal")
     return (
         given.join(firsts, ["dataset", "_given"], "left")
-        .withColumn("_id", F.when(again, F.concat_ws("#", "_given", place)).otherwise(F.coalesce("_given", F.concat(F.lit("#"), place))))
+        .withColumn("_id", F.when(again, F.concat_ws("#", "_given", place)).otherwise(F.col("_given")))
         .withColumn("bbox", bounding_box(F.col("geom")))
         .withColumn("centroid", vertex_centroid(F.col("geom")))
         .withColumn(
