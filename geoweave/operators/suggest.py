@@ -157,7 +157,9 @@ def match_streets(searches: DataFrame, index: StreetIndex) -> DataFrame:
         F.col("lat").between(F.col("box_min_lat"), F.col("box_max_lat"))
         & F.col("lon").between(F.col("box_min_lon"), F.col("box_max_lon"))
     )
-    wanted = F.col("want_province").isNull() | (F.col("province") == F.col("want_province"))
+    # A search names one province, several with commas between, or none.
+    listed = F.split(F.replace(F.col("want_province"), F.lit(" "), F.lit("")), ",")
+    wanted = F.col("want_province").isNull() | F.array_contains(listed, F.col("province"))
     return (
         fetched.join(weighed.withColumnRenamed("province", "want_province"), "sid")
         .join(index.docs, "doc_id")
@@ -257,8 +259,11 @@ def score() -> Column:
 def search_streets(queries: DataFrame, index: StreetIndex, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
     """SG2-SG10, WN1, WN2, WN7: ranked streets per query.
 
-    Equal searches are matched once; a query's civic number enters only in the final score.
+    Equal searches are matched once; a query's civic number enters only in the final score. A query
+    may have its own ``max_results``; ``limit`` is for those without.
     """
+    if "max_results" not in queries.columns:
+        queries = queries.withColumn("max_results", F.lit(None).cast("int"))
     prepared = cut_lineage(
         prepare_queries(queries).withColumn("sid", _search_id()), "search_queries"
     ).where(F.size("groups") > 0)
@@ -269,14 +274,15 @@ def search_streets(queries: DataFrame, index: StreetIndex, limit: int = vocab.SE
         haversine(F.col("bias_lon"), F.col("bias_lat"), F.col("lon"), F.col("lat")),
     )
     scored = (
-        window.join(prepared.select("query_id", "sid", "civic", "unit"), "sid")
+        window.join(prepared.select("query_id", "sid", "civic", "unit", "max_results"), "sid")
         .withColumns({"distance": distance, "in_range": civic_in_range(F.col("civic"))})
         .withColumn("score", score())
     )
     order = Window.partitionBy("query_id").orderBy(
         F.desc(F.round("score", 9)), F.desc("address_count"), F.asc("suggest_text"), F.asc("doc_id")
     )
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    asked = F.least(F.greatest(F.coalesce("max_results", F.lit(limit)), F.lit(1)), F.lit(vocab.SEARCH_WINDOW))
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= asked).drop("max_results")
 
 
 def match_ranges(label: Column, search_text: Column) -> Column:

@@ -68,7 +68,7 @@ hits AS (
       coalesce(round((bias_lat - d.lat) * (bias_lat - d.lat) + (bias_lon - d.lon) * (bias_lon - d.lon) * 0.53, 12), 0),
       d.address_count DESC, round(m.bm25, 9), d.doc_id) AS window_rank
   FROM prep p JOIN matched m USING (search_text) JOIN doc d USING (doc_id)
-  WHERE (p.province IS NULL OR d.province = p.province)
+  WHERE (p.province IS NULL OR list_contains(string_split(replace(p.province, ' ', ''), ','), d.province))
     AND (box_min_lat IS NULL OR (d.lat BETWEEN box_min_lat AND box_max_lat AND d.lon BETWEEN box_min_lon AND box_max_lon))),
 win AS (
   SELECT *, min(bm25) OVER w AS best, max(bm25) OVER w AS worst, max(address_count) OVER w AS top,
@@ -83,7 +83,7 @@ scored AS (
     + 0.1 * coalesce(1 / (1 + distance / 5000), 0) + 0.05 * CASE WHEN in_range THEN 1 ELSE 0 END AS score FROM win),
 ranked AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, address_count DESC, suggest_text, doc_id) AS rank
-    FROM scored) WHERE rank <= 7)"""
+    FROM scored) WHERE rank <= coalesce(max_results, 7))"""
 
 
 def _index(spark, sf_dir):

@@ -260,7 +260,8 @@ SELECT id AS query_id,
     WHEN 3 THEN CASE WHEN unit = '' THEN '7' ELSE unit END || '-' || CAST(1 + 2 * (id % 60) AS STRING) || ' ' || street_name
     WHEN 4 THEN CAST(1 + id % 119 AS STRING) || ' ' || lower(street_name) || ' street west'
     ELSE street_name || ' ' || province END AS q,
-  CASE WHEN id % 7 = 0 THEN province END AS province,
+  CASE id % 7 WHEN 0 THEN province WHEN 1 THEN 'QC, ON' WHEN 2 THEN 'BC,QC' END AS province,
+  CAST(CASE id % 9 WHEN 0 THEN 3 WHEN 1 THEN 12 END AS INT) AS max_results,
   CASE WHEN id % 5 = 0 THEN lat END AS bias_lat,
   CASE WHEN id % 5 = 0 THEN lon END AS bias_lon,
   CASE WHEN id % 8 = 1 THEN CAST(47 AS DOUBLE) END AS box_min_lat,
