@@ -164,7 +164,7 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
     another value are left out; null texts count as empty. No rows give a score of 0.5.
     """
     labelled = written(labelled.where("toxic in (0, 1)").select(F.col("text"), F.col("toxic").cast("int").alias("toxic")), "toxic_labelled")
-    counts = sum_by_slot(labelled, bits).toPandas()
+    counts = sum_by_slot(labelled, bits).toArrow().to_pandas()
     slots, ratio = _ratios(counts, bits)
     context = labelled.sparkSession.sparkContext
     shared = context.broadcast(_places(slots, bits))  # 4 bytes per slot of the table
@@ -176,9 +176,15 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
                 [batch.column("hash"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["hash", "toxic", "features"]
             )
 
+    # About a fifth more rows than wanted are reduced to numbers of features, then the first of these
+    # are taken, so no text reaches the task that fits.
     hashed = labelled.withColumn("hash", F.xxhash64("text"))
-    chosen = hashed.orderBy("hash", "toxic").limit(fit_rows) if labelled.count() > fit_rows else hashed
-    rows = chosen.mapInArrow(reduced, "hash bigint, toxic int, features array<int>")
+    total = max(1, labelled.count())
+    share = min(1 << 20, -(-(1 << 20) * fit_rows * 6 // (5 * total)))
+    some = hashed.where(F.pmod("hash", F.lit(1 << 20)) < share)
+    rows = some.mapInArrow(reduced, "hash bigint, toxic int, features array<int>")
+    if total > fit_rows:
+        rows = rows.orderBy("hash", "toxic", "features").limit(fit_rows)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         # One order whatever the shuffle's, so that sums and scores are the same to the last bit.
