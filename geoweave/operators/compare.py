@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import text
+from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
 # Report labels.
 ERROR_HANDLED = "Error handled"
@@ -165,36 +166,53 @@ def disagreements(results: DataFrame) -> DataFrame:
 
 
 def exact_percentiles(rows: DataFrame, group: list[str], value: str, ps: list[float],
-                      buckets: int = 4096) -> DataFrame:
+                      buckets: int = 4096, at_once: int = 100_000) -> DataFrame:
     """AG14: sorted[min(n - 1, floor(n * p))] per group, exact, without sorting a group in one task.
 
-    A histogram with a bounded number of buckets per group finds the bucket of each wanted position;
-    only the rows of those buckets are then ranked, as counts of distinct values.
+    A histogram with a bounded number of buckets finds the bucket of each wanted position, and only
+    the values of wanted buckets are looked at again. A bucket that still holds more than ``at_once``
+    different values, as when a few far values stretch the range, is cut into buckets of its own;
+    every round divides its range by ``buckets``. The last step ranks at most ``at_once`` values per
+    group and position. Null groups are groups like any other.
     """
-    bounds = rows.groupBy(*group).agg(
-        F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(value).alias("n")
+    own = [f"_g{i}" for i in range(len(group))]
+    # Joins compare groups as text, with a mark for null that no group has.
+    named = rows.where(F.col(value).isNotNull()).withColumns(
+        {o: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")) for o, g in zip(own, group, strict=True)}
     )
-    width = (F.col("hi") - F.col("lo")) / buckets
-    bucket = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0))
-    # One row per group, joined by group: the rows are not multiplied.
-    counted = (
-        rows.where(F.col(value).isNotNull())
-        .groupBy(*group, value).agg(F.count(F.lit(1)).alias("c"))
-        .join(bounds, group)
-        .withColumn("bucket", bucket)
-    )
-    per_bucket = counted.groupBy(*group, "bucket").agg(F.sum("c").alias("c"), F.first("n").alias("n"))
-    upto = Window.partitionBy(*group).orderBy("bucket")
-    placed = per_bucket.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+    counted = cut_lineage(named.groupBy(*own, *group, value).agg(F.count(F.lit(1)).alias("c")), "values")
     position = F.least(F.floor(F.col("n") * F.col("p")), F.col("n") - 1)
     wanted = (
-        placed.withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps])))
-        .withColumn("k", position)
-        .where("k >= start AND k < end")
-        .select(*group, "bucket", "p", (F.col("k") - F.col("start")).alias("k"))
+        counted.groupBy(*own)
+        .agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("values"))
+        .withColumn("p", F.explode(F.array(*[F.lit(p) for p in ps])))
+        .select(*own, "p", "lo", "hi", position.alias("k"), "values")
     )
-    inside = Window.partitionBy(*group, "bucket").orderBy(value)
-    ranked = counted.withColumn("end", F.sum("c").over(inside)).withColumn("start", F.col("end") - F.col("c"))
-    return ranked.join(wanted, group + ["bucket"]).where("k >= start AND k < end").select(
+    inside = (F.col(value) >= F.col("lo")) & (F.col(value) <= F.col("hi"))
+    while True:
+        wanted = cut_lineage(wanted, "wanted")
+        if wanted.where(F.col("values") > at_once).isEmpty():
+            break
+        width = (F.col("hi") - F.col("lo")) / buckets
+        number = F.least(F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("lo"), width)), F.lit(0)), F.lit(buckets))
+        per_bucket = (
+            counted.join(_small(wanted), own).where(inside).withColumn("bucket", number)
+            .groupBy(*own, "p", "k", "bucket")
+            .agg(F.sum("c").alias("c"), F.min(value).alias("lo"), F.max(value).alias("hi"), F.count(F.lit(1)).alias("values"))
+        )
+        end = F.sum("c").over(Window.partitionBy(*own, "p").orderBy("bucket"))
+        wanted = (
+            per_bucket.withColumn("end", end).withColumn("start", F.col("end") - F.col("c"))
+            .where("k >= start AND k < end")
+            .select(*own, "p", "lo", "hi", (F.col("k") - F.col("start")).alias("k"), "values")
+        )
+    up = Window.partitionBy(*own, "p").orderBy(value)
+    ranked = counted.join(_small(wanted), own).where(inside).withColumn("end", F.sum("c").over(up))
+    return ranked.where((F.col("k") >= F.col("end") - F.col("c")) & (F.col("k") < F.col("end"))).select(
         *group, "p", F.col(value).alias("value")
     )
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if its counted rows are few."""
+    return F.broadcast(table) if table.count() <= BROADCAST_MAX_ROWS else table

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from geoweave.operators import events as E
 from geoweave.operators import geocode as G
 from geoweave.operators import skew
+from geoweave.operators.compare import exact_percentiles
 from geoweave.operators import spatial as S
 from geoweave.plans.geocode_queries import PROVINCES, store
 from geoweave.sources import addresses as A
@@ -138,3 +139,14 @@ def test_resuming_a_load_that_broke_off(spark, tmp_path):
     assert A.import_province(spark, str(whole), root, "ON", "v2", resume=True).first().row_count == 6
     assert ids < {r.id for r in spark.read.parquet(f"{root}/addresses").collect()}
     assert A.import_province(spark, str(whole), root, "ON", "v3", resume=True).first().row_count == 6
+
+
+def test_percentiles_where_far_values_stretch_the_range(spark):
+    values = [float(i % 700) / 7 for i in range(3_000)] + [1e12, 1e9, -1e15]
+    rows = spark.createDataFrame([("a", v) for v in values] + [(None, v) for v in values[:50]] + [("b", None)], "g string, v double")
+    got = {(r.g, r.p): r.value for r in exact_percentiles(rows, ["g"], "v", [0.0, 0.5, 0.99, 1.0], buckets=16, at_once=5).collect()}
+    want = {}
+    for g, all_values in (("a", sorted(values)), (None, sorted(values[:50]))):
+        n = len(all_values)
+        want |= {(g, p): all_values[min(n - 1, int(n * p))] for p in (0.0, 0.5, 0.99, 1.0)}
+    assert got == want
