@@ -672,14 +672,18 @@ def row_mailing(row: Column) -> Column:
 def address_for_point(
     points: DataFrame, store: AddressStore, provinces: list[str], pid: str = "pid"
 ) -> DataFrame:
-    """GC19: reverse geocode first, then forward geocode of the query fields that came along."""
-    back = reverse_geocode(points, store, pid=pid)
-    again = back.where("error_code IS NOT NULL").select(pid, "address", "postal", "city", "state")
+    """GC19: reverse geocode first, then forward geocode of the query fields that came along.
+
+    Rows are told apart by a number of their own, so ``pid`` may repeat or be missing.
+    """
+    numbered = cut_lineage(points.withColumn("_rid", F.monotonically_increasing_id()), "asked")
+    back = reverse_geocode(numbered, store, pid="_rid")
+    again = back.where("error_code IS NOT NULL").select("_rid", "address", "postal", "city", "state")
     asks = F.coalesce(F.concat_ws("", "address", "postal", "city"), F.lit("")) != ""
-    forward = geocode(again.where(asks), store, provinces, req_id=pid, hints=False).where(
+    forward = geocode(again.where(asks), store, provinces, req_id="_rid", hints=False).where(
         "error_code IS NULL"
-    ).select(pid, F.col("row").alias("fwd"))
-    return back.join(forward, pid, "left").select(
+    ).select("_rid", F.col("row").alias("fwd"))
+    return back.join(forward, "_rid", "left").select(
         *[c for c in points.columns], F.coalesce("row", "fwd").alias("row"),
         F.when(F.col("row").isNotNull(), "reverse").when(F.col("fwd").isNotNull(), "forward")
         .alias("address_source"),

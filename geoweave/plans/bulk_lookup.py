@@ -52,7 +52,8 @@ def bulk_lookup(
     """GC20, J4: one result row per request; failures are an error text, never a failed job.
 
     ``requests`` has req_id, path and the query fields (address, postal, city, state, country, lat,
-    lon, return_raw, include_raw, method_raw). There is no limit on the number of rows.
+    lon, return_raw, include_raw, method_raw). There is no limit on the number of rows, and ``req_id``
+    may repeat or be missing: rows are told apart by a number of their own.
     """
     c = F.col
     error = F.coalesce(
@@ -83,23 +84,24 @@ def bulk_lookup(
     )
     kept = [req_id, "address", "postal", "city", "state", "lat", "lon", "geocode_method", "dataset",
             "want_town", "want_province"]
-    valid = cut_lineage(clean.where("error IS NULL").select(*kept), "valid")
+    numbered = clean.where("error IS NULL").select(*kept, F.monotonically_increasing_id().alias("_rid"))
+    valid = cut_lineage(numbered, "valid")
     located = cut_lineage(
-        G.geocode_mixed(valid, store, provinces, req_id=req_id), "located"
+        G.geocode_mixed(valid, store, provinces, req_id="_rid"), "located"
     )
     found = located.where("error_code IS NULL AND to_lon IS NOT NULL").drop("lon", "lat", "error_code")
     looked = two_level_lookup(
-        found.withColumnsRenamed({"to_lon": "lon", "to_lat": "lat"}), boundaries, req_id,
+        found.withColumnsRenamed({"to_lon": "lon", "to_lat": "lat"}), boundaries, "_rid",
         want_province=c("want_province"),
     )
     # The town comes from the geocoded address; points given as coordinates are looked up backwards.
     bare = looked.where("want_town AND row IS NULL").select(
-        req_id, "lon", "lat", "address", "postal", "city", "state"
+        "_rid", "lon", "lat", "address", "postal", "city", "state"
     )
-    context = G.address_for_point(bare, store, provinces, pid=req_id).select(
-        req_id, F.col("row").alias("near_row")
+    context = G.address_for_point(bare.withColumnRenamed("_rid", "row_no"), store, provinces, pid="row_no").select(
+        F.col("row_no").alias("_rid"), F.col("row").alias("near_row")
     )
-    whole = looked.join(context, req_id, "left").withColumn("shown", F.coalesce("row", "near_row"))
+    whole = looked.join(context, "_rid", "left").withColumn("shown", F.coalesce("row", "near_row"))
     town = rules.municipality(
         G.row_mailing(c("shown"))["municipality"], c("shown.city"), c("city")
     )

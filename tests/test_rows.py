@@ -12,7 +12,9 @@ from geoweave.operators import geocode as G
 from geoweave.operators import skew
 from geoweave.operators.compare import exact_percentiles
 from geoweave.operators import spatial as S
+from geoweave.plans.bulk_lookup import bulk_lookup
 from geoweave.plans.geocode_queries import PROVINCES, store
+from geoweave.plans.spatial_queries import boundaries
 from geoweave.sources import addresses as A
 from geoweave.sources import boundaries as B
 
@@ -41,6 +43,19 @@ def test_one_result_per_request(spark, addresses, run):
     assert len(answers) == 1
 
 
+def test_bulk_lookup_with_repeated_and_missing_ids(spark, sf_dir, addresses):
+    fields = ["address", "postal", "city", "state", "country", "lat", "lon", "return_raw", "include_raw", "method_raw"]
+    rows = [
+        (i, "/api/combined", None, postal, None, "ON", None, lat, lon, "municipality", None, None)
+        for i in (1, 1, None, None) for postal, lat, lon in ((None, 44.0, -79.0), ("M5V 2T6", None, None), ("", None, None))
+    ]
+    schema = "req_id bigint, path string, " + ", ".join(f"{f} {'double' if f in ('lat', 'lon') else 'string'}" for f in fields)
+    asked = spark.createDataFrame(rows, schema)
+    got = bulk_lookup(asked, addresses, boundaries(spark, sf_dir), PROVINCES).collect()
+    assert Counter(r.req_id for r in got) == {1: 6, None: 6}
+    assert len({(r.district, r.method, r.error) for r in got}) <= 4
+
+
 def squares(spark, *corners):
     rows = [(i, [[[[x, y], [x + 1.0, y], [x + 1.0, y + 1.0], [x, y + 1.0], [x, y]]]]) for i, (x, y) in enumerate(corners)]
     return spark.createDataFrame(rows, "ordinal int, geom array<array<array<array<double>>>>").withColumn("dataset", F.lit("d"))
