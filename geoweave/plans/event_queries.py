@@ -72,9 +72,9 @@ def batch_redaction(spark, sf_dir):
     )
 
 
-def _fold(key: str, seconds: int, select: str) -> str:
+def _fold(key: str, seconds: int, select: str, log: str = _GAPPY) -> str:
     return f"""
-WITH RECURSIVE {_GAPPY},
+WITH RECURSIVE {log},
 ev AS (SELECT {key}, epoch_us(ts) AS us, event_id, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM log WHERE ts IS NOT NULL),
 fold AS (
   SELECT {key}, n, us, event_id, us AS opened, 1 AS c FROM ev WHERE n = 1

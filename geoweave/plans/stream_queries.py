@@ -33,14 +33,14 @@ def stream_monthly_ceiling(spark, sf_dir):
     return out.withColumnRenamed("period", "month")
 
 
-@query("stream_rate_window", _fold("customer_id", 21600, "SELECT event_id, opened AS opened_at, c <= 2 AS allowed FROM fold"))
+@query("stream_rate_window", _fold("customer_id", 21600, "SELECT event_id, opened AS opened_at, c <= 2 AS allowed FROM fold", _LOG))
 def stream_rate_window(spark, sf_dir):
     """ST4 as a stream."""
     out = J.run_to_table(J.stream_rate_window(_log(spark, sf_dir), 2, "customer_id", 21600), "rate")
     return out.select("event_id", "opened_at", "allowed")
 
 
-@query("stream_ttl_hits", _fold("key_id", 86400, "SELECT event_id, c > 1 AS hit FROM fold"))
+@query("stream_ttl_hits", _fold("key_id", 86400, "SELECT event_id, c > 1 AS hit FROM fold", _LOG))
 def stream_ttl_hits(spark, sf_dir):
     """ST5 as a stream."""
     return J.run_to_table(J.stream_ttl_hits(_log(spark, sf_dir)), "ttl").select("event_id", "hit")
