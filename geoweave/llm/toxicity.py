@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm.common import take, written
+from geoweave.llm.common import small, take, written
 
 # Lengths of the n-grams, and the bits of the table into which they are hashed.
 ORDERS = (3, 4, 5, 6)
@@ -245,8 +245,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A document with several labels counts once for each different one.
     """
-    known = take(labels, "doc_id", "toxic").where("toxic in (0, 1)").distinct()
-    known = known.where(~held_out("doc_id"))
+    known = take(labels, "doc_id", "toxic").where("toxic in (0, 1)").where(~held_out("doc_id")).distinct()
+    # Counted: few labels are broadcast, so that no text is shuffled to be left out; many are not.
+    known = small(written(known, "toxic_labels"))
     return take(docs, "doc_id", "text").join(known, "doc_id").select("text", "toxic")
 
 
