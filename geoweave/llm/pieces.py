@@ -22,7 +22,7 @@ SAMPLES = 3
 SHARPNESS = 1.0
 SEED = 7
 # Lattice edges that a worker keeps before it begins again, and characters that it samples at a time.
-KEPT_EDGES = 3_000_000
+KEPT_EDGES = 5_000_000
 BATCH_CHARS = 1 << 20
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 _PRIME = np.uint64(0x100000001B3)
@@ -113,10 +113,13 @@ class Pieces:
         """Ids for a character without a piece."""
         return [self.bytes.get(b, self.unknown) for b in chr(code).encode()] if self.bytes else [self.unknown]
 
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids: pieces joined, byte pieces put together."""
+        return b"".join(map(self.text.__getitem__, ids.tolist()))
+
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: pieces joined, byte pieces put together, the leading space taken away."""
-        raw = b"".join(map(self.text.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+        """The text of ids, the leading space taken away."""
+        return self.joined(ids).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
 
 
 class Growing:
@@ -128,7 +131,7 @@ class Growing:
     def extend(self, values: np.ndarray) -> None:
         end = self.used + len(values)
         if end > len(self.data):
-            self.data = np.concatenate([self.data[: self.used], np.zeros(2 * end - self.used, self.data.dtype)])
+            self.data = np.concatenate([self.data[: self.used], np.zeros(3 * end // 2 - self.used, self.data.dtype)])
         self.data[self.used : end] = values
         self.used = end
 
@@ -326,11 +329,12 @@ def top_k(lattices: Lattices, texts: list[list[str]], k: int, seeds: list[int])
     All texts are searched side by side.
     """
     n = len(texts)
-    lattices.add([w for words in texts for w in words])
+    flat = [w for words in texts for w in words]
+    lattices.add(flat)
     a = lattices.arrays()
     seed = np.array(seeds, np.uint64)
     sizes = np.fromiter(map(len, texts), np.int64, n)
-    base = np.fromiter((lattices.words[w] for words in texts for w in words), np.int64, sizes.sum())
+    base = np.array(list(map(lattices.words.__getitem__, flat)), np.int64)
     word_end = np.cumsum(sizes)
     agenda, out = _Agenda(n, k), [[] for _ in range(n)]
     token_edge, token_left, token_log, token_word = (np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
@@ -495,10 +499,11 @@ def sample(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, path: str | None
         found = top_k(known, [words_of(t) for t in texts], k, [row_seed(d, seed) for d in ids_of])
         rows = []
         for doc, text, samples in zip(ids_of, texts, found, strict=True):
-            want = text.replace(SPACE, " ")
+            # A text comes back if the bytes of its pieces are those the model saw.
+            want = (SPACE + text.replace(" ", SPACE)).encode() if text else b""
             for i, (edges, log_prob, value, share) in enumerate(samples):
                 ids = known.ids_of(edges)
-                rows.append((doc, i, len(ids), log_prob, value, share, zlib.crc32(ids.astype("<u4").tobytes()), known.pieces.decode(ids) == want, ids))
+                rows.append((doc, i, len(ids), log_prob, value, share, zlib.crc32(ids.astype("<u4").tobytes()), known.pieces.joined(ids) == want, ids))
         columns = list(zip(*rows, strict=True)) or [[]] * 9
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
         names = ["doc_id", "sample", "n_pieces", "log_prob", "gumbel", "inclusion", "ids_crc32", "round_trip", "ids"]
