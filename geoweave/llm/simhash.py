@@ -262,7 +262,12 @@ def drop_near(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     The row with the smallest id stays; of rows with that id, the one with the smallest fingerprint
     and text hash. Rows that equal it in all three stay with it.
     """
-    found = written(near_groups(docs, bits), "simhash_groups")
+    return keep_smallest(docs, near_groups(docs, bits))
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``docs`` with one row of each ``component`` of ``groups``, chosen as in ``drop_near``."""
+    found = written(groups, "simhash_groups")
     best = found.groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "fp", "text_hash")).alias("best")
     )
