@@ -17,6 +17,8 @@ from geoweave.llm.tokens import END_ID, encoder, vocabulary_path
 SEQUENCE_TOKENS = 1024
 # Pieces that one task packs. A group leaves a few sequences unfilled, so the loss is small.
 GROUP_PIECES = 8_192
+# Tokens that a piece counts as at least when groups are sized, so short pieces come in larger groups.
+LEAST_TOKENS = 128
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -108,11 +110,13 @@ def packed(pieces: DataFrame, tokens: int = SEQUENCE_TOKENS, group: int = GROUP_
     """``pieces`` with the sequence that holds each and its offset there.
 
     Rows are numbered, written and dealt by that number over groups of about ``group`` rows, whatever
-    their ids, so no task sees more. A group is packed by ``sum_of_squares``. Sequence numbers
+    their ids, or of about ``group`` * LEAST_TOKENS tokens where pieces are shorter than that, so a group
+    fills many sequences and no task sees more. A group is packed by ``sum_of_squares``. Sequence numbers
     are unique over all groups. No rows give no rows.
     """
     rows = written(pieces.withColumn("tag", F.monotonically_increasing_id()), "packing_pieces")
-    groups = max(1, -(-rows.count() // group))
+    count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    groups = max(1, min(-(-count // group), -(-total // (group * LEAST_TOKENS))))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "tag"], ascending=[False, True], kind="stable")

@@ -199,3 +199,10 @@ def test_edits_from_a_table(ready):
 def test_query_columns_of_counts(odd_docs):
     states = token_counts.build_trees(odd_docs)
     assert states.where(F.element_at("chars", 2) != F.length("text")).count() == 0
+
+
+def test_short_pieces_fill_sequences_over_all_groups(ready):
+    """20,000 pieces of 2 tokens, of which 512 are not even one sequence."""
+    pieces = ready.range(20_000).selectExpr("id as doc_id", "0 as piece", "0L as start", "2L as length", "0L as ids_crc32")
+    got = packing.packed(pieces, 1024, 512).select("sequence_id").distinct().count()
+    assert got == 40
