@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import exact, licenses, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
+from geoweave.llm import exact, licenses, merkle, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
 from geoweave.llm.common import prepared
 from geoweave.session import scratch_path
 
@@ -119,3 +119,81 @@ def op4(table):
 def op5(table):
     """Near-duplicate embeddings: links and components."""
     return vectors.near_vectors(table("embeddings"))
+
+
+# Unsigned CRC-32 of a short decimal text, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, [ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT for i in range(1, 1 + length(doc_id::VARCHAR))]),
+    lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))))"""
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(text if c == "text" else c) for c in merkle.FIELDS) + ")"
+
+
+def _tree(name: str, start: str) -> str:
+    """Recursive table of all levels of the trees that ``start`` (tree, idx, n, digest) begins, and their runs."""
+    return f"""
+    {name} AS (
+      SELECT tree, idx, n, digest, 0 AS depth FROM {start}
+      UNION ALL
+      SELECT tree, idx // 3, (any_value(n) + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)), any_value(depth) + 1
+      FROM {name} WHERE n > 1 GROUP BY tree, idx // 3
+    ),
+    {name}_runs AS (
+      SELECT tree, depth, idx // 3 AS run, list(digest ORDER BY idx) AS digests FROM {name} WHERE n > 1 GROUP BY ALL
+    )"""
+
+
+def _path(name: str, start: str, trees: str) -> str:
+    """Recursive table that folds the rows of ``start`` (row, tree, idx, digest, proof) up their tree."""
+    return f"""
+    {name} AS (
+      SELECT row, tree, idx, digest, proof, 0 AS depth FROM {start}
+      UNION ALL
+      SELECT p.row, p.tree, p.idx // 3,
+             sha256(array_to_string(r.digests[1 : p.idx % 3], '') || p.digest || array_to_string(r.digests[p.idx % 3 + 2 :], '')),
+             p.proof || array_to_string(r.digests[1 : p.idx % 3], '') || array_to_string(r.digests[p.idx % 3 + 2 :], ''),
+             p.depth + 1
+      FROM {name} p JOIN {trees}_runs r ON r.tree = p.tree AND r.depth = p.depth AND r.run = p.idx // 3
+    ),
+    {name}_end AS (SELECT * FROM {name} QUALIFY depth = max(depth) OVER (PARTITION BY row))"""
+
+
+@query(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE leaves AS (
+      SELECT *, row_number() OVER () AS row, coalesce(':' || source, '') AS tree, {_leaf("text")} AS digest,
+             CASE WHEN coalesce({_CRC32} % 2 = 0, false) THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS tampered
+      FROM documents
+    ),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, digest) - 1 AS idx,
+             count(*) OVER (PARTITION BY tree) AS n FROM leaves
+    ),
+    {_tree("low", "placed")},
+    tops AS (
+      SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n, digest, tree AS key
+      FROM low WHERE n = 1
+    ),
+    {_tree("high", "tops")},
+    low_start AS (SELECT row, tree, idx, tampered AS digest, '' AS proof FROM placed),
+    {_path("climbed", "low_start", "low")},
+    high_start AS (
+      SELECT c.row, 0 AS tree, t.idx, c.digest, c.proof FROM climbed_end c JOIN tops t ON t.key = c.tree
+    ),
+    {_path("topped", "high_start", "high")},
+    last AS (SELECT digest AS root FROM high WHERE n = 1)
+    SELECT p.doc_id, p.digest AS leaf, t.digest AS subroot, l.root, sha256(e.proof) AS proof_sha256,
+           e.digest AS folded_root, e.digest = l.root AS verified
+    FROM placed p JOIN tops t ON t.key = p.tree JOIN topped_end e ON e.row = p.row CROSS JOIN last l
+    """,
+)
+def op12(table):
+    """Every document's leaf, proof and check against the root of all documents."""
+    return merkle.tamper_check(table("documents"))
