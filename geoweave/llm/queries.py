@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import exact, licenses, merkle, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
+from geoweave.llm import centroids, exact, licenses, merkle, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
 from geoweave.llm.common import prepared
 from geoweave.session import scratch_path
 
@@ -197,3 +197,43 @@ def _path(name: str, start: str, trees: str) -> str:
 def op12(table):
     """Every document's leaf, proof and check against the root of all documents."""
     return merkle.tamper_check(table("documents"))
+
+
+def _rounds() -> str:
+    """Starting centroids, then per round the assignment of all vectors and the centroids that follow."""
+    square = "list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = [
+        """c0 AS MATERIALIZED (
+      SELECT (row_number() OVER (ORDER BY sha256('3:' || vec_id) NULLS LAST, v) - 1)::INTEGER AS cluster, v FROM kept
+      ORDER BY cluster LIMIT 8)"""
+    ]
+    for i in range(centroids.ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+      SELECT k.row, arg_min(c.cluster, ({square}, c.cluster)) AS cluster, min({square}) AS distance
+      FROM kept k CROSS JOIN c{i} c GROUP BY k.row)""")
+        if i < centroids.ROUNDS:
+            parts.append(f"""c{i + 1} AS MATERIALIZED (
+      SELECT c.cluster, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (
+        SELECT cluster, list(((s - ((s % n) + n) % n) / n)::BIGINT ORDER BY d) AS v FROM (
+          SELECT cluster, d, sum(x)::HUGEINT AS s, count(*) AS n
+          FROM (SELECT a.cluster, unnest(k.v) AS x, unnest(range(len(k.v))) AS d FROM a{i} a JOIN kept k USING (row))
+          GROUP BY cluster, d) GROUP BY cluster) m USING (cluster))""")
+    return ", ".join(parts)
+
+
+@query(
+    "op13_centroids",
+    f"""
+    WITH kept AS MATERIALIZED (
+      SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v
+      FROM embeddings
+      WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+    ), {_rounds()}
+    SELECT k.vec_id, a.cluster, a.distance, (sum(a.distance) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+           (sum(a.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+    FROM a{centroids.ROUNDS} a JOIN kept k USING (row) JOIN c{centroids.ROUNDS} c USING (cluster)
+    """,
+)
+def op13(table):
+    """Clusters of all embeddings after ten rounds from eight hashed starts."""
+    return centroids.cluster(table("embeddings"))
