@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoweave.llm import centroids, exact, licenses, merkle, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
+from geoweave.llm import bpe, centroids, exact, licenses, merkle, packing, pieces, shards, simhash, token_counts, toxicity, vectors, warc
 from geoweave.llm.common import prepared
 from geoweave.session import scratch_path
 
@@ -237,3 +237,13 @@ def _rounds() -> str:
 def op13(table):
     """Clusters of all embeddings after ten rounds from eight hashed starts."""
     return centroids.cluster(table("embeddings"))
+
+
+@query("op11_byte_bpe")
+def op11(table):
+    """All documents encoded by merge ranks and decoded again."""
+    coded = bpe.decode(bpe.encode(table("documents")))
+    return coded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
