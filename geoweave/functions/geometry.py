@@ -74,6 +74,11 @@ def vertex_centroid(geom: Column) -> Column:
     return F.struct(mean(0).alias("lon"), mean(1).alias("lat"))
 
 
+def number(value: Column) -> Column:
+    """A coordinate, null where it is not a number: its edges then cross nothing."""
+    return F.nullif(value, F.lit(float("nan")))
+
+
 def ring_edges(ring: Column) -> Column:
     """Edges of a ring, each vertex with the one before it; empty below three vertices."""
     n = F.size(ring)
@@ -82,17 +87,18 @@ def ring_edges(ring: Column) -> Column:
         ring,
         before,
         lambda a, b: F.struct(
-            a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")
+            number(a[0]).alias("x1"), number(a[1]).alias("y1"), number(b[0]).alias("x2"), number(b[1]).alias("y2")
         ),
     )
     return F.filter(edges, lambda e: n >= 3)
 
 
-def edges_contain(edges: Column, px: Column, py: Column) -> Column:
+def edges_contain(edges: Column, px: Column, py: Column, more: Column | None = None) -> Column:
     """SP5: on an edge, or an odd number of edges to the right.
 
     An edge that does not reach the height of the point adds nothing to either test, so ``edges``
-    may be any subset of the ring that keeps those that do.
+    may be any subset of the ring that keeps those that do; ``more`` stands for the number of edges
+    to the right that are left out.
     """
 
     def on_edge(e: Column) -> Column:
@@ -109,7 +115,8 @@ def edges_contain(edges: Column, px: Column, py: Column) -> Column:
         )
         return ((e["y1"] > py) != (e["y2"] > py)) & (px < at + e["x1"])
 
-    return F.exists(edges, on_edge) | (F.size(F.filter(edges, crossed)) % 2 == 1)
+    right = F.size(F.filter(edges, crossed))
+    return F.exists(edges, on_edge) | ((right if more is None else right + more) % 2 == 1)
 
 
 def polygon_contains(rings: Column, px: Column, py: Column) -> Column:

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.functions.geometry import bounding_box, edges_contain, ring_edges
+from geoweave.functions.geometry import EDGE_TOLERANCE, bounding_box, edges_contain, number
 from geoweave.operators.skew import hot_keys, salted_join
 from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
 # Cells the grid aims for, whatever the extent of the boundaries.
 MIN_CELLS, MAX_CELLS = 1_024, 2_000_000
+# Cells are taken this much wider, in shares of their side, against rounding.
+SLACK = 1e-6
 # Largest index, in edges, that is broadcast, and most boundaries in one cell of a packed index.
 BROADCAST_MAX_EDGES = 1_000_000
 PACKED_MAX_PER_CELL = 1_000
@@ -38,10 +40,9 @@ def overall_box(indexed: DataFrame) -> DataFrame:
 class CellIndex:
     """Boundaries cut into grid cells.
 
-    A row holds, for one boundary and one cell, only the edges that can decide a point of that cell:
-    those that reach the cell's band of heights and do not end left of it. Where no edge enters the
-    cell the answer is the same for the whole cell, so the row is kept without edges (all inside) or
-    dropped (all outside).
+    A row holds, for one boundary and one cell, the edges that enter the cell and, per ring, the parity of
+    what lies to the right of it. Where no edge enters the cell the answer is the same for the
+    whole cell, so the row is kept without rings (all inside) or dropped (all outside).
     """
 
     def __init__(self, rows: DataFrame, side: float, cells: int, edges: int, most: int, box: tuple):
@@ -81,66 +82,7 @@ def build_cell_index(features: DataFrame, side: float | None = None) -> CellInde
         target = min(max(4 * features_n, vertices // 16, MIN_CELLS), MAX_CELLS)
         side = max(math.sqrt(area / target), max(box[2] - box[0], box[3] - box[1], 1e-6) / 4096)
 
-    cells = (
-        indexed.select(
-            "dataset", "ordinal",
-            F.explode(F.sequence(_cell(F.col("bbox.min_y"), side), _cell(F.col("bbox.max_y"), side))).alias("cy"),
-            "bbox",
-        )
-        .select(
-            "dataset", "ordinal", "cy",
-            F.explode(F.sequence(_cell(F.col("bbox.min_x"), side), _cell(F.col("bbox.max_x"), side))).alias("cx"),
-        )
-    )
-    edges = (
-        indexed.select("dataset", "ordinal", F.posexplode("geom").alias("part", "rings"))
-        .select("dataset", "ordinal", "part", F.posexplode("rings").alias("ring", "coords"))
-        .select("dataset", "ordinal", "part", "ring", F.inline(ring_edges(F.col("coords"))))
-    )
-    banded = edges.withColumn(
-        "cy",
-        F.explode(F.sequence(_cell(F.least("y1", "y2"), side), _cell(F.greatest("y1", "y2"), side))),
-    )
-
-    slack = side * 1e-6
-    left, right = F.col("cx") * side - slack, (F.col("cx") + 1) * side + slack
-    low, high = F.col("cy") * side - slack, (F.col("cy") + 1) * side + slack
-    dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
-    max_x, min_x = F.greatest("x1", "x2"), F.least("x1", "x2")
-    ends_left = (max_x + dx * 0.001 < left) & (dy > 1e-6)
-    enters = (
-        (max_x >= left) & (min_x <= right)
-        & (F.greatest("y1", "y2") >= low) & (F.least("y1", "y2") <= high)
-    )
-    rings = (
-        cells.join(banded, ["dataset", "ordinal", "cy"])
-        .where(~ends_left)
-        .groupBy("dataset", "cx", "cy", "ordinal", "part", "ring")
-        .agg(
-            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
-            F.max(enters).alias("enters"),
-        )
-    )
-    per_cell = (
-        rings.groupBy("dataset", "cx", "cy", "ordinal")
-        .agg(
-            F.collect_list(F.struct("part", "ring", "edges")).alias("rings"),
-            F.max("enters").alias("enters"),
-        )
-        .withColumn(
-            "center_in",
-            # Only cells without an edge inside are judged by their centre.
-            ~F.col("enters")
-            & rings_contain(
-                F.col("rings"), (F.col("cx") + 0.5) * side, (F.col("cy") + 0.5) * side
-            ),
-        )
-        .where("enters OR center_in")
-        .select(
-            "dataset", "cx", "cy", F.col("ordinal").cast("bigint").alias("ordinal"),
-            F.when(F.col("enters"), F.col("rings")).alias("rings"),
-        )
-    )
+    per_cell = _cell_rows(indexed, side)
     rows = cut_lineage(per_cell, "cells")
     size = (
         rows.groupBy("dataset", "cx", "cy")
@@ -158,15 +100,149 @@ def build_cell_index(features: DataFrame, side: float | None = None) -> CellInde
     return CellIndex(rows, side, size[0] or 0, size[1] or 0, size[2] or 0, box)
 
 
+def _edge(p: Column, q: Column, after: Column, before: Column, side: float) -> Column:
+    """The edge from vertex ``p`` to ``q``, with what tells its columns of cells in a row.
+
+    ``ok``: both ends have coordinates; ``whole``: so have the edges on either side. Between heights y and
+    z the edge lies between ``xa + slope * (y - low)`` and ``xb + slope * (z - low)``; one that is not high
+    enough is taken with its whole width. The tolerance in the crossing test moves a crossing along the
+    edge, the further the flatter the edge, by ``pad`` at most.
+    """
+    dx, dy = q["x"] - p["x"], q["y"] - p["y"]
+    up = p["y"] <= q["y"]
+    steep = F.abs(dy) >= side / 4
+    start = F.when(up, p["x"]).otherwise(q["x"])
+    moved = F.coalesce(F.try_divide(F.lit(2 * EDGE_TOLERANCE), F.abs(dy + EDGE_TOLERANCE)), F.lit(1e9))
+    ok = p["x"].isNotNull() & p["y"].isNotNull() & q["x"].isNotNull() & q["y"].isNotNull()
+    return F.struct(
+        p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2"),
+        F.least(p["y"], q["y"]).alias("low"), F.greatest(p["y"], q["y"]).alias("high"),
+        F.when(steep, start).otherwise(F.least(p["x"], q["x"])).alias("xa"),
+        F.when(steep, start).otherwise(F.greatest(p["x"], q["x"])).alias("xb"),
+        F.when(steep, F.try_divide(dx, dy)).otherwise(0.0).alias("slope"),
+        (F.when(dy == 0, 0.0).otherwise(F.abs(dx) * (moved + 1e-9)) + side * SLACK).alias("pad"),
+        ok.alias("ok"),
+        (ok & after["x"].isNotNull() & after["y"].isNotNull() & before["x"].isNotNull() & before["y"].isNotNull()).alias("whole"),
+    )
+
+
+def _edges(indexed: DataFrame, side: float) -> DataFrame:
+    """Every edge of every ring with the edges before and after it, and the columns of cells of its boundary."""
+    n = F.size("coords")
+
+    def at(i: Column) -> Column:
+        c = F.get("coords", F.pmod(i, n))
+        return F.struct(number(F.get(c, 0)).alias("x"), number(F.get(c, 1)).alias("y"))
+
+    around = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _edge(at(i), at(i - 1), at(i + 1), at(i - 2), side))
+    ahead = F.concat(F.slice("es", 2, n - 1), F.slice("es", 1, 1))
+    behind = F.concat(F.slice("es", n, F.lit(1)), F.slice("es", F.lit(1), n - 1))
+    key = ["dataset", "ordinal", "part", "ring", "lo_cx", "hi_cx"]
+    return (
+        indexed.select(
+            "dataset", "ordinal", F.posexplode("geom").alias("part", "rings"),
+            _cell(F.col("bbox.min_x"), side).alias("lo_cx"), _cell(F.col("bbox.max_x"), side).alias("hi_cx"),
+        )
+        .select("dataset", "ordinal", "part", F.posexplode("rings").alias("ring", "coords"), "lo_cx", "hi_cx")
+        .where(n >= 3)
+        .select(*key, "coords", around.alias("es"))
+        .select(*key, F.inline(F.arrays_zip(ahead.alias("after"), F.col("es").alias("own"), behind.alias("before"))).alias("after", "own", "before"))
+        .where("own.ok")
+    )
+
+
+def _columns(edge: Column, cy: Column, side: float) -> tuple[Column, Column]:
+    """The first and last column of cells in which ``edge`` may decide a point of row ``cy``."""
+    slack = side * SLACK
+    one = edge["xa"] + edge["slope"] * (F.greatest(edge["low"], cy * side - slack) - edge["low"])
+    two = edge["xb"] + edge["slope"] * (F.least(edge["high"], (cy + 1) * side + slack) - edge["low"])
+    return _cell(F.least(one, two) - edge["pad"], side), _cell(F.greatest(one, two) + edge["pad"], side)
+
+
+def _cell_rows(indexed: DataFrame, side: float) -> DataFrame:
+    """The rows of a ``CellIndex``; their number grows with the edges and with the cells inside, not with their product.
+
+    For a point of a cell, an edge right of the cell counts when one of its ends is above the point. Summed
+    over the edges right of the cell, an end that two of them share cancels out. What is left:
+
+    - ends above the whole row of cells, the same for every point of the cell: kept as the ring's parity,
+      a running count over the row of the edges that cross its upper side;
+    - ends within the row whose other edge enters the cell: kept as marks on that edge (``up1``, ``up2``).
+
+    An edge next to a vertex without coordinates has no such partner and enters every cell on its left.
+    """
+    slack = side * SLACK
+    key = ["dataset", "ordinal", "part", "ring"]
+    after, own, before = F.col("after"), F.col("own"), F.col("before")
+    over, under = lambda y: _cell(y - slack, side), lambda y: _cell(y + slack, side)
+    cy, cx = F.col("cy"), F.col("cx")
+    banded = _edges(indexed, side).withColumn("cy", F.explode(F.sequence(over(own["low"]), under(own["high"]))))
+    first, last = _columns(own, cy, side)
+
+    def right_of(neighbour: Column, y: Column) -> Column:
+        """Before which column the neighbour at an end of height ``y`` in this row is right of the cell."""
+        return F.when(neighbour["whole"] & (over(y) <= cy) & (under(y) >= cy), _columns(neighbour, cy, side)[0])
+
+    rows = banded.select(
+        *key, "cy", "lo_cx",
+        F.when(own["whole"], F.greatest(first, "lo_cx")).otherwise(F.col("lo_cx")).alias("a"),
+        F.least(last, "hi_cx").alias("b"),
+        ((over(own["high"]) > cy) & (over(own["low"]) <= cy)).alias("crosses_top"),
+        right_of(after, own["y1"]).alias("a1"), right_of(before, own["y2"]).alias("a2"),
+        *[own[c].alias(c) for c in ("x1", "y1", "x2", "y2")],
+    )
+    # Read twice below.
+    placed = cut_lineage(rows, "edges")
+
+    def mark(n: int) -> Column:
+        return F.coalesce(cx < F.col(f"a{n}"), F.lit(False))
+
+    near = placed.where("a <= b").withColumn("cx", F.explode(F.sequence("a", "b"))).select(
+        *key, "cx", "cy",
+        F.struct("x1", "y1", "x2", "y2", mark(1).alias("up1"), mark(2).alias("up2")).alias("edge"), F.lit(0).alias("parity"),
+    )
+    tops = (
+        placed.where("crosses_top").groupBy(*key, "cy", "lo_cx", "a").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    )
+    along = Window.partitionBy(*key, "cy").orderBy(F.desc("a"))
+    odd = (
+        tops.withColumns({"at": F.row_number().over(along), "next_a": F.lead("a").over(along)})
+        .where("at % 2 = 1")
+        .withColumn("from", F.coalesce("next_a", "lo_cx"))
+        .where("from < a")
+        .select(*key, F.explode(F.sequence(F.col("from"), F.col("a") - 1)).alias("cx"), "cy", F.lit(1).alias("parity"))
+    )
+    rings = (
+        near.unionByName(odd, allowMissingColumns=True)
+        .groupBy(*key, "cx", "cy")
+        .agg(F.collect_list("edge").alias("edges"), F.max("parity").alias("parity"))
+    )
+    entered = F.exists("rings", lambda r: F.size(r["edges"]) > 0)
+    return (
+        rings.groupBy("dataset", "cx", "cy", "ordinal")
+        .agg(F.collect_list(F.struct("part", "ring", "edges", "parity")).alias("rings"))
+        .withColumn("entered", entered)
+        .where(F.col("entered") | rings_contain(F.col("rings"), F.lit(0.0), F.lit(0.0)))
+        .select(
+            "dataset", "cx", "cy", F.col("ordinal").cast("bigint").alias("ordinal"),
+            F.when(F.col("entered"), F.col("rings")).alias("rings"),
+        )
+    )
+
+
 def rings_contain(rings: Column, px: Column, py: Column) -> Column:
     """Containment over rings cut to one cell: some outline holds the point and none of its holes."""
 
-    def outline(o: Column) -> Column:
-        in_hole = F.exists(
-            rings,
-            lambda h: (h["part"] == o["part"]) & (h["ring"] > 0) & edges_contain(h["edges"], px, py),
+    def holds(ring: Column) -> Column:
+        marks = F.aggregate(
+            ring["edges"], ring["parity"],
+            lambda n, e: n + F.when(e["up1"] & (e["y1"] > py), 1).otherwise(0) + F.when(e["up2"] & (e["y2"] > py), 1).otherwise(0),
         )
-        return (o["ring"] == 0) & edges_contain(o["edges"], px, py) & ~in_hole
+        return edges_contain(ring["edges"], px, py, marks)
+
+    def outline(o: Column) -> Column:
+        in_hole = F.exists(rings, lambda h: (h["part"] == o["part"]) & (h["ring"] > 0) & holds(h))
+        return (o["ring"] == 0) & holds(o) & ~in_hole
 
     return F.exists(rings, outline)
 
