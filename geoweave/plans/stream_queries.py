@@ -14,13 +14,20 @@ def _log(spark, sf_dir):
     return J.request_log_stream(J.event_stream(spark, sf_dir, "events.parquet"))
 
 
+def _closed(spark, sf_dir, name, job):
+    """All results of a job over the log, closed after its last event."""
+    marks = J.open_marks(spark)
+    last = derived.table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return J.run_closed(job(J.with_marks(_log(spark, sf_dir), marks)), name, marks, last)
+
+
 @query("stream_daily_quota", f"""
 WITH {_LOG}, n AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day,
   row_number() OVER (PARTITION BY key_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS n FROM log)
 SELECT event_id, day, n <= 2 AS allowed, least(n, 2) AS used FROM n""")
 def stream_daily_quota(spark, sf_dir):
     """ST1 as a stream."""
-    out = J.run_to_table(J.stream_daily_quota(_log(spark, sf_dir), 2), "quota")
+    out = _closed(spark, sf_dir, "quota", lambda log: J.stream_daily_quota(log, 2))
     return out.select("event_id", F.col("period").alias("day"), "allowed", "used")
 
 
@@ -29,21 +36,21 @@ SELECT event_id, month, ok AND (soft OR lim = 0 OR n <= lim) AS allowed, soft AN
   CAST(CASE WHEN soft OR lim = 0 THEN n ELSE least(n, lim) END AS BIGINT) AS used FROM used"""))
 def stream_monthly_ceiling(spark, sf_dir):
     """ST2 as a stream."""
-    out = J.run_to_table(J.stream_monthly_ceiling(_log(spark, sf_dir), derived.customers(spark, sf_dir)), "ceiling")
+    out = _closed(spark, sf_dir, "ceiling", lambda log: J.stream_monthly_ceiling(log, derived.customers(spark, sf_dir)))
     return out.withColumnRenamed("period", "month")
 
 
 @query("stream_rate_window", _fold("customer_id", 21600, "SELECT event_id, opened AS opened_at, c <= 2 AS allowed FROM fold", _LOG))
 def stream_rate_window(spark, sf_dir):
     """ST4 as a stream."""
-    out = J.run_to_table(J.stream_rate_window(_log(spark, sf_dir), 2, "customer_id", 21600), "rate")
+    out = _closed(spark, sf_dir, "rate", lambda log: J.stream_rate_window(log, 2, "customer_id", 21600))
     return out.select("event_id", "opened_at", "allowed")
 
 
 @query("stream_ttl_hits", _fold("key_id", 86400, "SELECT event_id, c > 1 AS hit FROM fold", _LOG))
 def stream_ttl_hits(spark, sf_dir):
     """ST5 as a stream."""
-    return J.run_to_table(J.stream_ttl_hits(_log(spark, sf_dir)), "ttl").select("event_id", "hit")
+    return _closed(spark, sf_dir, "ttl", J.stream_ttl_hits).select("event_id", "hit")
 
 
 @query("stream_failure_alerts", f"""
@@ -52,7 +59,7 @@ s AS (SELECT *, sum(CASE WHEN NOT ok THEN 1 ELSE 0 END) OVER (PARTITION BY custo
 SELECT event_id, CAST(n AS BIGINT) AS failure_count FROM s WHERE NOT ok AND n >= 3""")
 def stream_failure_alerts(spark, sf_dir):
     """ST13 as a stream."""
-    return J.run_to_table(J.stream_failure_alerts(_log(spark, sf_dir), "customer_id", 3), "alerts")
+    return _closed(spark, sf_dir, "alerts", lambda log: J.stream_failure_alerts(log, "customer_id", 3))
 
 
 @query("stream_service_summary", f"""

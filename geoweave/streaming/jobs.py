@@ -1,12 +1,16 @@
 """Streaming jobs over an event stream (event_id, ts, key_id, customer_id, ok, route, ms).
 
-State lives per key and rows of one micro-batch are taken in time order, so results equal the batch
-operators unless an event arrives in a later batch than one with a later time. All jobs use a
-watermark: rows later than it are dropped, and state expires by event time.
+State lives per key. Rows wait until the watermark has passed the slice of time they lie in and are then
+taken in time order, so results equal the batch operators in whatever order rows arrive within
+the watermark's delay, and come that much later. Rows later than the watermark are dropped, as are rows
+without a time; state expires by event time. A log that ends is closed by a mark: a row of no
+event, whose time moves the watermark past the last slice.
 """
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,15 +22,43 @@ from geoweave.streaming import processors as P
 # State of a key that stays silent this long is dropped; events may be this late.
 KEEP_DAYS = 30
 LATE = "1 day"
+MARKS = "ts timestamp, mark boolean"
 
 
-def _keyed(rows: DataFrame, keys: list[str], fold, out: str, state: str) -> DataFrame:
-    return rows.withWatermark("ts", LATE).groupBy(*keys).applyInPandasWithState(
-        fold, outputStructType=out, stateStructType=state, outputMode="append",
-        timeoutConf="EventTimeTimeout",
+def _keyed(rows: DataFrame, keys: list[str], processor: P.InOrder, out: str) -> DataFrame:
+    """``rows`` (``keys``, ``event_id``, ``ts``, ``mark``, the processor's columns) through the processor."""
+    timed = rows.where("ts IS NOT NULL").withWatermark("ts", LATE)
+    return timed.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime",
     )
 
 
+def _mark(log: DataFrame) -> Column:
+    return (F.coalesce("mark", F.lit(False)) if "mark" in log.columns else F.lit(False)).alias("mark")
+
+
+def open_marks(spark: SparkSession) -> str:
+    """A new folder for the marks of a log, as yet without one."""
+    folder = scratch_path(spark, "marks")
+    spark.createDataFrame([], MARKS).write.parquet(folder)
+    return folder
+
+
+def with_marks(log: DataFrame, folder: str) -> DataFrame:
+    """The log together with the marks that ``close_log`` puts into ``folder``."""
+    marks = log.sparkSession.readStream.schema(MARKS).parquet(folder)
+    return log.unionByName(marks, allowMissingColumns=True)
+
+
+def close_log(spark: SparkSession, folder: str, last: datetime) -> None:
+    """Put a mark into ``folder`` that releases all rows up to the time ``last``.
+
+    Rows that come later are taken as long as they are later than ``last`` by a slice.
+    """
+    mark = F.lit(last) + F.expr(f"INTERVAL {LATE}") + F.expr(f"INTERVAL {2 * P.SLICE_MS} MILLISECOND")
+    spark.range(1).select(mark.cast("timestamp").alias("ts"), F.lit(True).alias("mark")).write.mode("append").parquet(folder)
+
+
 def event_stream(spark: SparkSession, folder: str, glob: str = "*.parquet",
                  files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files of events as a stream; the schema is that of the files there now."""
@@ -50,9 +82,10 @@ def stream_quota(log: DataFrame, key: str, period: Column, limit: Column, soft:
                  billable: Column, keep_days: int = vocab.USAGE_KEEP_DAYS) -> DataFrame:
     shaped = log.select(
         F.col(key).alias("key"), period.alias("period"), "event_id", "ts",
-        limit.cast("bigint").alias("limit"), soft.alias("soft"), billable.alias("billable"),
+        F.coalesce(limit, F.lit(0)).cast("bigint").alias("limit"), F.coalesce(soft, F.lit(False)).alias("soft"),
+        F.coalesce(billable, F.lit(False)).alias("billable"), _mark(log),
     )
-    return _keyed(shaped, ["key", "period"], P.quota(keep_days), P.QUOTA_OUT, P.QUOTA_STATE)
+    return _keyed(shaped, ["key", "period"], P.quota(keep_days), P.QUOTA_OUT)
 
 
 def stream_daily_quota(log: DataFrame, limit: int, key: str = "key_id") -> DataFrame:
@@ -75,8 +108,8 @@ def stream_monthly_ceiling(log: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def stream_windows(log: DataFrame, key: str, seconds: int) -> DataFrame:
-    rows = log.select(F.col(key).alias("key"), "event_id", "ts")
-    return _keyed(rows, ["key"], P.anchored_window(seconds, KEEP_DAYS), P.WINDOW_OUT, P.WINDOW_STATE)
+    rows = log.select(F.col(key).alias("key"), "event_id", "ts", _mark(log))
+    return _keyed(rows, ["key"], P.anchored_window(seconds, KEEP_DAYS), P.WINDOW_OUT)
 
 
 def stream_rate_window(log: DataFrame, limit: int, key: str = "key_id",
@@ -93,8 +126,8 @@ def stream_ttl_hits(log: DataFrame, key: str = "key_id",
 
 def stream_failure_alerts(log: DataFrame, key: str, threshold: int = vocab.FAILURE_ALERT_THRESHOLD) -> DataFrame:
     """ST13."""
-    rows = log.select(F.col(key).alias("key"), "event_id", "ts", "ok")
-    return _keyed(rows, ["key"], P.failure_streak(threshold, KEEP_DAYS), P.STREAK_OUT, P.STREAK_STATE)
+    rows = log.select(F.col(key).alias("key"), "event_id", "ts", F.coalesce("ok", F.lit(False)).alias("ok"), _mark(log))
+    return _keyed(rows, ["key"], P.failure_streak(threshold, KEEP_DAYS), P.STREAK_OUT)
 
 
 def stream_service_summary(log: DataFrame, late: str = "1 hour", length: str = "24 hours") -> DataFrame:
@@ -131,3 +164,12 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None,
     )
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def run_closed(stream: DataFrame, name: str, marks: str, last: datetime) -> DataFrame:
+    """Process what is there now, close the log at the time ``last``, and return all that is then written."""
+    spark = stream.sparkSession
+    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
+    run_to_table(stream, name, path, checkpoint)
+    close_log(spark, marks, last)
+    return run_to_table(stream, name, path, checkpoint)

@@ -1,18 +1,21 @@
-"""Keyed state over event streams: counters, anchored windows and failure streaks.
+"""Keyed state over event streams in the order of event time: counters, anchored windows and failure streaks.
 
-Each function folds the rows of one key in one micro-batch; the state comes and goes with the Arrow
-batches. The rows of a key in a micro-batch are bounded by the trigger's size.
+Rows wait in slices of event time. Once the watermark has passed a slice, its rows are folded in the order of
+time and id, whatever order they came in; a fold turns the rows of one slice and the key's state into
+result rows and the next state.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 DAY_MS = 86_400_000
+SLICE_MS = 3_600_000
 
 QUOTA_OUT = "event_id bigint, period string, allowed boolean, over_limit boolean, used bigint"
 QUOTA_STATE = "used bigint"
@@ -21,67 +24,112 @@ WINDOW_STATE = "opened bigint, n bigint"
 STREAK_OUT = "event_id bigint, failure_count bigint"
 STREAK_STATE = "n bigint"
 
+# What waits of a row: time in microseconds, id (``has`` is false for a null one), and the fold's own columns.
+BASE = [("ts", "<i8"), ("id", "<i8"), ("has", "?")]
 
-def _in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    batch = pd.concat(rows, ignore_index=True)
-    return batch.sort_values(["ts", "event_id"], kind="stable", ignore_index=True)
+Fold = Callable[[tuple, np.ndarray, tuple | None], tuple[dict, tuple]]
 
 
-def _expired(state: GroupState) -> bool:
-    """Drop state whose keep time has passed by event time."""
-    if state.hasTimedOut:
-        state.remove()
-        return True
-    return False
-
-
-def _keep_until(state: GroupState, batch: pd.DataFrame, keep_days: int) -> None:
-    newest = int(batch["ts"].max().timestamp() * 1000)
-    state.setTimeoutTimestamp(newest + keep_days * DAY_MS)
+class InOrder(StatefulProcessor):
+    """Folds the rows of a key in the order of (time, id), each slice of ``SLICE_MS`` when the watermark passes its end.
 
+    A slice's rows wait as parts, one for each batch that brought some, so a new part touches no other and
+    a release holds one slice in memory, not all that waits for the key. A key that stays silent for
+    ``keep_days`` loses its state, by an event-time timer. Rows with ``mark`` only move the watermark.
+    """
 
-def quota(keep_days: int) -> Callable:
+    def __init__(self, fold: Fold, state: str, columns: dict[str, str], keep_days: int):
+        self.fold, self.schema, self.columns = fold, state, columns
+        self.dtype = np.dtype(BASE + list(columns.items()))
+        self.keep_ms = keep_days * DAY_MS
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.parts = handle.getMapState("parts", "slice bigint, part bigint", "rows binary")
+        self.count = handle.getValueState("count", "n bigint")
+        self.state = handle.getValueState("state", self.schema)
+        self.until = handle.getValueState("until", "ms bigint")
+
+    def _packed(self, frame: pd.DataFrame) -> np.ndarray:
+        rows = np.empty(len(frame), self.dtype)
+        rows["ts"] = frame["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        rows["has"] = frame["event_id"].notna()
+        rows["id"] = frame["event_id"].fillna(0)
+        for name in self.columns:
+            rows[name] = frame[name]
+        return rows
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        number = self.count.get()[0] if self.count.exists() else 0
+        first = number
+        for frame in rows:
+            frame = frame[~frame["mark"].to_numpy(dtype=bool)]
+            packed = self._packed(frame)
+            place = packed["ts"] // (SLICE_MS * 1000)
+            for value in np.unique(place):
+                self.parts.updateValue((int(value), number), (packed[place == value].tobytes(),))
+                self.handle.registerTimer((int(value) + 1) * SLICE_MS)
+                number += 1
+        if number > first:
+            self.count.update((number,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        waiting = sorted(tuple(k) for k in self.parts.keys())
+        due = [k for k in waiting if (k[0] + 1) * SLICE_MS <= mark]
+        if not due:
+            if not waiting and self.until.exists() and self.until.get()[0] <= mark:
+                for state in (self.parts, self.count, self.state, self.until):
+                    state.clear()
+            return
+        state = tuple(self.state.get()) if self.state.exists() else None
+        for _, keys in groupby(due, key=lambda k: k[0]):
+            keys = list(keys)
+            rows = np.concatenate([np.frombuffer(bytes(self.parts.getValue(k)[0]), self.dtype) for k in keys])
+            rows = rows[np.lexsort((rows["id"], ~rows["has"], rows["ts"]))]
+            out, state = self.fold(key, rows, state)
+            for k in keys:
+                self.parts.removeKey(k)
+            kept = out.pop("rows", slice(None))
+            ids = pd.array(rows["id"][kept], dtype="Int64")
+            ids[~rows["has"][kept]] = pd.NA
+            yield pd.DataFrame({"event_id": ids, **out})
+        self.state.update(state)
+        until = (due[-1][0] + 1) * SLICE_MS + self.keep_ms
+        self.until.update((until,))
+        self.handle.registerTimer(until)
+
+    def close(self) -> None:
+        pass
+
+
+def quota(keep_days: int) -> InOrder:
     """ST1, ST2: counter per (key, period); billable rows within the limit pass and are counted.
 
     Rows have ``limit`` (0: none), ``soft`` and ``billable``. A refused row does not count.
     """
 
-    def fold(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _expired(state):
-            return
-        batch = _in_order(rows)
-        start = state.get[0] if state.exists else 0
-        billable, soft = batch["billable"].to_numpy(), batch["soft"].to_numpy()
-        limit = batch["limit"].to_numpy()
+    def fold(key, rows: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        start = state[0] if state else 0
+        billable, soft, limit = rows["billable"], rows["soft"], rows["limit"]
         seen = start + np.cumsum(billable.astype("int64"))
         hard = (limit > 0) & ~soft
         over = (limit > 0) & (seen > limit) & billable
         used = np.where(hard, np.minimum(seen, limit), seen)
-        state.update((int(used[-1]),))
-        _keep_until(state, batch, keep_days)
-        yield pd.DataFrame(
-            {
-                "event_id": batch["event_id"],
-                "period": key[1],
-                "allowed": billable & ~(over & hard),
-                "over_limit": over & ~hard,
-                "used": used,
-            }
-        )
-
-    return fold
-
-
-def anchored_window(seconds: int, keep_days: int) -> Callable:
+        out = {"period": key[1], "allowed": billable & ~(over & hard), "over_limit": over & ~hard, "used": used}
+        return out, (int(used[-1]),)
+
+    return InOrder(fold, QUOTA_STATE, {"limit": "<i8", "soft": "?", "billable": "?"}, keep_days)
+
+
+def anchored_window(seconds: int, keep_days: int) -> InOrder:
     """ST4, ST5: window opened by its first event; the first event after its end opens the next."""
     length = seconds * 1_000_000
 
-    def fold(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _expired(state):
-            return
-        batch = _in_order(rows)
-        at = batch["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        opened, n = tuple(state.get) if state.exists else (None, 0)
+    def fold(key, rows: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        at = rows["ts"]
+        opened, n = state if state else (None, 0)
         opener, number = np.empty(len(at), dtype="int64"), np.empty(len(at), dtype="int64")
         i = 0
         while i < len(at):
@@ -92,33 +140,22 @@ def anchored_window(seconds: int, keep_days: int) -> Callable:
             opener[i:end] = opened
             number[i:end] = n + np.arange(1, end - i + 1)
             n, i = n + end - i, end
-        state.update((opened, int(n)))
-        _keep_until(state, batch, keep_days)
-        yield pd.DataFrame(
-            {"event_id": batch["event_id"], "opened_at": opener, "in_window": number}
-        )
+        return {"opened_at": opener, "in_window": number}, (opened, int(n))
 
-    return fold
+    return InOrder(fold, WINDOW_STATE, {}, keep_days)
 
 
-def failure_streak(threshold: int, keep_days: int) -> Callable:
+def failure_streak(threshold: int, keep_days: int) -> InOrder:
     """ST13: alerts at ``threshold`` and more failures in a row."""
 
-    def fold(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if _expired(state):
-            return
-        batch = _in_order(rows)
-        start = state.get[0] if state.exists else 0
-        ok = batch["ok"].to_numpy()
+    def fold(key, rows: np.ndarray, state: tuple | None) -> tuple[dict, tuple]:
+        start = state[0] if state else 0
+        ok = rows["ok"]
         fails = np.cumsum(~ok)
         # Failures before the last success, which start the count over.
         base = np.maximum.accumulate(np.where(ok, fails, -start))
         count = fails - base
-        state.update((int(count[-1]),))
-        _keep_until(state, batch, keep_days)
         hit = ~ok & (count >= threshold)
-        yield pd.DataFrame(
-            {"event_id": batch["event_id"][hit], "failure_count": count[hit].astype("int64")}
-        )
+        return {"rows": hit, "failure_count": count[hit].astype("int64")}, (int(count[-1]),)
 
-    return fold
+    return InOrder(fold, STREAK_STATE, {"ok": "?"}, keep_days)

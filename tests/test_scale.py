@@ -14,7 +14,6 @@ from geoweave.operators.running import running
 from geoweave.operators.shapes import _keep_far_vertices
 from geoweave.plans.geocode_queries import store
 from geoweave.sources import derived
-from geoweave.streaming import jobs as J
 
 
 def plan_of(df) -> str:
@@ -128,22 +127,6 @@ def test_anchored_windows_on_one_hot_key(spark):
         assert got[i] == (opened * 1_000_000, n)
 
 
-def test_stream_goes_on_after_restart(spark, sf_dir, tmp_path):
-    events = derived.table(spark, sf_dir, "events").orderBy("ts")
-    half = events.count() // 2
-    first = events.limit(half)
-    rest = events.join(first.select("event_id"), "event_id", "left_anti")
-    folder, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
-    run = lambda: J.run_to_table(
-        J.stream_rate_window(J.request_log_stream(J.event_stream(spark, folder)), 2, "customer_id", 21600), "r", out, ckpt)
-    first.coalesce(1).write.mode("append").parquet(folder)
-    run()
-    rest.coalesce(1).write.mode("append").parquet(folder)
-    got = sorted((r.event_id, r.opened_at, r.in_window) for r in run().collect())
-    batch = E.rate_window(derived.request_log(spark, sf_dir), 2, "customer_id", 21600)
-    assert got == sorted((r.event_id, r.opened_at, r.in_window) for r in batch.collect())
-
-
 def test_simplify_against_recursion():
     import numpy as np
 
