@@ -8,19 +8,20 @@ from geoweave.operators.aggregates import recent_imports, store_stats, table_cou
 from geoweave.operators.shapes import boundary_stats
 from geoweave.operators.spatial import spatial_index
 from geoweave.plans import oracle_parts as O
-from geoweave.plans.registry import query
+from geoweave.plans.registry import places, query
 from geoweave.session import scratch_path
 from geoweave.sources import addresses as A
 from geoweave.sources import boundaries as B
 from geoweave.sources import derived
+from geoweave.sources.store import snapshot
 
 _STORED = "round(lat, 6) AS lat, round(lon, 6) AS lon, province, city, civic_number, street_name, street_type, street_direction, unit"
 
 
-def _csv(spark, sf_dir) -> str:
-    """Addresses as a CSV file set with two spellings of headers and some faulty rows."""
+def _csv(spark, sf_dir, which="true") -> str:
+    """Addresses as a CSV file set with two spellings of headers and some faulty rows; ``which`` of them."""
     path = scratch_path(spark, "csv")
-    a = derived.addresses(spark, sf_dir)
+    a = derived.addresses(spark, sf_dir).where(which)
     k = F.col("id")
     a.select(
         F.when(k % 50 == 7, "n/a").otherwise(F.format_string("%.3f", "lat")).alias("Latitude"),
@@ -72,7 +73,7 @@ def province_import(spark, sf_dir):
     A.import_province(spark, path, root, "QC", "v1")
     A.import_province(spark, path, root, "QC", "v2")
     A.import_province(spark, path, root, "ON", "v2", resume=True)
-    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    read = snapshot(spark, root).read
     stats = store_stats(read("addresses"), read("imports"))
     per = lambda name, alias: read(name).groupBy("province").agg(F.count(F.lit(1)).alias(alias))
     return (
@@ -84,6 +85,39 @@ def province_import(spark, sf_dir):
     )
 
 
+_MEAN = "round(avg(lat) + 1e-11, 9) AS lat, round(avg(lon) + 1e-11, 9) AS lon, count(*) AS address_count"
+
+
+@query("replaced_content", f"""
+WITH {O.ADDR}, kept AS (SELECT * FROM addr WHERE {_REASON} IS NULL AND (province = 'ON' OR id % 2 = 0))
+SELECT 'postal' AS kind, province, postal_code AS key, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS BIGINT) AS min_civic, CAST(NULL AS BIGINT) AS max_civic, {_MEAN}
+FROM kept WHERE postal_code <> '' GROUP BY province, postal_code
+UNION ALL SELECT 'city', province, city_key, max(city), NULL, NULL, {_MEAN} FROM kept GROUP BY province, city_key
+UNION ALL SELECT 'street', province, city_key || '/' || street_key, NULL, min(civic_value), max(civic_value), {_MEAN}
+FROM kept GROUP BY province, city_key, street_key""")
+def replaced_content(spark, sf_dir):
+    """IO7-IO9, AG1-AG3: what is stored after one province was replaced by half its file and one resumed from half to all."""
+    root, whole, half = scratch_path(spark, "store"), _csv(spark, sf_dir), _csv(spark, sf_dir, "id % 2 = 0")
+    A.import_province(spark, half, root, "ON", "v1")
+    A.import_province(spark, whole, root, "QC", "v1")
+    A.import_province(spark, half, root, "QC", "v2")
+    A.import_province(spark, whole, root, "ON", "v2", resume=True)
+    stored = snapshot(spark, root)
+    kinds = {
+        "postal": (stored.read("postal_centroids"), F.col("postal_code")),
+        "city": (stored.read("city_centroids"), F.col("city_key")),
+        "street": (stored.read("street_ranges"), F.concat_ws("/", "city_key", "street_key")),
+    }
+    parts = []
+    for kind, (rows, key) in kinds.items():
+        has = lambda c, kind_of: (F.col(c) if c in rows.columns else F.lit(None)).cast(kind_of).alias(c)
+        parts.append(rows.select(
+            F.lit(kind).alias("kind"), "province", key.alias("key"), has("city", "string"), has("min_civic", "bigint"),
+            has("max_civic", "bigint"), places("lat").alias("lat"), places("lon").alias("lon"), "address_count",
+        ))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("import_log", f"""
 WITH addr_raw AS ({O.ADDR_RAW}), kept AS (SELECT province, count(*) AS n FROM addr_raw WHERE {_REASON} IS NULL GROUP BY province)
 SELECT province, 'v' || v AS source_version, n AS row_count FROM kept CROSS JOIN (VALUES (1), (2)) t(v)""")
@@ -93,7 +127,7 @@ def import_log(spark, sf_dir):
     for version in ("v1", "v2"):
         for province in ("ON", "QC"):
             A.import_province(spark, path, root, province, version)
-    return recent_imports(spark.read.parquet(f"{root}/imports")).select("province", "source_version", "row_count")
+    return recent_imports(snapshot(spark, root).read("imports")).select("province", "source_version", "row_count")
 
 
 @query("table_counts", f"""
@@ -184,7 +218,7 @@ def boundary_store(spark, sf_dir):
     both = B.union_boundaries(p.withColumn("dataset", F.lit("a")), p.withColumn("dataset", F.lit("b")))
     B.write_features(both, path, ["a", "b"])
     B.write_features(p.where("ordinal % 2 = 0").withColumn("dataset", F.lit("a")), path)
-    return boundary_stats(spark.read.parquet(path)).select("dataset", "features")
+    return boundary_stats(snapshot(spark, path).read("features")).select("dataset", "features")
 
 
 @query("missing_datasets", """

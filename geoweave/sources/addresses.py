@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from geoweave.functions import text, vocab
 from geoweave.operators.aggregates import (
     city_centroids, postal_centroids, street_ranges, street_search_rows,
 )
 from geoweave.operators.parse import standardize_addresses, with_mailing
-from geoweave.sources.store import read_stored, replace_partitions
+from geoweave.sources.store import Commit, snapshot
 
 _NUMBER = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 FIELDS = [f for f in vocab.ADDRESS_HEADERS if f not in ("lat", "lon", "province")]
@@ -107,30 +108,20 @@ def address_table(rows: DataFrame) -> DataFrame:
     )
 
 
-def rebuild_aggregates(
-    spark: SparkSession, root: str, province: str, schema: StructType | None = None
-) -> None:
-    """IO9: the three aggregates and the search rows of one province, from its stored addresses.
+TABLES = ["addresses", "postal_centroids", "city_centroids", "street_ranges", "street_search"]
+
 
-    A province without addresses any more loses its rows. ``schema`` is that of the addresses, for a
-    store that may hold none.
+def rebuild_aggregates(work: Commit, province: str) -> None:
+    """IO9: the three aggregates and the search rows of one province, from the addresses of ``work``.
+
+    A province without addresses any more loses its rows.
     """
-    schema = schema or spark.read.parquet(f"{root}/addresses").schema
-    addr = read_stored(spark, f"{root}/addresses", schema).where(F.col("province") == province)
-    made = {
-        "postal_centroids": postal_centroids(addr), "city_centroids": city_centroids(addr),
-        "street_ranges": street_ranges(addr),
-    }
-    for name, rows in made.items():
-        replace_partitions(rows, f"{root}/{name}", "province", [province])
-    here = {
-        name: read_stored(spark, f"{root}/{name}", rows.schema).where(F.col("province") == province)
-        for name, rows in made.items()
-    }
-    replace_partitions(
-        street_search_rows(here["street_ranges"], here["city_centroids"]), f"{root}/street_search",
-        "province", [province],
-    )
+    addr = work.read("addresses", [province])
+    work.replace("postal_centroids", postal_centroids(addr), "province", [province])
+    work.replace("city_centroids", city_centroids(addr), "province", [province])
+    work.replace("street_ranges", street_ranges(addr), "province", [province])
+    streets = street_search_rows(work.read("street_ranges", [province]), work.read("city_centroids", [province]))
+    work.replace("street_search", streets, "province", [province])
 
 
 def import_province(
@@ -139,21 +130,21 @@ def import_province(
 ) -> DataFrame:
     """IO7, IO8, IO11: load one province and return its import-log row.
 
-    A plain load replaces the province's partitions of every table, also with nothing when the file has
-    no row of it; a resumed one appends the rows that are missing and rebuilds the aggregates.
+    A plain load replaces the province's rows of every table, also with nothing when the file has no
+    row of it; a resumed one adds the rows that are missing and rebuilds the aggregates. All tables and the
+    log change in one step at the end: a load that breaks off before changes nothing.
     """
     good, bad = normalize_rows(read_address_csv(spark, csv_path, max_rows), province)
-    path = f"{root}/addresses"
-    fresh = address_table(missing_rows(good, None))
-    if resume:
-        stored = read_stored(spark, path, fresh.schema).where(F.col("province") == province)
-        address_table(missing_rows(good, stored)).write.mode("append").partitionBy("province").parquet(path)
+    work = snapshot(spark, root).commit()
+    known = set(work.tables())
+    if resume and "addresses" in known:
+        fresh = address_table(missing_rows(good, work.read("addresses", [province])))
+        work.append("addresses", fresh, "province")
     else:
-        replace_partitions(fresh, path, "province", [province])
-    rebuild_aggregates(spark, root, province, fresh.schema)
-    loaded = read_stored(spark, path, fresh.schema).where(F.col("province") == province)
+        work.replace("addresses", address_table(missing_rows(good, None)), "province", [province])
+    rebuild_aggregates(work, province)
     rejected = bad.agg(F.count(F.lit(1)).alias("n"))
-    entry = loaded.agg(F.count(F.lit(1)).alias("row_count")).select(
+    entry = work.read("addresses", [province]).agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(province).alias("province"),
         F.lit(csv_path).alias("source"),
         F.lit(version).alias("source_version"),
@@ -161,7 +152,7 @@ def import_province(
         rejected.scalar().alias("rejected"),
         F.current_timestamp().alias("finished_at"),
     )
-    entry.write.mode("append").parquet(f"{root}/imports")
-    return spark.read.parquet(f"{root}/imports").where(F.col("province") == province).orderBy(
-        F.desc("finished_at")
-    ).limit(1)
+    earlier = [work.read("imports", [province])] if "imports" in known else []
+    work.replace("imports", reduce(DataFrame.unionByName, [*earlier, entry]), "province", [province])
+    done = work.publish()
+    return done.read("imports", [province]).orderBy(F.desc("finished_at")).limit(1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import text, vocab
 from geoweave.functions.geometry import GEOM_TYPE, bounding_box, vertex_centroid
-from geoweave.sources.store import replace_partitions
+from geoweave.sources.store import Snapshot, snapshot
 
 
 def dataset_registry(spark: SparkSession) -> DataFrame:
@@ -161,13 +161,15 @@ def feature_rows(features: DataFrame) -> DataFrame:
     )
 
 
-def write_features(features: DataFrame, path: str, datasets: list[str] | None = None) -> None:
-    """IO10: replace the stored rows of the datasets at hand; other datasets stay.
+def write_features(features: DataFrame, root: str, datasets: list[str] | None = None) -> Snapshot:
+    """IO10: replace the stored rows of the datasets at hand in one step; other datasets stay.
 
     ``datasets`` names those to replace, so that one without rows any more is emptied.
     """
+    work = snapshot(features.sparkSession, root).commit()
     rows = feature_rows(features).withColumn("synced_at", F.current_timestamp())
-    replace_partitions(rows, path, "dataset", datasets or [])
+    work.replace("features", rows, "dataset", datasets or [])
+    return work.publish()
 
 
 def missing_datasets(spark: SparkSession, stored: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from geoweave.plans.geocode_queries import PROVINCES, store
 from geoweave.plans.spatial_queries import boundaries
 from geoweave.sources import addresses as A
 from geoweave.sources import boundaries as B
+from geoweave.sources.store import snapshot
 
 
 @pytest.fixture(scope="module")
@@ -140,7 +141,8 @@ def test_replacing_with_fewer_rows_and_with_none(spark, tmp_path):
         A.import_province(spark, str(file), root, "QC", "v")
         log = A.import_province(spark, str(file), root, "ON", "v").first()
         names = ("addresses", "postal_centroids", "city_centroids", "street_ranges", "street_search")
-        stored = [spark.read.parquet(f"{root}/{n}").where("province = 'ON'").count() for n in names]
+        stored = [snapshot(spark, root).read(n, ["ON"]).count() for n in names]
+        assert snapshot(spark, root).read("addresses").where("province = 'QC'").count() == 1
         counts.append((log.row_count, stored[0], stored[1], min(stored[2:])))
     assert counts == [(2, 2, 2, 1), (1, 1, 1, 1), (0, 0, 0, 0)]
 
@@ -150,9 +152,9 @@ def test_resuming_a_load_that_broke_off(spark, tmp_path):
     write_csv(half, [(1, "ON"), (2, "ON")])
     write_csv(whole, [(i, "ON") for i in range(1, 7)])
     A.import_province(spark, str(half), root, "ON", "v1")
-    ids = {r.id for r in spark.read.parquet(f"{root}/addresses").collect()}
+    ids = {r.id for r in snapshot(spark, root).read("addresses").collect()}
     assert A.import_province(spark, str(whole), root, "ON", "v2", resume=True).first().row_count == 6
-    assert ids < {r.id for r in spark.read.parquet(f"{root}/addresses").collect()}
+    assert ids < {r.id for r in snapshot(spark, root).read("addresses").collect()}
     assert A.import_province(spark, str(whole), root, "ON", "v3", resume=True).first().row_count == 6
 
 
