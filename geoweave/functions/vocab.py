@@ -1,7 +1,6 @@
 """Lists, maps, limits and messages that results depend on.
 
-Every value here must stay as it is for results to be right: stored keys were built from them, and
-changing one strands the rows that carry the old form.
+Each is given by the data and services the results are held against; none is a matter of design.
 """
 
 from __future__ import annotations

@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from geoweave.functions import text
 from geoweave.functions.mailing import mailing_address
 
-# Shapes of a unit inside an address, applied in this order to what the earlier ones left. Each is
-# (pattern, group of the unit, groups of the rest, characters dropped from the end of the unit).
-_UNIT_SHAPES = [
-    (r"(?i)^(.+?),\s*Unit\s+#?\s*(\S+)\s*$", 2, (1,), r"[,;]+$"),
-    (r"(?i)^(.+?)\s+UNIT\s+(\S+)\s*$", 2, (1,), None),
-    (r"(?i)^Unit\s+(\S+)\s*,?\s+(.+)$", 1, (2,), r"[,;]+$"),
-    (r"(?i)^([0-9]+)\s+Unit\s+(\S+)\s+(.+)$", 2, (1, 3), None),
-    (r"^([0-9]+)-([0-9]+)\s+(.+)$", 1, (2, 3), None),
-]
-_CIVIC_SHAPE = r"^([0-9]+[A-Za-z]?(?:\s+[0-9]+/[0-9]+)?)\s+(.+)$"
-
 PARSED = ["civic", "name", "type", "direction", "unit"]
 
 
@@ -34,6 +23,90 @@ def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     )
 
 
+# The word before a unit.
+_UNIT = "UNIT"
+
+
+def _first(value: Column) -> Column:
+    """The first word."""
+    return F.substring_index(value, " ", 1)
+
+
+def _after(value: Column, word: Column) -> Column:
+    """What follows the word a text begins with."""
+    return F.ltrim(F.substr(value, F.length(word) + 1))
+
+
+def _last(value: Column) -> Column:
+    return F.substring_index(value, " ", -1)
+
+
+def _before(value: Column, word: Column) -> Column:
+    """What comes before the word a text ends with."""
+    return F.rtrim(F.left(value, F.length(value) - F.length(word)))
+
+
+def _is_unit(word: Column) -> Column:
+    return F.upper(word) == _UNIT
+
+
+def _number(word: Column) -> Column:
+    return word.rlike("^[0-9]+$")
+
+
+def _unit_at_end(rest: Column) -> tuple[Column, Column]:
+    """``..., Unit 5``, ``..., Unit #5`` or ``..., Unit # 5``: a comma, the unit word and one word."""
+    word = _last(rest)
+    ahead = _before(rest, word)
+    marked = _last(ahead) == "#"
+    head = F.when(marked, _before(ahead, F.lit("#"))).otherwise(ahead)
+    name = F.when(~marked & F.startswith(word, F.lit("#")) & (F.length(word) > 1), F.substr(word, F.lit(2))).otherwise(word)
+    street = F.rtrim(F.left(head, F.length(head) - len(_UNIT)))
+    found = F.endswith(F.upper(head), F.lit(_UNIT)) & F.endswith(street, F.lit(",")) & (F.length(street) > 1)
+    return F.when(found, F.rtrim(name, F.lit(",;"))), F.left(street, F.length(street) - 1)
+
+
+def _unit_after_street(rest: Column) -> tuple[Column, Column]:
+    """``123 Main St UNIT 5``"""
+    word = _last(rest)
+    head = _before(rest, word)
+    street = _before(head, _last(head))
+    return F.when(_is_unit(_last(head)) & (street != ""), word), street
+
+
+def _unit_ahead(rest: Column) -> tuple[Column, Column]:
+    """``Unit 5, 123 Main St``"""
+    rest_of = _after(rest, _first(rest))
+    word = _first(rest_of)
+    street = _after(rest_of, word)
+    street = F.when(F.startswith(street, F.lit(", ")), F.ltrim(F.substr(street, F.lit(2)))).otherwise(street)
+    return F.when(_is_unit(_first(rest)) & (street != ""), F.rtrim(word, F.lit(",;"))), street
+
+
+def _unit_inside(rest: Column) -> tuple[Column, Column]:
+    """``105 Unit 2 Main St``"""
+    civic = _first(rest)
+    second = _after(rest, civic)
+    third = _after(second, _first(second))
+    word = _first(third)
+    street = _after(third, word)
+    found = _number(civic) & _is_unit(_first(second)) & (street != "")
+    return F.when(found, word), F.concat_ws(" ", civic, street)
+
+
+def _unit_with_dash(rest: Column) -> tuple[Column, Column]:
+    """``5-123 Main St``"""
+    word = _first(rest)
+    street = _after(rest, word)
+    unit, civic = F.substring_index(word, "-", 1), F.substring_index(word, "-", -1)
+    found = _number(unit) & _number(civic) & (word == F.concat_ws("-", unit, civic)) & (street != "")
+    return F.when(found, unit), F.concat_ws(" ", civic, street)
+
+
+# In this order, each on what the one before left.
+_UNIT_RULES = [_unit_at_end, _unit_after_street, _unit_ahead, _unit_inside, _unit_with_dash]
+
+
 def parse_address(df: DataFrame, address: str, prefix: str) -> DataFrame:
     """TX8, TX9: add ``prefix`` + civic, name, type, direction and unit ('' where absent).
 
@@ -41,25 +114,30 @@ def parse_address(df: DataFrame, address: str, prefix: str) -> DataFrame:
     it keeps the plan linear. The whole chain stays in one stage next to the scan.
     """
     rest, unit = f"{prefix}_rest", f"{prefix}unit"
-    out = df.withColumn(rest, text.trim_ws(text.null_to_empty(F.col(address)))).withColumn(
-        unit, F.lit("")
-    )
-    for pattern, unit_group, rest_groups, drop in _UNIT_SHAPES:
-        found = F.regexp_extract(rest, pattern, unit_group)
-        kept = F.concat_ws(" ", *[F.regexp_extract(rest, pattern, g) for g in rest_groups])
-        out = out.withColumns({f"{prefix}_u": found, f"{prefix}_k": F.trim(kept)})
-        new_unit = F.regexp_replace(f"{prefix}_u", drop, "") if drop else F.col(f"{prefix}_u")
-        matched = F.col(f"{prefix}_u") != ""
+    blanks = F.translate(text.null_to_empty(F.col(address)), "\t\n\u000b\f\r", "     ")
+    out = df.withColumn(rest, text.trim_ws(blanks)).withColumn(unit, F.lit(""))
+    for rule in _UNIT_RULES:
+        found, left = rule(F.col(rest))
+        out = out.withColumns({f"{prefix}_u": found, f"{prefix}_k": F.trim(left)})
+        # A unit that is only punctuation is empty, but taken out.
+        matched = F.col(f"{prefix}_u").isNotNull()
         out = out.withColumns(
             {
                 rest: F.when(matched, F.col(f"{prefix}_k")).otherwise(F.col(rest)),
-                unit: F.when(matched, new_unit).otherwise(F.col(unit)),
+                unit: F.when(matched, F.col(f"{prefix}_u")).otherwise(F.col(unit)),
             }
         )
+    # The civic number is the first word, with a fraction if one follows that is not the last word.
+    out = out.withColumns({f"{prefix}_u": _first(F.col(rest)), f"{prefix}_k": _after(F.col(rest), _first(F.col(rest)))})
+    first, more = F.col(f"{prefix}_u"), F.col(f"{prefix}_k")
+    fraction = _first(more)
+    beyond = _after(more, fraction)
+    civic = first.rlike("^[0-9]+[A-Za-z]?$") & (more != "")
+    halved = fraction.rlike("^[0-9]+/[0-9]+$") & (beyond != "")
     out = out.withColumns(
         {
-            f"{prefix}civic": F.regexp_extract(rest, _CIVIC_SHAPE, 1),
-            f"{prefix}_tail": F.trim(F.regexp_extract(rest, _CIVIC_SHAPE, 2)),
+            f"{prefix}civic": F.when(civic & halved, _before(F.col(rest), beyond)).when(civic, first).otherwise(""),
+            f"{prefix}_tail": F.when(civic & halved, beyond).when(civic, more).otherwise(""),
         }
     )
     out = out.withColumns(
