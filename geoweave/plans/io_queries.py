@@ -88,20 +88,19 @@ def province_import(spark, sf_dir):
 _MEAN = "round(avg(lat) + 1e-11, 9) AS lat, round(avg(lon) + 1e-11, 9) AS lon, count(*) AS address_count"
 
 
-@query("replaced_content", f"""
-WITH {O.ADDR}, kept AS (SELECT * FROM addr WHERE {_REASON} IS NULL AND (province = 'ON' OR id % 2 = 0))
+def _content_sql(which: str) -> str:
+    """The aggregates of the addresses that a load leaves."""
+    return f"""
+WITH {O.ADDR}, kept AS (SELECT * FROM addr WHERE {_REASON} IS NULL AND {which})
 SELECT 'postal' AS kind, province, postal_code AS key, CAST(NULL AS VARCHAR) AS city, CAST(NULL AS BIGINT) AS min_civic, CAST(NULL AS BIGINT) AS max_civic, {_MEAN}
 FROM kept WHERE postal_code <> '' GROUP BY province, postal_code
 UNION ALL SELECT 'city', province, city_key, max(city), NULL, NULL, {_MEAN} FROM kept GROUP BY province, city_key
 UNION ALL SELECT 'street', province, city_key || '/' || street_key, NULL, min(civic_value), max(civic_value), {_MEAN}
-FROM kept GROUP BY province, city_key, street_key""")
-def replaced_content(spark, sf_dir):
-    """IO7-IO9, AG1-AG3: what is stored after one province was replaced by half its file and one resumed from half to all."""
-    root, whole, half = scratch_path(spark, "store"), _csv(spark, sf_dir), _csv(spark, sf_dir, "id % 2 = 0")
-    A.import_province(spark, half, root, "ON", "v1")
-    A.import_province(spark, whole, root, "QC", "v1")
-    A.import_province(spark, half, root, "QC", "v2")
-    A.import_province(spark, whole, root, "ON", "v2", resume=True)
+FROM kept GROUP BY province, city_key, street_key"""
+
+
+def _content(spark, root):
+    """The stored aggregates, as one table."""
     stored = snapshot(spark, root)
     kinds = {
         "postal": (stored.read("postal_centroids"), F.col("postal_code")),
@@ -118,6 +117,24 @@ def replaced_content(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("replaced_content", _content_sql("province = 'QC' AND id % 2 = 0"))
+def replaced_content(spark, sf_dir):
+    """IO7, AG1-AG3: what is stored after a province was replaced by half its file."""
+    root = scratch_path(spark, "store")
+    A.import_province(spark, _csv(spark, sf_dir), root, "QC", "v1")
+    A.import_province(spark, _csv(spark, sf_dir, "id % 2 = 0"), root, "QC", "v2")
+    return _content(spark, root)
+
+
+@query("resumed_content", _content_sql("province = 'ON'"))
+def resumed_content(spark, sf_dir):
+    """IO8, IO9, AG1-AG3: what is stored after a load of half a file went on to the whole."""
+    root = scratch_path(spark, "store")
+    A.import_province(spark, _csv(spark, sf_dir, "id % 2 = 0"), root, "ON", "v1")
+    A.import_province(spark, _csv(spark, sf_dir), root, "ON", "v2", resume=True)
+    return _content(spark, root)
+
+
 @query("import_log", f"""
 WITH addr_raw AS ({O.ADDR_RAW}), kept AS (SELECT province, count(*) AS n FROM addr_raw WHERE {_REASON} IS NULL GROUP BY province)
 SELECT province, 'v' || v AS source_version, n AS row_count FROM kept CROSS JOIN (VALUES (1), (2)) t(v)""")
