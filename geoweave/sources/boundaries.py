@@ -67,7 +67,8 @@ def read_geojson(spark: SparkSession, path: str, dataset: str) -> tuple[DataFram
     ).select(
         "file",
         "collection_type",
-        (F.col("first") + F.col("pos")).alias("ordinal"),
+        F.when(F.col("pos") >= FILE_STRIDE, F.raise_error(F.concat(F.col("file"), F.lit(f" has over {FILE_STRIDE} features: split it"))))
+        .otherwise(F.col("first") + F.col("pos")).cast("bigint").alias("ordinal"),
         F.col("col.type").alias("feature_type"),
         F.col("col.properties").alias("props"),
         F.col("col.geometry.type").alias("geometry_type"),
