@@ -19,21 +19,23 @@ def _spaced(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(value, "[/-]", " "), " +", " "))
 
 
+def street_docs(search_rows: DataFrame) -> DataFrame:
+    """SG1: searchable streets with their id, their text as it is searched and its number of words."""
+    spaced = _spaced(F.col("suggest_text"))
+    return search_rows.withColumns(
+        {
+            "doc_id": F.concat_ws("\t", "city_key", "street_key"),
+            "padded": F.concat(F.lit(" "), spaced),
+            "n_words": F.size(F.split(spaced, " ")),
+        }
+    )
+
+
 class StreetIndex:
     """SG1, SG3: searchable streets, the words' prefixes, and how many streets each prefix is in."""
 
     def __init__(self, search_rows: DataFrame):
-        words = F.split(_spaced(F.col("suggest_text")), " ")
-        self.docs = cut_lineage(
-            search_rows.withColumns(
-                {
-                    "doc_id": F.concat_ws("\t", "city_key", "street_key"),
-                    "padded": F.concat(F.lit(" "), _spaced(F.col("suggest_text"))),
-                    "n_words": F.size(words),
-                }
-            ),
-            "streets",
-        )
+        self.docs = cut_lineage(street_docs(search_rows), "streets")
         # Every prefix of every word, once per street; a word has as many prefixes as letters.
         prefixes = (
             self.docs.select("doc_id", F.explode(F.array_distinct(F.split(F.trim("padded"), " "))).alias("w"))
@@ -46,6 +48,10 @@ class StreetIndex:
         size = self.docs.agg(F.count(F.lit(1)), F.avg("n_words")).first()
         self.n_docs, self.avg_words = size[0], size[1] or 1.0
 
+    def window(self, searches: DataFrame) -> DataFrame:
+        """The candidate window of each distinct search, from all its matches."""
+        return candidate_window(match_streets(searches, self))
+
 
 def prepare_queries(queries: DataFrame, min_length: int = vocab.SEARCH_MIN_LENGTH) -> DataFrame:
     """SG2, SG5-SG7: search text, civic, unit, word groups and an error code.
@@ -126,6 +132,18 @@ def match_streets(searches: DataFrame, index: StreetIndex) -> DataFrame:
     only and the other groups are checked on the street's text, so a word that a third of all
     streets contain costs nothing unless it is all there is.
     """
+    rarest = rarest_groups(searches, index)
+    fetched = (
+        rarest.select("sid", F.explode(F.array_distinct(F.transform("rarest", lambda f: f["head"]))).alias("pfx"))
+        .join(index.postings, "pfx")
+        .select("sid", "doc_id")
+        .distinct()
+    )
+    return checked_streets(fetched, rarest, searches, index)
+
+
+def rarest_groups(searches: DataFrame, index: StreetIndex) -> DataFrame:
+    """(sid, rarest, all_forms): the word group with the fewest streets of each search, and all forms of all groups."""
     words = searches.select("sid", F.posexplode("groups").alias("group_no", "forms")).select(
         "sid", "group_no", F.explode("forms").alias("phrase")
     )
@@ -135,16 +153,20 @@ def match_streets(searches: DataFrame, index: StreetIndex) -> DataFrame:
         # A group holds at most three forms.
         F.collect_set(F.struct("phrase", "head", "n_docs")).alias("forms"),
     )
-    rarest = per_group.groupBy("sid").agg(
+    return per_group.groupBy("sid").agg(
         F.min_by("forms", F.struct("docs", "group_no")).alias("rarest"),
         F.flatten(F.collect_list("forms")).alias("all_forms"),  # as many as the query has words
     )
-    fetched = (
-        rarest.select("sid", F.explode(F.array_distinct(F.transform("rarest", lambda f: f["head"]))).alias("pfx"))
-        .join(index.postings, "pfx")
-        .select("sid", "doc_id")
-        .distinct()
-    )
+
+
+def wanted_province(asked: Column, province: Column) -> Column:
+    """A search names one province, several with commas between, or none."""
+    listed = F.split(F.replace(asked, F.lit(" "), F.lit("")), ",")
+    return asked.isNull() | F.array_contains(listed, province)
+
+
+def checked_streets(fetched: DataFrame, rarest: DataFrame, searches: DataFrame, index: StreetIndex) -> DataFrame:
+    """Of the fetched (sid, doc_id) those that match all groups, box and province, with BM25."""
     weighed = rarest.select("sid", "all_forms").join(
         searches.select("sid", *[c for c in SEARCH_FIELDS]), "sid"
     )
@@ -157,9 +179,7 @@ def match_streets(searches: DataFrame, index: StreetIndex) -> DataFrame:
         F.col("lat").between(F.col("box_min_lat"), F.col("box_max_lat"))
         & F.col("lon").between(F.col("box_min_lon"), F.col("box_max_lon"))
     )
-    # A search names one province, several with commas between, or none.
-    listed = F.split(F.replace(F.col("want_province"), F.lit(" "), F.lit("")), ",")
-    wanted = F.col("want_province").isNull() | F.array_contains(listed, F.col("province"))
+    wanted = wanted_province(F.col("want_province"), F.col("province"))
     return (
         fetched.join(weighed.withColumnRenamed("province", "want_province"), "sid")
         .join(index.docs, "doc_id")
@@ -185,6 +205,11 @@ def bm25(forms: Column, padded: Column, n_words: Column, index: StreetIndex) ->
     return -F.aggregate(F.transform(forms, part), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def whole_prefix() -> Column:
+    """0 where the street's text starts with the whole search, else 1."""
+    return F.when(F.col("suggest_text").startswith(F.col("search_text")), 0).otherwise(1)
+
+
 def candidate_window(matches: DataFrame, size: int = vocab.SEARCH_WINDOW) -> DataFrame:
     """WN1, WN7: best ``size`` streets per search, with the window's extremes for scoring.
 
@@ -193,7 +218,7 @@ def candidate_window(matches: DataFrame, size: int = vocab.SEARCH_WINDOW) -> Dat
     """
     near = planar_order(F.col("bias_lon"), F.col("bias_lat"), F.col("lon"), F.col("lat"))
     order = [
-        F.when(F.col("suggest_text").startswith(F.col("search_text")), 0).otherwise(1),
+        whole_prefix(),
         F.coalesce(F.round(near, 12), F.lit(0.0)),
         F.desc("address_count"),
         F.round("bm25", 9),
@@ -268,7 +293,7 @@ def search_streets(queries: DataFrame, index: StreetIndex, limit: int = vocab.SE
         prepare_queries(queries).withColumn("sid", _search_id()), "search_queries"
     ).where(F.size("groups") > 0)
     searches = prepared.select("sid", *SEARCH_FIELDS).dropDuplicates(["sid"])
-    window = candidate_window(match_streets(searches, index))
+    window = index.window(searches)
     distance = F.when(
         F.col("bias_lat").isNotNull(),
         haversine(F.col("bias_lon"), F.col("bias_lat"), F.col("lon"), F.col("lat")),

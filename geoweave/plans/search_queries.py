@@ -12,7 +12,10 @@ from geoweave.operators.aggregates import (
 from geoweave.plans import oracle_parts as O
 from geoweave.plans.geocode_queries import store
 from geoweave.plans.registry import places, query
+from geoweave.session import cut_lineage, scratch_path
 from geoweave.sources import derived
+from geoweave.sources.addresses import index_streets, street_index
+from geoweave.sources.store import snapshot
 
 _SQ = derived.SEARCH_QUERIES_SQL.format(addr="addr_raw")
 _TYPE_OF = O.case_map("w", vocab.STREET_TYPE_CANONICAL, "w")
@@ -117,6 +120,24 @@ def suggest_topk(spark, sf_dir):
     )
 
 
+@query("suggest_stored", f"""{_SEARCH}
+SELECT query_id, rank, doc_id, round(score, 9) AS score, CAST(floor(distance + 0.5) AS BIGINT) AS distance, in_range FROM ranked""")
+def suggest_stored(spark, sf_dir):
+    """SG1, SG3, SG7-SG10, WN1, WN2: from a stored index, one province's segment of which was written anew."""
+    addr = store(spark, sf_dir).addr
+    rows = cut_lineage(street_search_rows(street_ranges(addr), city_centroids(addr)), "street_search")
+    root = scratch_path(spark, "index")
+    work = snapshot(spark, root).commit()
+    index_streets(work, rows, [])
+    work = work.publish().commit()
+    index_streets(work, rows.where("province = 'ON'"), ["ON"])
+    ranked = G.search_streets(derived.search_queries(spark, sf_dir), street_index(work.publish()))
+    return ranked.select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 9).alias("score"),
+        F.floor(F.col("distance") + 0.5).alias("distance"), "in_range",
+    )
+
+
 @query("suggest_leaves", f"""{_SEARCH},
 probed AS (
   SELECT *, in_range AND row_number() OVER (PARTITION BY query_id, in_range ORDER BY rank) <= 3 AS probe FROM ranked),

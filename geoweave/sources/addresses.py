@@ -12,7 +12,8 @@ from geoweave.operators.aggregates import (
     city_centroids, postal_centroids, street_ranges, street_search_rows,
 )
 from geoweave.operators.parse import standardize_addresses, with_mailing
-from geoweave.sources.store import Commit, snapshot
+from geoweave.operators.street_blocks import BlockIndex, segments
+from geoweave.sources.store import Commit, Snapshot, snapshot
 
 _NUMBER = r"^\s*([-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?)"
 FIELDS = [f for f in vocab.ADDRESS_HEADERS if f not in ("lat", "lon", "province")]
@@ -111,10 +112,25 @@ def address_table(rows: DataFrame) -> DataFrame:
 TABLES = ["addresses", "postal_centroids", "city_centroids", "street_ranges", "street_search"]
 
 
-def rebuild_aggregates(work: Commit, province: str) -> None:
+INDEX_TABLES = ["street_docs", "street_heads", "street_blocks", "street_totals"]
+
+
+def index_streets(work: Commit, streets: DataFrame, provinces: list[str]) -> None:
+    """SG1: the index segments of ``provinces`` anew from their search rows; other segments stay as they are."""
+    for name, rows in zip(INDEX_TABLES, segments(streets)):
+        work.replace(name, rows, "province", provinces)
+
+
+def street_index(shot: Snapshot) -> BlockIndex:
+    """The stored street index of one version."""
+    return BlockIndex(*[shot.read(name) for name in INDEX_TABLES])
+
+
+def rebuild_aggregates(work: Commit, province: str, search_index: bool = False) -> None:
     """IO9: the three aggregates and the search rows of one province, from the addresses of ``work``.
 
-    A province without addresses any more loses its rows.
+    A province without addresses any more loses its rows. With ``search_index``, or where the store has a
+    street index already, the province's segment of it follows.
     """
     addr = work.read("addresses", [province])
     work.replace("postal_centroids", postal_centroids(addr), "province", [province])
@@ -122,11 +138,13 @@ def rebuild_aggregates(work: Commit, province: str) -> None:
     work.replace("street_ranges", street_ranges(addr), "province", [province])
     streets = street_search_rows(work.read("street_ranges", [province]), work.read("city_centroids", [province]))
     work.replace("street_search", streets, "province", [province])
+    if search_index or INDEX_TABLES[0] in work.tables():
+        index_streets(work, work.read("street_search", [province]), [province])
 
 
 def import_province(
     spark: SparkSession, csv_path: str, root: str, province: str, version: str,
-    resume: bool = False, max_rows: int | None = None,
+    resume: bool = False, max_rows: int | None = None, search_index: bool = False,
 ) -> DataFrame:
     """IO7, IO8, IO11: load one province and return its import-log row.
 
@@ -142,7 +160,7 @@ def import_province(
         work.append("addresses", fresh, "province")
     else:
         work.replace("addresses", address_table(missing_rows(good, None)), "province", [province])
-    rebuild_aggregates(work, province)
+    rebuild_aggregates(work, province, search_index)
     rejected = bad.agg(F.count(F.lit(1)).alias("n"))
     entry = work.read("addresses", [province]).agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(province).alias("province"),
