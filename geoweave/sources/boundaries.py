@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from geoweave.functions import text, vocab
 from geoweave.functions.geometry import GEOM_TYPE, bounding_box, vertex_centroid
+from geoweave.operators.running import running
+from geoweave.session import cut_lineage
+from geoweave.sources.json_units import GOING_ON, as_object, goes_on, read_units
 from geoweave.sources.store import Snapshot, snapshot
 
 
@@ -21,15 +24,17 @@ def dataset_registry(spark: SparkSession) -> DataFrame:
     )
 
 
-# Numbers that the features of one file, and those of one set, may take.
-FILE_STRIDE = 1 << 24
+# Numbers that the features of one set may take.
 SET_STRIDE = 1 << 50
 
 # Geometry stays text until its type is known: coordinates nest to a different depth per type.
 _FEATURE_JSON = (
-    "type string, features array<struct<type: string, properties: map<string, string>, "
-    "geometry: struct<type: string, coordinates: string>>>"
+    "type string, properties map<string, string>, geometry struct<type: string, coordinates: string>"
 )
+# So does an item until it is looked at by itself: an odd one does not spoil the others.
+_UNIT_JSON = f"type string, features array<string>, `{GOING_ON}` array<string>"
+# Units of a file that are numbered in one task.
+UNIT_SLICE = 1 << 16
 
 
 def parse_geometry(kind: Column, coordinates: Column) -> Column:
@@ -44,31 +49,62 @@ def parse_geometry(kind: Column, coordinates: Column) -> Column:
 def read_geojson(spark: SparkSession, path: str, dataset: str) -> tuple[DataFrame, DataFrame]:
     """IO4: (features, rejects) of one or many FeatureCollection files.
 
-    Every feature is checked, not a sample. Rejects carry a reason and never stop the load. One
-    file is one JSON document, so the unit of parallel reading is the file. ``ordinal`` numbers the
-    features of all files: the position within the file, after FILE_STRIDE numbers for every file
-    before it in the order of their names.
+    Every feature is checked, not a sample. Rejects carry a reason and never stop the load. A large file is
+    read in byte ranges by many tasks; a feature is the unit that must fit one. ``ordinal`` numbers the
+    features of all files, file after file in the order of their names. A file whose braces do not match is
+    rejected as a whole; a file without content has no row.
     """
-    raw = (
-        spark.read.schema(_FEATURE_JSON)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .json(path)
-        .withColumn("file", F.input_file_name())
-    )
-    files = spark.createDataFrame(
-        [(name, number * FILE_STRIDE) for number, name in enumerate(sorted(raw.inputFiles()))],
-        "listed string, first bigint",
-    )
-    # Names of files are few next to their features; the optimizer picks the join.
-    raw = raw.join(files, F.col("file") == F.col("listed"), "left")
-    exploded = raw.select(
-        "first", "file", F.col("type").alias("collection_type"), F.posexplode_outer("features")
+    units = read_units(spark, path).withColumns(
+        {"going": goes_on(F.col("start"), F.col("body")), "text": as_object(F.col("start"), F.col("end"), F.col("body"))}
+    )
+    # The last key of a unit that opened an array tells whether that array is the features.
+    keys = F.map_keys(F.from_json("text", "map<string,string>"))
+    opened = F.when(~F.col("going") & (F.col("end") == 2), F.try_element_at(keys, F.lit(-1)))
+    parsed = cut_lineage(
+        units.withColumns({"json": F.from_json("text", _UNIT_JSON), "opened": F.nullif(opened, F.lit(GOING_ON))})
+        .select(
+            "file", "unit", "end", "going", "json.type", "opened",
+            F.col("json.features").alias("features"), F.col(f"json.`{GOING_ON}`").alias("more"),
+        ),
+        "json_units",
+    )
+    size = F.greatest(F.size(F.coalesce("features", "more", F.array())), F.lit(0))
+    opens = F.col("opened").isNotNull().cast("bigint")
+    numbered = running(
+        parsed, ["file"], "unit", "unit", UNIT_SLICE, sums={"upto": size.cast("bigint"), "arrays": opens},
+    ).withColumns({"before": F.col("upto") - size, "arrays_before": F.col("arrays") - opens})
+    # One row per file from here on.
+    whole = parsed.groupBy("file").agg(
+        F.max_by("end", "unit").alias("depth"),
+        F.min_by("type", F.when(F.col("type").isNotNull() & ~F.col("going"), F.col("unit"))).alias("type"),
+    ).select("file", F.when(F.col("depth") == 0, F.col("type")).alias("collection_type"))
+    heads = numbered.where("features IS NOT NULL").groupBy("file").agg(
+        F.min("unit").alias("head"), F.min_by("before", "unit").alias("skipped"),
+        F.min_by("arrays", "unit").alias("array"),
+    )
+    files = whole.join(heads, "file", "left")
+    ours = numbered.drop("type").join(files, "file").where(
+        "collection_type IS NOT NULL AND (unit = head OR (unit > head AND arrays_before = array))"
+    )
+    items = ours.select(
+        "file", "collection_type", (F.col("before") - F.col("skipped")).alias("_from"),
+        F.posexplode(F.when(F.col("unit") == F.col("head"), F.col("features")).otherwise(F.col("more"))),
+    ).withColumn("position", F.col("_from") + F.col("pos"))
+    counts = files.join(items.groupBy("file").agg(F.count(F.lit(1)).alias("items")), "file", "left")
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select(
+        "file", "collection_type", F.coalesce(F.sum("items").over(earlier), F.lit(0)).alias("first"), "items"
+    )
+    listed = items.join(firsts.select("file", "first"), "file").select(
+        "file", "collection_type", (F.col("first") + F.col("position")).alias("ordinal"),
+        F.from_json("col", _FEATURE_JSON).alias("col"),
+    )
+    exploded = listed.unionByName(
+        firsts.where("items IS NULL").select("file", "collection_type"), allowMissingColumns=True
     ).select(
         "file",
         "collection_type",
-        F.when(F.col("pos") >= FILE_STRIDE, F.raise_error(F.concat(F.col("file"), F.lit(f" has over {FILE_STRIDE} features: split it"))))
-        .otherwise(F.col("first") + F.col("pos")).cast("bigint").alias("ordinal"),
+        "ordinal",
         F.col("col.type").alias("feature_type"),
         F.col("col.properties").alias("props"),
         F.col("col.geometry.type").alias("geometry_type"),

@@ -128,16 +128,6 @@ def test_ids_that_meet(spark):
     assert ids[0] == "d_1" and ids[3] == "d_3" and len(set(ids)) == 4
 
 
-def test_a_file_of_too_many_features_is_refused(spark, tmp_path, monkeypatch):
-    feature = {"type": "Feature", "properties": {}, "geometry": {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1]]]}}
-    (tmp_path / "f.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature] * 3}))
-    monkeypatch.setattr(B, "FILE_STRIDE", 3)
-    assert sorted(r.ordinal for r in B.read_geojson(spark, str(tmp_path), "d")[0].collect()) == [0, 1, 2]
-    monkeypatch.setattr(B, "FILE_STRIDE", 2)
-    with pytest.raises(Exception, match="over 2 features"):
-        B.read_geojson(spark, str(tmp_path), "d")[0].collect()
-
-
 def write_csv(path, rows):
     head = "Latitude,Longitude,Province,City,Civic Number,str_name,Street Type,Street Direction,Unit,Postal Code,Full Address"
     path.write_text("\n".join([head, *[f"43.{i},-79.{i},{p},Toronto,{i},MAIN,ST,,,M5V 2T{i},x" for i, p in rows]]) + "\n")
