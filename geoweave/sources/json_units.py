@@ -77,7 +77,7 @@ GOING_ON = "~"
 
 def as_object(start: Column, end: Column, body: Column) -> Column:
     """A unit as a JSON object of its own: opened and closed, items of an earlier array under GOING_ON."""
-    text = F.regexp_replace(body, "^[\\s﻿]+", "")
+    text = F.regexp_replace(body, r"^[\s\uFEFF]+", "")
     unled = F.regexp_replace(text, r"^[\],\s]*", "")
     opened = (
         F.when(start == 0, text)
