@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from geoweave.functions import text
+from geoweave.functions import rules, text
 from geoweave.functions.mailing import mailing_address
 from geoweave.operators.parse import parse_address, parse_requests, street_readings
 
@@ -114,3 +114,22 @@ def test_readings_order(spark):
         ("THE WEST MALL", "AVE", ""), ("THE WEST", "MALL", ""), ("THE WEST MALL", "", ""),
         ("WEST MALL", "AVE", ""), ("WEST", "MALL", ""), ("WEST MALL", "", ""),
     ]
+
+
+def test_municipality_of_a_result(spark):
+    """TX25: mailing town, then the address's city, then the asked one; empty counts as missing, and the town joins the properties."""
+    rows = [
+        ("OTTAWA", "Nepean", "Kanata", {"NAME": "a"}),
+        ("", "Nepean", "Kanata", {"NAME": "a", "MUNICIPALITY": "old"}),
+        (None, None, "Kanata", {}),
+        (None, "", None, {"MUNICIPALITY": "old"}),
+        ("OTTAWA", None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "mailing string, locality string, city string, props map<string, string>")
+    town = rules.municipality(F.col("mailing"), F.col("locality"), F.col("city"))
+    got = df.select(town.alias("town"), rules.with_municipality(F.col("props"), town).alias("props")).collect()
+    assert [r.town for r in got] == ["OTTAWA", "Nepean", "Kanata", None, "OTTAWA"]
+    assert [r.props for r in got] == [
+        {"NAME": "a", "MUNICIPALITY": "OTTAWA"}, {"NAME": "a", "MUNICIPALITY": "Nepean"}, {"MUNICIPALITY": "Kanata"},
+        {"MUNICIPALITY": "old"}, None,
+    ]
