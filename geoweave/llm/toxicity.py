@@ -19,13 +19,18 @@ ORDERS = (3, 4, 5, 6)
 TABLE_BITS = 20
 # Added to the counts of both classes before their ratio is taken.
 SMOOTHING = 1.0
-# Features that the fit uses: those whose counts tell the classes apart best.
-FIT_FEATURES = 2_000
+# An n-gram has a weight if its shares in the two classes lie more standard deviations apart than
+# this: by chance alone, less than one of the table's 2^20 slots would.
+LEAST_STRENGTH = 5.0
 # Labelled rows that the weights are fitted on; the counts and ratios are of all labelled rows.
 FIT_ROWS = 20_000
 # Characters of a text that are hashed at a time.
 TEXT_BLOCK = 1 << 18
 FIT_STEPS = 300
+# The fit ends before that once no entry of the gradient is larger.
+FIT_TOLERANCE = 1e-4
+# Presences that the fit handles at a time.
+FIT_BLOCK = 1 << 22
 POSITIVE_WEIGHT = 2.0
 RIDGE = 1e-3
 
@@ -116,42 +121,71 @@ def _ratios(counts: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     pooled = (pos + neg + SMOOTHING) / (all_pos + all_neg + 2 * SMOOTHING)
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / (all_pos + 1) + 1 / (all_neg + 1)))
     strength = np.abs(rate_pos - rate_neg) / spread
-    order = np.lexsort((slot, -strength))[:FIT_FEATURES]
-    order = order[strength[order] > 2.0]
-    return slot[order].astype(np.int64), ratio[order]
+    chosen = strength > LEAST_STRENGTH
+    return slot[chosen].astype(np.int64), ratio[chosen]
+
+
+class _Presence:
+    """The rows' features times their ratios, as a matrix that is never spelled out: products go block by block."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.ratio, self.size = ratio, np.array([len(r) for r in rows], np.int64)
+        self.col = np.concatenate([*rows, np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])
+        # Rows from one cut to the next have FIT_BLOCK presences, or are a single row.
+        self.cuts = [0]
+        while self.cuts[-1] < len(rows):
+            last = self.cuts[-1]
+            self.cuts.append(max(last + 1, int(np.searchsorted(self.start, self.start[last] + FIT_BLOCK, "right")) - 1))
+
+    def _blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        for a, b in zip(self.cuts, self.cuts[1:], strict=False):
+            yield a, b, self.col[self.start[a] : self.start[b]]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        """One sum per row."""
+        scaled, out = self.ratio * v, np.zeros(len(self.size))
+        for a, b, col in self._blocks():
+            out[a:b] = np.bincount(np.repeat(np.arange(b - a), self.size[a:b]), scaled[col], b - a)
+        return out
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """One sum per feature."""
+        out = np.zeros(len(self.ratio))
+        for a, b, col in self._blocks():
+            out += np.bincount(col, np.repeat(u[a:b], self.size[a:b]), len(out))
+        return self.ratio * out
 
 
 def _fit(rows: list[np.ndarray], toxic: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio, by Nesterov's accelerated gradient; weights per presence."""
     n = len(rows)
-    size = np.array([len(r) for r in rows], np.int64)
-    col = np.concatenate(rows) if n else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), size)
-    value = ratio[col]
     w, b = np.zeros(len(ratio)), 0.0
     if not n or toxic.min() == toxic.max():
         share = (toxic.sum() + 1) / (n + 2)
         return w, float(np.log(share / (1 - share)))
-    b = 0.0
+    x = _Presence(rows, ratio)
     # Both classes count alike, up to POSITIVE_WEIGHT times a row of the rarer one.
     weight = np.where(toxic == 1, min(POSITIVE_WEIGHT, (1 - toxic).sum() / toxic.sum()), 1.0)
     weight /= weight.mean()
     # The largest singular value of the rows, by power iteration, bounds the curvature.
     u, norm = np.ones(len(ratio)), 1.0
     for _ in range(20):
-        u = u / np.linalg.norm(u)
-        u = np.bincount(col, value * np.bincount(row, value * u[col], n)[row], len(ratio))
+        u = u / max(np.linalg.norm(u), 1e-9)
+        u = x.back(x.times(u))
         norm = max(np.linalg.norm(u), 1e-9)
     step = 1 / (0.25 * weight.max() * (1.2 * norm / n + 1) + RIDGE)
     past_w, past_b = w.copy(), b
     for k in range(FIT_STEPS):
         ahead = k / (k + 3)
         at_w, at_b = w + ahead * (w - past_w), b + ahead * (b - past_b)
-        z = np.bincount(row, value * at_w[col], n) + at_b
+        z = x.times(at_w) + at_b
         wrong = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - toxic)
+        slope_w, slope_b = x.back(wrong) / n + RIDGE * at_w, wrong.mean()
         past_w, past_b = w, b
-        w = at_w - step * (np.bincount(col, value * wrong[row], len(ratio)) / n + RIDGE * at_w)
-        b = at_b - step * wrong.mean()
+        w, b = at_w - step * slope_w, at_b - step * slope_b
+        if max(np.abs(slope_w).max(initial=0.0), abs(slope_b)) < FIT_TOLERANCE:
+            break
     return w * ratio, b
 
 
@@ -160,8 +194,9 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
 
     Counts and ratios are of all rows and leave the cluster as one row per slot of the hashed table,
     so at most 2^``bits`` + 1. Weights are fitted in one task on at most ``fit_rows`` rows, the first by
-    a hash of their text, with at most FIT_FEATURES features each. Rows without label or with
-    another value are left out; null texts count as empty. No rows give a score of 0.5.
+    a hash of their text, with every n-gram whose two shares differ by more than LEAST_STRENGTH; the
+    ridge keeps small what chance let through. Rows without label or with another value are left
+    out; null texts count as empty. No rows give a score of 0.5.
     """
     labelled = written(labelled.where("toxic in (0, 1)").select(F.col("text"), F.col("toxic").cast("int").alias("toxic")), "toxic_labelled")
     counts = sum_by_slot(labelled, bits).toArrow().to_pandas()
@@ -189,7 +224,7 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         # One order whatever the shuffle's, so that sums and scores are the same to the last bit.
         frame = frame.sort_values(["hash", "toxic"], kind="stable")
-        weights, intercept = _fit([np.asarray(f, np.int64) for f in frame["features"]], frame["toxic"].to_numpy(np.float64), ratio)
+        weights, intercept = _fit([np.asarray(f, np.int32) for f in frame["features"]], frame["toxic"].to_numpy(np.float64), ratio)
         return pd.DataFrame({"weights": [weights], "intercept": [intercept]})
 
     found = rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fit, "weights array<double>, intercept double").collect()

@@ -180,3 +180,61 @@ def test_labels_of_held_out_rows_change_nothing(ready):
         for x in (labels, turned)
     ]
     assert scores[0] == scores[1]
+
+
+def test_scores_against_a_plain_fit(ready):
+    """N-grams as strings, counted in dictionaries, and Newton's method until nothing moves."""
+    rng = np.random.default_rng(3)
+    words = ["stone", "river", "lamp"]  # so few that no two n-grams share a slot
+    rows = []
+    for i in range(300):
+        toxic = int(rng.random() < 0.4)
+        text = [words[k] for k in rng.integers(0, 3, 8)]
+        if rng.random() < (0.8 if toxic else 0.05):
+            text[0] = "Fool"
+        rows.append((i, " ".join(text), toxic))
+    grams = [{t[at : at + n] for n in toxicity.ORDERS for at in range(len(t) - n + 1)} for t in (f"\n{x.lower()}\n" for _, x, _ in rows)]
+    marks = np.array([m for *_, m in rows], float)
+    counts = {g: [0, 0] for g in set().union(*grams)}
+    for found, mark in zip(grams, marks, strict=True):
+        for g in found:
+            counts[g][int(mark)] += 1
+    labelled = ready.createDataFrame([(t, m) for _, t, m in rows], "text string, toxic int")
+    table = toxicity.sum_by_slot(labelled).collect()
+    assert Counter((r.neg, r.pos) for r in table if r.slot >= 0) == Counter(tuple(c) for c in counts.values())
+    total = np.array([(1 - marks).sum(), marks.sum()])
+    assert [(r.neg, r.pos) for r in table if r.slot < 0] == [tuple(total)]
+    strong = {}
+    for g, c in counts.items():
+        share = (np.array(c) + 1) / (total + 2)
+        both = (sum(c) + 1) / (total.sum() + 2)
+        if abs(share[1] - share[0]) > toxicity.LEAST_STRENGTH * np.sqrt(both * (1 - both) * (1 / (total + 1)).sum()):
+            strong[g] = np.log(share[1] / share[0])
+    model = toxicity.train(labelled)
+    assert len(model.slots) == len(strong) > 10
+    x = np.array([[r * (g in found) for g, r in strong.items()] + [1.0] for found in grams])
+    weight = np.where(marks == 1, min(toxicity.POSITIVE_WEIGHT, total[0] / total[1]), 1.0)
+    weight /= weight.mean()
+    ridge = np.diag([toxicity.RIDGE] * len(strong) + [0.0])
+    w = np.zeros(len(strong) + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ w))
+        slope = x.T @ (weight * (p - marks)) / len(rows) + ridge @ w
+        w -= np.linalg.solve((x.T * (weight * p * (1 - p))) @ x / len(rows) + ridge, slope)
+    assert np.abs(slope).max() < 1e-10
+    want = 1 / (1 + np.exp(-x @ w))
+    docs = ready.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.scores(docs, model).collect()}
+    assert max(abs(got[i] - want[i]) for i in range(len(rows))) < 0.02
+
+
+def test_products_of_the_fit_go_block_by_block(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [np.unique(rng.integers(0, 40, k)).astype(np.int32) for k in (0, 3, 50, 0, 7, 20, 0)]
+    ratio = rng.normal(size=40)
+    plain = np.array([[ratio[c] * (c in set(r.tolist())) for c in range(40)] for r in rows])
+    v, u = rng.normal(size=40), rng.normal(size=len(rows))
+    for block in (1, 8, 1 << 22):
+        monkeypatch.setattr(toxicity, "FIT_BLOCK", block)
+        x = toxicity._Presence(rows, ratio)
+        assert x.times(v) == pytest.approx(plain @ v) and x.back(u) == pytest.approx(plain.T @ u)
