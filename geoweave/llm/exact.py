@@ -45,23 +45,31 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 16
     """Equal texts of ``docs`` (``doc_id``, ``text``) and the row of each group that stays.
 
     Texts are equal when identical after lower-casing A-Z; a null text is an empty one. Rows are
-    grouped by a 128-bit hash, and inside a hash by the bytes themselves: hash, SHA-256 and text are
+    grouped by a 128-bit hash, of which only the hash and a count are shuffled. Rows whose hash
+    occurs more than once are then compared by the bytes themselves: hash, SHA-256 and text are
     the key of an aggregation that combines before its shuffle, so a group of any size leaves
-    every map task as one row, and texts that collide stay apart. The small table of groups is
-    joined back on hash and SHA-256, a join whose large keys are split.
+    every map task as one row, and texts that collide stay apart. Texts of other rows are not
+    shuffled while the repeated hashes are few enough to broadcast; beyond that the join on
+    the hash moves them once. The small table of groups is joined back on hash and SHA-256, a join
+    whose large keys are split.
 
     Result, one row per input row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``,
     ``text_sha256``. ``keep`` is ``smallest`` or ``largest`` id. A null id loses to any other; if
     all ids of a group are null, ``keep_id`` is null and one row stays. Of several rows with
-    the id that stays, exactly one stays. No rows give no rows. Other columns are ignored.
+    the id that stays, exactly one stays. Texts of any length are hashed whole. No rows give no
+    rows. Other columns are ignored.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     rows = written(
         hashed(docs, digest_bytes).select("doc_id", "digest", "text_sha256", F.monotonically_increasing_id().alias("tag")),
         "exact_rows",
     )
+    repeated = written(
+        rows.groupBy("digest").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("digest"), "exact_repeated"
+    )
     groups = written(
         hashed(docs, digest_bytes)
+        .join(small(repeated), "digest", "left_semi")
         .groupBy("digest", "text_sha256", "norm")
         .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
