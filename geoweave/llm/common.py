@@ -9,6 +9,8 @@ from geoweave.session import BROADCAST_MAX_ROWS, configure, cut_lineage
 
 # Rows of one Arrow batch handed to a Python task. Texts can be long, so batches are short.
 BATCH_ROWS = 1_000
+# Most bytes of a broadcast table whose rows are wide.
+BROADCAST_MAX_BYTES = 64 << 20
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -50,9 +52,13 @@ def without(df: DataFrame, keys: DataFrame, names: list[str], also: dict | None
     return plain.join(small(right), condition, "left_anti").toDF(*found)
 
 
-def small(table: DataFrame) -> DataFrame:
-    """A written table, with the hint to broadcast it if its counted rows are few."""
-    return F.broadcast(table) if table.count() <= BROADCAST_MAX_ROWS else table
+def small(table: DataFrame, row_bytes: int = 0) -> DataFrame:
+    """A written table, with the hint to broadcast it if its counted rows are few.
+
+    ``row_bytes`` is the size of a row where rows are wide; their sum is then bounded as well.
+    """
+    most = min(BROADCAST_MAX_ROWS, BROADCAST_MAX_BYTES // row_bytes) if row_bytes else BROADCAST_MAX_ROWS
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

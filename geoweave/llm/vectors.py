@@ -17,13 +17,16 @@ MIN_COSINE = 0.9
 # Shards at least, and vectors of a shard at most, which bounds the memory of a task.
 SHARDS = 4
 SHARD_VECTORS = 100_000
-# Queries that one task sends through one shard, before the shard is given to a further task.
+# A shard is given to one task per so many queries, but to no more than keep this many groups of
+# queries per task of the session; so copies of a shard do not grow with the table.
 PART_QUERIES = 2_048
+GROUPS_PER_TASK = 2
 # The beam begins at the first number and doubles until the audit finds this share of all links.
 BEAM = 48
 RECALL = 0.99
-# Vectors whose links an audit counts by comparing them with all others.
-AUDITED = 256
+# Vectors whose links an audit counts by comparing them with all others: by hash, and of those with links.
+AUDITED = 1_024
+AUDITED_LINKED = 256
 # Single precision may differ by this from the cosine that is checked in double precision.
 SLACK = 1e-4
 
@@ -98,7 +101,8 @@ def _searched(graphs: DataFrame, nodes: DataFrame, shards: int, parts: int, beam
         F.lit(0).alias("level"), F.lit(None).cast("array<array<int>>").alias("links"),
         F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("part"), F.lit(1).alias("query"),
     )
-    rows = held.unionByName(asked).repartition(tasks(nodes.sparkSession), "shard", "part")
+    # One group of queries per partition: a hash would put two into one and none into another.
+    rows = held.unionByName(asked).repartitionById(shards * parts, F.col("shard") * parts + F.col("part"))
     order = ["shard", "part", "query", "place", "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,18 +143,28 @@ def _searched(graphs: DataFrame, nodes: DataFrame, shards: int, parts: int, beam
     return rows.sortWithinPartitions(*order).mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
+def parts_of(vectors: int, shards: int, at_once: int) -> int:
+    """Groups into which the queries of a shard are dealt, which is also how often its graph is sent."""
+    return max(1, min(-(-vectors // PART_QUERIES), -(-GROUPS_PER_TASK * at_once // shards)))
+
+
 def _audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
-    """Share of the links of audited vectors that were found; the audit compares them with all vectors, in blocks."""
+    """Mean share of its links that was found for an audited vector, all of whose links are counted in blocks.
+
+    Every vector with links weighs the same, so a dense group does not hide vectors with few links. One
+    sample is taken by hash, whatever the search found; a second one from vectors for which it found links.
+    The lesser mean counts. A sample of vectors without any link says nothing and counts as 1.
+    """
     counts = found.where("links >= 0").groupBy("a").agg(F.sum("links").alias("links"))
     some = nodes.join(counts, nodes.node == counts.a, "left").select("node", "vector", F.coalesce("links", F.lit(0)).alias("links"))
     by = F.xxhash64("node", F.lit(5))
-    asked = some.orderBy(by).limit(AUDITED).collect() + some.where("links > 0").orderBy(by).limit(AUDITED).collect()  # bounded: 2 * AUDITED rows
-    known = {r.node: r for r in asked}
-    if not known:
+    # Bounded: AUDITED and AUDITED_LINKED rows.
+    samples = [some.orderBy(by).limit(AUDITED).toArrow(), some.where("links > 0").orderBy(by).limit(AUDITED_LINKED).toArrow()]
+    asked = pa.concat_tables(samples).combine_chunks()
+    if not len(asked):
         return 1.0
-    node = np.array(list(known), np.int64)
-    vectors = _matrix(pa.array([r.vector for r in known.values()], pa.list_(pa.float64())))
-    shared = nodes.sparkSession.sparkContext.broadcast((node, vectors))
+    node = asked.column("node").to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast((node, _matrix(asked.column("vector").combine_chunks())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked_nodes, asked_vectors = shared.value
@@ -158,13 +172,19 @@ def _audit(nodes: DataFrame, found: DataFrame, least: float) -> float:
         for batch in batches:
             here, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
             near = (_matrix(batch.column("vector")) @ asked_vectors.T >= least) & (here[:, None] != asked_nodes)
-            total += (near * copies[:, None]).sum(axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(asked_nodes), pa.array(total)], ["node", "links"])
+            total += copies @ near
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["at", "links"])
 
-    true = nodes.mapInArrow(run, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links")).collect()
+    true = nodes.mapInArrow(run, "at bigint, links bigint").groupBy("at").agg(F.sum("links").alias("links")).orderBy("at").toArrow()
     shared.unpersist()
-    want = sum(r.links for r in true)
-    return sum(min(r.links, known[r.node].links) for r in true) / want if want else 1.0
+    return share_found(asked.column("links").to_numpy(), true.column("links").to_numpy(), len(samples[0]))
+
+
+def share_found(found: np.ndarray, true: np.ndarray, first: int) -> float:
+    """The lesser mean share of found links, of the ``first`` audited vectors and of the others."""
+    share = np.minimum(found, true) / np.maximum(true, 1)
+    means = [part[here].mean() for part, here in ((share[:first], true[:first] > 0), (share[first:], true[first:] > 0)) if here.any()]
+    return float(min(means, default=1.0))
 
 
 def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, shards: int | None = None, beam: int = BEAM, recall: float = RECALL) -> DataFrame:
@@ -175,8 +195,8 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, shards: int | No
     search, then a walk over all neighbours inside the wanted cosine, so a dense group is found
     whole however many it has. Finds are checked by cosine in double precision. Links are counted and
     joined to trees inside the tasks, so what leaves them does not grow with the square of a group.
-    An audit compares some vectors with all; while it finds less than ``recall`` of their links,
-    the search runs again with twice the beam, at last over whole shards.
+    An audit compares some vectors with all; while less than ``recall`` of a vector's links was found
+    on average, the search runs again with twice the beam, at last over whole shards.
 
     Result, one row per input row: ``vec_id``, ``n_links`` (other vectors linked directly), ``component_id``
     (smallest vec_id reachable, itself included), ``kept`` (whether these are equal). Null and zero vectors
@@ -201,7 +221,7 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, shards: int | No
         dealt = part.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int"))
         graphs = written(_built(dealt.select("shard", "node", "copies", "vector")), "vectors_graphs")
         asked = part.select("node", "copies", "vector")
-        parts, width = max(1, -(-length["count"] // PART_QUERIES)), beam
+        parts, width = parts_of(length["count"], n, tasks(spark)), beam
         while True:
             got = written(_searched(graphs, asked, n, parts, width, least), "vectors_found")
             if width >= length["count"] or _audit(asked, got, least) >= recall:
@@ -222,7 +242,7 @@ def near_vectors(vectors: DataFrame, least: float = MIN_COSINE, shards: int | No
     )
     return (
         ready.withColumn("key", F.when(F.col("ok"), F.col("embedding")))
-        .join(small(known), F.col("key") == F.col("vector"), "left")
+        .join(small(known, 8 * (lengths[-1].n + 8)), F.col("key") == F.col("vector"), "left")
         .select(
             "vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
             F.when(F.col("vector").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),

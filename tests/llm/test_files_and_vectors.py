@@ -6,7 +6,7 @@ import io
 import numpy as np
 import pytest
 
-from geoweave.llm import hnsw, vectors, warc
+from geoweave.llm import common, hnsw, vectors, warc
 
 
 def digest(raw):
@@ -144,3 +144,26 @@ def test_no_vectors(ready):
     table = ready.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert vectors.near_vectors(table).count() == 0
     assert [tuple(r) for r in vectors.near_vectors(ready.createDataFrame([(1, None)], "vec_id bigint, embedding array<float>")).collect()] == [(1, 0, 1, True)]
+
+
+def test_audit_weighs_vectors_alike():
+    # A dense group found whole, and two vectors whose only link was missed.
+    found, true = np.array([1000] * 8 + [0, 0]), np.array([1000] * 8 + [1, 1])
+    assert vectors.share_found(found, true, len(true)) == pytest.approx(0.8)
+    # The sample by hash counts even if vectors with links were all found whole, and the other way round.
+    assert vectors.share_found(np.array([0, 1, 5]), np.array([1, 1, 5]), 2) == pytest.approx(0.5)
+    assert vectors.share_found(np.array([1, 1, 2]), np.array([1, 1, 5]), 2) == pytest.approx(0.4)
+    assert vectors.share_found(np.array([0, 0]), np.array([0, 0]), 1) == 1.0
+
+
+def test_copies_of_a_shard_do_not_grow_with_the_table():
+    small, large = vectors.parts_of(400_000, 4, 8), vectors.parts_of(4_000_000, 4, 8)
+    assert small == large == 4 and vectors.parts_of(2_000, 4, 8) == 1 and vectors.parts_of(0, 4, 8) == 1
+    # Rows sent for graphs: the table, times the groups per task, times tasks over shards.
+    assert vectors.parts_of(10_000_000, 100, 4_000) * 10_000_000 == 80 * 10_000_000
+
+
+def test_wide_rows_are_broadcast_by_bytes(ready):
+    table = ready.range(10)
+    assert "broadcast" in common.small(table)._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" not in common.small(table, common.BROADCAST_MAX_BYTES // 9)._jdf.queryExecution().analyzed().toString()
