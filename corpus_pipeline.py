@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geoweave.llm import exact, minhash, packing, toxicity
+from geoweave.llm import exact, minhash, packing, simhash, toxicity
 from geoweave.llm.common import prepared, written
 
 
@@ -25,9 +25,14 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (0.8 or more of their five-word shingles), the document with the smallest id."""
+    """Of each group of near copies (0.8 or more of their five-word shingles), the document with the smallest id.
+
+    SimHash over the same shingles finds texts within 3 bits of each other, MinHash bands those that it has
+    no reach for; what either finds is a near copy if the shingles themselves say so.
+    """
     prepared(spark)
-    return minhash.drop_similar(docs)
+    near = simhash.near_groups(docs, width=minhash.SHINGLE_WORDS)
+    return minhash.drop_similar(docs, near=near)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,12 +173,23 @@ def _blocks(opened: DataFrame) -> DataFrame:
     )
 
 
-def similar_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
+def _near_keys(near: DataFrame, rows: DataFrame) -> DataFrame:
+    """``fp``, ``key``: the sets of shingles whose texts share a component of ``near`` with another text."""
+    texts = written(near.select("text_hash", "component").distinct(), "minhash_near")
+    several = texts.groupBy("component").agg(F.min("text_hash").alias("x"), F.max("text_hash").alias("y")).where("x <> y")
+    named = texts.join(several.select("component"), "component").select(
+        "text_hash", F.xxhash64("component", F.lit("near")).alias("key")
+    )
+    return rows.select("text_hash", "fp").distinct().join(named, "text_hash").select("fp", "key").distinct()
+
+
+def similar_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = SIMILARITY, near: DataFrame | None = None) -> DataFrame:
     """Groups of ``docs`` (``doc_id``, ``text``) joined by a Jaccard similarity of ``least`` or more of their shingles.
 
     Texts are lower-cased and cut as for SimHash; a shingle is ``width`` words, counted once. Texts with
     equal sets of shingles are one; others are candidates where a MinHash band is equal, and linked only
-    by the similarity of the shingles themselves. Candidates first meet in groups around the
+    by the similarity of the shingles themselves. Texts that share a component of ``near`` (``text_hash``,
+    ``component``, as ``simhash.near_groups`` gives them) are candidates too. Candidates first meet in groups around the
     smallest text of their bands, which joins most of a dense group at the cost of its rows; the
     texts of bands that are not yet all joined are then compared inside tasks, all pairs of a band, and
     what leaves a task is a forest.
@@ -189,6 +200,8 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = S
     rows = written(_sketches(docs, width), "minhash_rows")
     sets = rows.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("keys").alias("keys"))
     every = sets.select("fp", "text_hash", F.explode("keys").alias("key"))
+    if near is not None:
+        every = every.unionByName(_near_keys(near, rows).join(sets.select("fp", "text_hash"), "fp"))
     shared = every.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y")
     found = written(every.join(shared.select("key"), "key", "left_semi"), "minhash_buckets")
     grams = written(_grams(docs, written(found.select("text_hash").distinct(), "minhash_texts"), width), "minhash_grams")
@@ -210,6 +223,6 @@ def similar_groups(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = S
     return named.select("doc_id", "fp", F.coalesce("component", "fp").alias("component"), "text_hash")
 
 
-def drop_similar(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = SIMILARITY) -> DataFrame:
+def drop_similar(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = SIMILARITY, near: DataFrame | None = None) -> DataFrame:
     """``docs`` with one row of each group of near copies, the one with the smallest id; columns stay as they are."""
-    return keep_smallest(docs, similar_groups(docs, width, least))
+    return keep_smallest(docs, similar_groups(docs, width, least, near))

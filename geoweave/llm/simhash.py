@@ -60,14 +60,14 @@ def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id``, ``fp`` (signed 64 bits), ``text_hash`` per row; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([fingerprint(t.as_py()) for t in texts], pa.int64()), batch.column("text_hash")],
+                [batch.column("doc_id"), pa.array([fingerprint(t.as_py(), width) for t in texts], pa.int64()), batch.column("text_hash")],
                 ["doc_id", "fp", "text_hash"],
             )
 
@@ -229,11 +229,11 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, centres: int = CENTRES_PER_
     return dealt.mapInArrow(run, "src bigint, dst bigint")
 
 
-def near_groups(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+def near_groups(docs: DataFrame, bits: int = MAX_BITS, width: int = SHINGLE_WORDS) -> DataFrame:
     """Near-duplicate groups of ``docs`` (``doc_id``, ``text``) by 64-bit SimHash.
 
     Texts are lower-cased in A-Z only and cut into words at ASCII white space; the fingerprint is the
-    majority of the XXH64 hashes (seed 42) of all three-word shingles, repeats included; fewer words
+    majority of the XXH64 hashes (seed 42) of all shingles of ``width`` words, repeats included; fewer words
     give one shingle, none (null or empty texts) fingerprint zero. Fingerprints within ``bits``
     bits link. Equal fingerprints are reduced to one first, so copies cost nothing more.
 
@@ -241,7 +241,7 @@ def near_groups(docs: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     fingerprint reachable), ``component_id`` (the smallest doc_id of all rows reachable; null if all are
     null), ``text_hash``. Repeated rows and ids stay as they are. No rows give no rows.
     """
-    rows = written(fingerprints(docs), "simhash_rows")
+    rows = written(fingerprints(docs, width), "simhash_rows")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash_fps")
     parts = connected_components(near_links(fps, bits))
     named = fps.join(parts, fps.fp == parts.node, "left").select(

@@ -22,6 +22,8 @@ SMOOTHING = 1.0
 # An n-gram has a weight if its shares in the two classes lie more standard deviations apart than
 # this: by chance alone, less than one of the table's 2^20 slots would.
 LEAST_STRENGTH = 5.0
+# Where none reaches it, as with few labelled rows, the strongest so many have one, and all as strong as the last.
+FEATURES_ELSE = 200
 # Labelled rows that the weights are fitted on; the counts and ratios are of all labelled rows.
 FIT_ROWS = 20_000
 # Characters of a text that are hashed at a time.
@@ -122,6 +124,8 @@ def _ratios(counts: pd.DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / (all_pos + 1) + 1 / (all_neg + 1)))
     strength = np.abs(rate_pos - rate_neg) / spread
     chosen = strength > LEAST_STRENGTH
+    if not chosen.any():
+        chosen = strength >= np.sort(strength)[-min(FEATURES_ELSE, len(strength))]
     return slot[chosen].astype(np.int64), ratio[chosen]
 
 
@@ -194,9 +198,9 @@ def train(labelled: DataFrame, bits: int = TABLE_BITS, fit_rows: int = FIT_ROWS)
 
     Counts and ratios are of all rows and leave the cluster as one row per slot of the hashed table,
     so at most 2^``bits`` + 1. Weights are fitted in one task on at most ``fit_rows`` rows, the first by
-    a hash of their text, with every n-gram whose two shares differ by more than LEAST_STRENGTH; the
-    ridge keeps small what chance let through. Rows without label or with another value are left
-    out; null texts count as empty. No rows give a score of 0.5.
+    a hash of their text, with every n-gram whose two shares differ by more than LEAST_STRENGTH, or, where
+    there is none, the FEATURES_ELSE that differ most; the ridge keeps small what chance let through. Rows
+    without label or with another value are left out; null texts count as empty. No rows give a score of 0.5.
     """
     labelled = written(labelled.where("toxic in (0, 1)").select(F.col("text"), F.col("toxic").cast("int").alias("toxic")), "toxic_labelled")
     counts = sum_by_slot(labelled, bits).toArrow().to_pandas()

@@ -1,8 +1,10 @@
 import random
 from collections import defaultdict
 
+import numpy as np
+
 import corpus_pipeline as P
-from geoweave.llm import minhash
+from geoweave.llm import minhash, simhash
 from tests.llm.test_dedup import norm
 
 
@@ -68,3 +70,16 @@ def test_pipeline_stage_drops_near_copies_of_five_words(ready, sf_dir):
     docs = ready.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = dict(P.STAGES)["simhash_dedup"](ready, docs, sf_dir)
     assert sorted(r.doc_id for r in got.collect()) == sorted(set(want))
+
+
+def test_pipeline_stage_searches_by_simhash(ready, sf_dir, monkeypatch):
+    """With MinHash blind, the stage still finds what SimHash reaches, and checks it by the shingles."""
+    rnd = random.Random(11)
+    base = [f"w{rnd.random()}" for _ in range(4000)]
+    texts = [" ".join(base), " ".join(edited(base, rnd, 6)), " ".join(f"v{rnd.random()}" for _ in range(200)), "", "  "]
+    bits = [simhash.fingerprint(t, 5) for t in texts]
+    assert 0 < ((bits[0] ^ bits[1]) & (2**64 - 1)).bit_count() <= 3
+    monkeypatch.setattr(minhash, "band_keys", lambda grams: np.full(minhash.BANDS, minhash._node(grams)))
+    docs = ready.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(P.STAGES)["simhash_dedup"](ready, docs, sf_dir)
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(plain_groups(texts)))
