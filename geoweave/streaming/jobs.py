@@ -1,6 +1,6 @@
 """Streaming jobs over an event stream (event_id, ts, key_id, customer_id, ok, route, ms).
 
-State lives per key. Rows wait until the watermark has passed the slice of time they lie in and are then
+State lives per group of keys. Rows wait until the watermark has passed the slice of time they lie in and are then
 taken in time order, so results equal the batch operators in whatever order rows arrive within
 the watermark's delay, and come that much later. Rows later than the watermark are dropped, as are rows
 without a time; state expires by event time. A log that ends is closed by a mark: a row of no
@@ -23,12 +23,17 @@ from geoweave.streaming import processors as P
 KEEP_DAYS = 30
 LATE = "1 day"
 MARKS = "ts timestamp, mark boolean"
+# Groups that the keys of a stream are dealt to by hash; fixed for a checkpoint's life.
+GROUPS = 128
 
 
-def _keyed(rows: DataFrame, keys: list[str], processor: P.InOrder, out: str) -> DataFrame:
-    """``rows`` (``keys``, ``event_id``, ``ts``, ``mark``, the processor's columns) through the processor."""
-    timed = rows.where("ts IS NOT NULL").withWatermark("ts", LATE)
-    return timed.groupBy(*keys).transformWithStateInPandas(
+def _keyed(rows: DataFrame, processor: P.InOrder, out: str) -> DataFrame:
+    """``rows`` (the processor's keys and columns, ``event_id``, ``ts``, ``mark``) through the processor."""
+    keys = processor.keys
+    # As strings, missing keys and large numbers pass through pandas unchanged.
+    named = rows.withColumns({"group": F.pmod(F.xxhash64(*keys), F.lit(GROUPS)), **{k: F.col(k).cast("string") for k in keys}})
+    timed = named.where("ts IS NOT NULL").withWatermark("ts", LATE)
+    return timed.groupBy("group").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime",
     )
 
@@ -85,7 +90,7 @@ def stream_quota(log: DataFrame, key: str, period: Column, limit: Column, soft:
         F.coalesce(limit, F.lit(0)).cast("bigint").alias("limit"), F.coalesce(soft, F.lit(False)).alias("soft"),
         F.coalesce(billable, F.lit(False)).alias("billable"), _mark(log),
     )
-    return _keyed(shaped, ["key", "period"], P.quota(keep_days), P.QUOTA_OUT)
+    return _keyed(shaped, P.quota(keep_days, ("key", "period")), P.QUOTA_OUT)
 
 
 def stream_daily_quota(log: DataFrame, limit: int, key: str = "key_id") -> DataFrame:
@@ -109,7 +114,7 @@ def stream_monthly_ceiling(log: DataFrame, customers: DataFrame) -> DataFrame:
 
 def stream_windows(log: DataFrame, key: str, seconds: int) -> DataFrame:
     rows = log.select(F.col(key).alias("key"), "event_id", "ts", _mark(log))
-    return _keyed(rows, ["key"], P.anchored_window(seconds, KEEP_DAYS), P.WINDOW_OUT)
+    return _keyed(rows, P.anchored_window(seconds, KEEP_DAYS, ("key",)), P.WINDOW_OUT)
 
 
 def stream_rate_window(log: DataFrame, limit: int, key: str = "key_id",
@@ -127,7 +132,7 @@ def stream_ttl_hits(log: DataFrame, key: str = "key_id",
 def stream_failure_alerts(log: DataFrame, key: str, threshold: int = vocab.FAILURE_ALERT_THRESHOLD) -> DataFrame:
     """ST13."""
     rows = log.select(F.col(key).alias("key"), "event_id", "ts", F.coalesce("ok", F.lit(False)).alias("ok"), _mark(log))
-    return _keyed(rows, ["key"], P.failure_streak(threshold, KEEP_DAYS), P.STREAK_OUT)
+    return _keyed(rows, P.failure_streak(threshold, KEEP_DAYS, ("key",)), P.STREAK_OUT)
 
 
 def stream_service_summary(log: DataFrame, late: str = "1 hour", length: str = "24 hours") -> DataFrame:

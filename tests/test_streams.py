@@ -164,3 +164,60 @@ def test_folds_carry_state_over_slices():
         for name in whole:
             if name != "period":
                 assert np.concatenate([p[name] for p in parts]).tolist() == whole[name].tolist()
+
+
+def test_calls_grow_with_groups_and_slices_not_with_keys():
+    """One group with 500 keys: a part per slice, one timer, one frame per release; results as key by key."""
+    import pandas as pd
+
+    rng, n = np.random.default_rng(1), 5_000
+    keys = [None if k == 0 else str(k) for k in rng.integers(0, 500, n)]
+    ts, ok = rng.integers(0, 3 * P.SLICE_MS, n), rng.random(n) < 0.3
+    frame = pd.DataFrame({"key": keys, "event_id": np.arange(n), "ts": pd.to_datetime(ts, unit="ms"), "ok": ok, "mark": False})
+    processor, handle = P.failure_streak(2, keep_days=3, keys=("key",)), Handle()
+    processor.init(handle)
+    list(processor.handleInputRows((7,), iter([frame[:100], frame[100:]]), None))
+    assert len(processor.parts) == 3 and len(handle.timers) == 1
+    got = {}
+    for hours in (1, 3):
+        frames = list(processor.handleExpiredTimer((7,), Watermark(hours * P.SLICE_MS), None))
+        assert len(frames) == 1
+        got.update(zip(frames[0].event_id.tolist(), frames[0].failure_count.tolist(), strict=True))
+    want, count = {}, {}
+    for i in np.lexsort((np.arange(n), ts)):
+        count[keys[i]] = 0 if ok[i] else count.get(keys[i], 0) + 1
+        if count[keys[i]] >= 2:
+            want[int(i)] = count[keys[i]]
+    assert got == want
+    assert list(processor.handleExpiredTimer((7,), Watermark(6 * P.SLICE_MS + 3 * P.DAY_MS), None)) == []
+    assert not processor.state.exists()
+
+
+@pytest.mark.parametrize("release", [200_000, 50])
+def test_a_backlog_waits_in_few_parts_and_leaves_in_order(monkeypatch, release):
+    import pandas as pd
+
+    monkeypatch.setattr(P, "RELEASE_ROWS", release)
+    rng, n = np.random.default_rng(2), 4_000
+    frame = pd.DataFrame({
+        "key": [str(k) for k in rng.integers(0, 40, n)], "event_id": np.arange(n),
+        "ts": pd.to_datetime(rng.integers(0, 400 * P.SLICE_MS, n), unit="ms"), "mark": False,
+    })
+    processor, handle = P.anchored_window(7_200, 30, ("key",)), Handle()
+    processor.init(handle)
+    for i in range(3):
+        list(processor.handleInputRows((0,), iter([frame[i::3]]), None))
+    if release > n:
+        assert len(processor.parts) <= 3 * P.BATCH_SLICES
+    frames = []
+    for hours in (1, 37, 38, 250, 401):
+        frames += processor.handleExpiredTimer((0,), Watermark(hours * P.SLICE_MS), None)
+    got = {i: (o, k) for f in frames for i, o, k in zip(f.event_id, f.opened_at, f.in_window, strict=True)}
+    want, open_at = {}, {}
+    for r in frame.sort_values(["ts", "event_id"]).itertuples():
+        at = r.ts.value // 1000
+        opened, k = open_at.get(r.key, (None, 0))
+        if opened is None or at > opened + 7_200_000_000:
+            opened, k = at, 0
+        open_at[r.key] = want[r.event_id] = (opened, k + 1)
+    assert got == want
