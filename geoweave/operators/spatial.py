@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ SLACK = 1e-6
 BROADCAST_MAX_EDGES = 1_000_000
 PACKED_MAX_PER_CELL = 1_000
 MAX_BROADCAST_FEATURES = 50_000
+# Boundaries of a cell that a point meets at a time, and how many times more per round.
+PACK, PACK_GROWTH = 16, 4
 
 
 def spatial_index(features: DataFrame) -> DataFrame:
@@ -253,6 +256,36 @@ def _holds(candidate: Column, px: Column, py: Column) -> Column:
     )
 
 
+def _first_holding(candidates: Column, px: Column, py: Column) -> Column:
+    """The first of ``candidates`` that holds the point; those after it are not looked at."""
+    return F.aggregate(
+        candidates, F.lit(None).cast("bigint"),
+        lambda found, c: F.when(found.isNotNull(), found).when(_holds(c, px, py), c["ordinal"]),
+    )
+
+
+def _packs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The boundaries of every cell by ordinal, PACK to a row: ``keys``, ``level``, ``_c``.
+
+    Level 0 has the first PACK of a cell, each level PACK_GROWTH times as many as the one before. What comes after a
+    boundary that holds the whole cell is left out.
+    """
+    cell = Window.partitionBy(*keys)
+    whole = F.min(F.when(F.col("rings").isNull(), F.col("ordinal"))).over(cell)
+    placed = (
+        rows.withColumn("_whole", whole).where("_whole IS NULL OR ordinal <= _whole")
+        .withColumn("_pack", F.floor((F.row_number().over(cell.orderBy("ordinal")) - 1) / PACK))
+    )
+    # Packs before a level: 1 + PACK_GROWTH + ..., up to more than a table has rows.
+    ends = [(PACK_GROWTH ** n - 1) // (PACK_GROWTH - 1) for n in range(1, 32)]
+    level = F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("_pack")))
+    return cut_lineage(
+        placed.groupBy(*keys, "_pack").agg(F.array_sort(F.collect_list(F.struct("ordinal", "rings"))).alias("_c"))
+        .select(*keys, level.alias("level"), "_c"),
+        "packs",
+    )
+
+
 def assign_points(
     points: DataFrame,
     index: CellIndex,
@@ -267,8 +300,9 @@ def assign_points(
 
     Every input row comes back once, whatever ``pid`` holds. A small index is packed to one row per
     cell and broadcast: points are neither shuffled nor multiplied. A large one is joined on the
-    cell with hot cells spread over tasks, and the first match of each row, by a number of its own,
-    is taken by an aggregation that combines before its shuffle.
+    cell with hot cells spread over tasks: a point first meets the PACK lowest boundaries of its cell, and
+    only if none of them holds it the next ones, so the work grows with what lies before the first
+    match and not with all boundaries that overlap there.
     """
     broadcast = index.fits_broadcast if broadcast is None else broadcast
     located = points.withColumn("_cx", _cell(F.col("lon"), index.side)).withColumn(
@@ -302,17 +336,21 @@ def assign_points(
         located.where(inside).withColumn("_row", F.monotonically_increasing_id()), "points"
     )
     per_cell = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    joined = salted_join(within, rows, keys, ["_row"], "left", hot_keys(per_cell, keys, "n"))
-    hit = F.when(
-        F.col("ordinal").isNotNull()
-        & _holds(F.struct("ordinal", "rings"), F.col("lon"), F.col("lat")),
-        F.col("ordinal"),
-    )
-    first = (
-        joined.select("_row", *columns, hit.alias("_hit"))
-        .groupBy("_row")
-        .agg(*[F.first(c).alias(c) for c in columns], F.min("_hit").alias("ordinal"))
-    )
+    hot = hot_keys(per_cell, keys, "n")
+    packs = _packs(rows.join(within.select(*keys).distinct(), keys, "left_semi"), keys)
+    last = packs.agg(F.max("level")).first()[0] or 0
+    found = []
+    left = within.select("_row", *keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"))
+    for level in range(last + 1):
+        met = salted_join(left, packs.where(F.col("level") == level).drop("level"), keys, ["_row"], "inner", hot)
+        hits = met.select("_row", _first_holding(F.col("_c"), F.col("_lon"), F.col("_lat")).alias("_hit")).where("_hit IS NOT NULL")
+        found.append(cut_lineage(hits.groupBy("_row").agg(F.min("_hit").alias("_hit")), "hits"))
+        if level < last:
+            more = packs.where(F.col("level") == level + 1).select(*keys).distinct()
+            left = cut_lineage(left.join(found[-1], "_row", "left_anti").join(more, keys, "left_semi"), "open_points")
+            if left.isEmpty():
+                break
+    first = within.join(reduce(DataFrame.unionByName, found), "_row", "left").withColumn("ordinal", F.col("_hit"))
     outside = located.where(~inside).select(*columns, F.lit(None).cast("bigint").alias("ordinal"))
     return first.select(*columns, "ordinal").unionByName(outside)
 

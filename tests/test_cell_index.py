@@ -108,3 +108,26 @@ def test_rows_do_not_grow_with_the_width(spark):
 
     few, many = edges(200), edges(400)
     assert many < 2.2 * few
+
+
+def test_stacked_boundaries_are_met_only_up_to_the_first_match(spark, monkeypatch):
+    """400 boundaries over one place: a point meets few of them, but all where only the last holds it."""
+    met = []
+
+    def counted(*args):
+        out = joined(*args)
+        met.append(out.count())
+        return out
+
+    joined = S.salted_join
+    monkeypatch.setattr(S, "salted_join", counted)
+    ring = lambda x, w: [[[[x, 0.0], [x + w, 0.0], [x + w, 1.0], [x, 1.0], [x, 0.0]]]]
+    rows = [("d", i, ring(0.0, 0.5 if i % 2 else 0.4)) for i in range(399)] + [("d", 399, ring(0.0, 1.0))]
+    features = spark.createDataFrame(rows, "dataset string, ordinal bigint, geom array<array<array<array<double>>>>")
+    points = [(i, 0.05 + 0.001 * (i % 300), 0.5) for i in range(300)] + [(300, 0.45, 0.5), (301, 0.9, 0.5), (301, 0.9, 0.5), (None, 2.0, 0.5), (303, None, 0.5)]
+    pts = spark.createDataFrame(points, "pid bigint, lon double, lat double")
+    got = S.assign_points(pts, S.build_cell_index(features, side=4.0), broadcast=False)
+    want = [(p, None if x is None or x > 1 else 399 if x > 0.5 else 1 if x > 0.4 else 0) for p, x, _ in points]
+    order = lambda r: (r[0] is None, r)
+    assert sorted(map(tuple, got.select("pid", "ordinal").collect()), key=order) == sorted(want, key=order)
+    assert sum(met) <= len(points) + 3 * 400 // S.PACK
