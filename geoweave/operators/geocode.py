@@ -69,7 +69,17 @@ class AddressStore:
 
     @property
     def streets(self) -> DataFrame:
-        return self._once("streets", lambda: street_ranges(self.addr))
+        return self._once("streets", lambda: cut_lineage(street_ranges(self.addr), "street_ranges"))
+
+    @property
+    def small_streets(self) -> DataFrame:
+        """Street keys, broadcast while their counted number is small; a plain join beyond that."""
+
+        def make() -> DataFrame:
+            keys = self.streets.select("city_key", "street_key").distinct()
+            return F.broadcast(keys) if keys.count() <= BROADCAST_MAX_ROWS else keys
+
+        return self._once("small_streets", make)
 
     @property
     def small_cities(self) -> DataFrame:
@@ -248,6 +258,8 @@ def street_hits(spelled: DataFrame, store: AddressStore) -> DataFrame:
         )
         .withColumn("street_key", key)
         .withColumn("rank", F.struct("city_rank", "type_rank"))
+        # Both joins below are on stored streets: the others go before anything is written.
+        .join(store.small_streets, ["city_key", "street_key"], "left_semi")
     )
     tried = cut_lineage(tried, "streets_tried")
     numbered = F.col("q_civic.numeric").isNotNull()
