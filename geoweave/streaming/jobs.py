@@ -25,6 +25,9 @@ LATE = "1 day"
 MARKS = "ts timestamp, mark boolean"
 # Groups that the keys of a stream are dealt to by hash; fixed for a checkpoint's life.
 GROUPS = 128
+# Parts of the state per core, and at least. A part costs a task with a Python worker and a store of its own in every
+# micro-batch, with rows or without. Their number too is fixed by the first run of a checkpoint.
+STATE_TASKS, LEAST_STATE_TASKS = 3, 24
 
 
 def _keyed(rows: DataFrame, processor: P.InOrder, out: str) -> DataFrame:
@@ -45,7 +48,8 @@ def _mark(log: DataFrame) -> Column:
 def open_marks(spark: SparkSession) -> str:
     """A new folder for the marks of a log, as yet without one."""
     folder = scratch_path(spark, "marks")
-    spark.createDataFrame([], MARKS).write.parquet(folder)
+    none = spark.range(0, 0, 1, 1).select(F.lit(None).cast("timestamp").alias("ts"), F.lit(True).alias("mark"))
+    none.write.parquet(folder)
     return folder
 
 
@@ -153,6 +157,12 @@ def stream_service_summary(log: DataFrame, late: str = "1 hour", length: str = "
     )
 
 
+def _state_tasks(spark: SparkSession) -> int:
+    """Parts of the state of a new stream: enough for all cores, no more than the session's partitions or the groups."""
+    cores = spark.sparkContext.defaultParallelism
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), GROUPS, max(LEAST_STATE_TASKS, STATE_TASKS * cores))
+
+
 def run_to_table(stream: DataFrame, name: str, path: str | None = None,
                  checkpoint: str | None = None) -> DataFrame:
     """Process what is there now and return what has been written so far.
@@ -162,19 +172,27 @@ def run_to_table(stream: DataFrame, name: str, path: str | None = None,
     spark = stream.sparkSession
     path = path or scratch_path(spark, name)
     checkpoint = checkpoint or scratch_path(spark, f"{name}-checkpoint")
-    query = (
-        stream.writeStream.format("parquet").outputMode("append")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(_state_tasks(spark)))
+    try:
+        # The query takes a copy of the session's settings as it starts.
+        query = (
+            stream.writeStream.format("parquet").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
 def run_closed(stream: DataFrame, name: str, marks: str, last: datetime) -> DataFrame:
-    """Process what is there now, close the log at the time ``last``, and return all that is then written."""
-    spark = stream.sparkSession
-    path, checkpoint = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    run_to_table(stream, name, path, checkpoint)
-    close_log(spark, marks, last)
-    return run_to_table(stream, name, path, checkpoint)
+    """Process a log that has ended at the time ``last``, and return all that is then written.
+
+    The log must be read in one micro-batch, that is without ``files_per_trigger``. Its mark is there from the
+    start and comes with it, and as the watermark moves only between micro-batches, no row is too late: the
+    first one takes all rows in, the second gives all results out.
+    """
+    close_log(stream.sparkSession, marks, last)
+    return run_to_table(stream, name)

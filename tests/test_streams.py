@@ -221,3 +221,26 @@ def test_a_backlog_waits_in_few_parts_and_leaves_in_order(monkeypatch, release):
             opened, k = at, 0
         open_at[r.key] = want[r.event_id] = (opened, k + 1)
     assert got == want
+
+
+def test_a_closed_log_takes_two_micro_batches_over_parts_for_the_cores(spark, tmp_path, monkeypatch):
+    """Rows far out of order in one log: all results in two micro-batches, whatever the session's partitions."""
+    monkeypatch.setattr(J, "scratch_path", lambda spark, name: str(tmp_path / name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    start = datetime(2024, 1, 10)
+    hours = [0, 500, 3, 1, 499, 20, 20.5]
+    rows = [(i, start + timedelta(hours=h), i % 2, "view", 1.0) for i, h in enumerate(hours)]
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.parquet(str(tmp_path / "in"))
+    marks = J.open_marks(spark)
+    log = J.with_marks(J.request_log_stream(J.event_stream(spark, str(tmp_path / "in"))), marks)
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = J.run_closed(J.stream_ttl_hits(log), "ttl", marks, start + timedelta(hours=500)).select("event_id", "hit").collect()
+        parts = 3 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "100"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert dict(got) == {0: False, 2: True, 4: False, 6: True, 1: False, 3: False, 5: True}
+    commits = [p for p in (tmp_path / "ttl-checkpoint/commits").iterdir() if p.name.isdigit()]
+    assert len(commits) == 2
+    assert len([p for p in (tmp_path / "ttl-checkpoint/state/0").iterdir() if p.name.isdigit()]) == parts
