@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from geoweave.session import shared_dir
 
+# Edges that a task of a round gets about, and the fewest tasks of a step that is cut down to these.
+EDGES_PER_TASK, LEAST_TASKS = 50_000, 4
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node of ``edges`` (``src``, ``dst``, both long).
@@ -16,9 +19,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     itself the smallest of its component. Edges may repeat, run in either direction or be loops;
     an edge with a null end is no edge. A round joins every node with the smallest of its
     neighbours: an aggregation that combines before its shuffle, and an equi-join whose large keys
-    can be split. Rounds are logarithmic in the longest chain. Every round is checkpointed.
+    can be split. Rounds are logarithmic in the longest chain. Every round is checkpointed. The steps of a round
+    run in as many tasks as its counted edges ask for, if that is fewer than the session's partitions: every
+    task of a shuffle leaves files of its own, which for few edges are more than the edges.
     """
-    shared_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    shared_dir(spark)
     now = (
         edges.where("src <> dst")
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
@@ -27,20 +33,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     )
     mark = _mark(now)
     while mark[0]:
+        tasks = max(LEAST_TASKS, -(-mark[0] // EDGES_PER_TASK))
+        few = tasks < int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def fitted(df: DataFrame, tasks: int = tasks, few: bool = few) -> DataFrame:
+            return df.coalesce(tasks) if few else df
+
+        now = fitted(now)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .distinct()
-        )
+        joined = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = fitted(fitted(joined).distinct())
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u")
-        now = (
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(lowest.withColumnRenamed("m", "v"))
-            .distinct()
-            .checkpoint()
-        )
+        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        found = fitted(small).unionByName(fitted(lowest.withColumnRenamed("m", "v")))
+        now = fitted(found.distinct()).checkpoint()
         before, mark = mark, _mark(now)
         if before == mark:
             break

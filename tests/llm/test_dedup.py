@@ -7,7 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from geoweave.llm import exact, simhash
+from geoweave.llm import components, exact, simhash
 from geoweave.llm.components import connected_components
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -149,3 +149,20 @@ def test_exact_plan_combines_before_its_shuffle(ready, sf_dir):
     docs = ready.read.parquet(f"{sf_dir}/documents.parquet")
     plan = exact.hashed(docs).groupBy("digest", "text_sha256", "norm").agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and "SortAggregate" not in plan
+
+
+def test_rounds_of_few_edges_take_few_tasks(ready):
+    """Chains and stars over many partitions: right components, and a round's result in few parts."""
+    held = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: ready.conf.get(k) for k in held}
+    edges = [(i, i + 1) for i in range(100, 140)] + [(7, 200 + i) for i in range(50)] + [(3, 3), (None, 5), (201, 7), (139, 90)]
+    for k, v in held.items():
+        ready.conf.set(k, v)
+    try:
+        found = components.connected_components(ready.createDataFrame(edges, "src bigint, dst bigint"))
+        assert found.rdd.getNumPartitions() <= components.LEAST_TASKS
+        got = dict(map(tuple, found.collect()))
+    finally:
+        for k, v in before.items():
+            ready.conf.set(k, v)
+    assert got == {i: 90 for i in range(100, 141)} | {200 + i: 7 for i in range(50)}
