@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoweave.functions import vocab
+from geoweave.functions.geometry import planar_order
 from geoweave.operators.suggest import (
-    _spaced, candidate_window, checked_streets, match_streets, rarest_groups, street_docs, wanted_province,
-    whole_prefix,
+    SCORED_BY, _spaced, candidate, candidate_window, checked_streets, packed_window, prefix_quality, rarest_groups,
+    street_docs, text_windows, wanted_province, whole_prefix,
 )
 from geoweave.session import cut_lineage
 
@@ -79,7 +80,7 @@ class BlockIndex:
         self.avg_words = size[1] / size[0] if size[1] else 1.0
 
     def window(self, searches: DataFrame, size: int = vocab.SEARCH_WINDOW) -> DataFrame:
-        """WN1 by rounds of blocks; searches ordered by distance from a point read their rarest word whole.
+        """WN1 by rounds of blocks, scored; texts of searches by distance from a point read their rarest word whole.
 
         A street that begins with the whole search is in a leading block of the search's first word, any
         other match in some block of its rarest word; the blocks' largest streets bound what is still
@@ -102,7 +103,8 @@ class BlockIndex:
             ),
             "open",
         )
-        done = [candidate_window(match_streets(searches.where(~by_size), self), size)]
+        whole = text_windows(searches.where(~by_size), self, size)
+        done = []
         before, upto, best = 0, 1, None
         while not left.isEmpty():
             read = self._heads_of(left, (F.col("seq") >= before) & (F.col("seq") < upto))
@@ -127,7 +129,13 @@ class BlockIndex:
             best = window.join(going, "sid", "left_semi")
             left = cut_lineage(left.join(going, "sid", "left_semi"), "open")
             before, upto = upto, upto + upto * GROWTH
-        return reduce(DataFrame.unionByName, done)
+        if not done:
+            return whole
+        near = planar_order(F.col("bias_lon"), F.col("bias_lat"), F.col("lon"), F.col("lat"))
+        rows = reduce(DataFrame.unionByName, done).withColumns(
+            {"tier": whole_prefix(), "prefix": prefix_quality(F.col("suggest_text"), F.col("search_text"))}
+        )
+        return whole.unionByName(packed_window(rows.select(*SCORED_BY, candidate(near, F.col).alias("candidate"))))
 
     def _heads_of(self, left: DataFrame, which) -> DataFrame:
         """Heads of the lists that each search reads: leading blocks of its first word, all of the rarest."""

@@ -9,9 +9,13 @@ from geoweave.functions import text, vocab
 from geoweave.functions.geometry import haversine, planar_order
 from geoweave.operators.aggregates import civic_units
 from geoweave.operators.parse import parse_address
-from geoweave.session import cut_lineage
+from geoweave.operators.skew import hot_keys, salted_join, spread_join
+from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
 DOC = ["province", "city_key", "street_key"]
+# Streets of one text that lie in one row, about, and queries of one search that one task scores.
+STREETS_PER_ROW = 1024
+QUERIES_PER_TASK = 100_000
 
 
 def _spaced(value: Column) -> Column:
@@ -49,8 +53,8 @@ class StreetIndex:
         self.n_docs, self.avg_words = size[0], size[1] or 1.0
 
     def window(self, searches: DataFrame) -> DataFrame:
-        """The candidate window of each distinct search, from all its matches."""
-        return candidate_window(match_streets(searches, self))
+        """The scored window of each distinct search, from all its matches."""
+        return text_windows(searches, self)
 
 
 def prepare_queries(queries: DataFrame, min_length: int = vocab.SEARCH_MIN_LENGTH) -> DataFrame:
@@ -211,7 +215,7 @@ def whole_prefix() -> Column:
 
 
 def candidate_window(matches: DataFrame, size: int = vocab.SEARCH_WINDOW) -> DataFrame:
-    """WN1, WN7: best ``size`` streets per search, with the window's extremes for scoring.
+    """WN1, WN7: best ``size`` streets per search.
 
     The limit is pushed below the shuffle by the engine, so a search with very many matches sends
     only ``size`` rows per task.
@@ -225,18 +229,7 @@ def candidate_window(matches: DataFrame, size: int = vocab.SEARCH_WINDOW) -> Dat
         F.asc("doc_id"),
     ]
     rank = F.row_number().over(Window.partitionBy("sid").orderBy(*order))
-    whole = Window.partitionBy("sid")
-    return (
-        matches.withColumn("window_rank", rank)
-        .where(F.col("window_rank") <= size)
-        .withColumns(
-            {
-                "bm25_best": F.min("bm25").over(whole),
-                "bm25_worst": F.max("bm25").over(whole),
-                "count_max": F.max("address_count").over(whole),
-            }
-        )
-    )
+    return matches.withColumn("window_rank", rank).where(F.col("window_rank") <= size)
 
 
 def prefix_quality(suggest_text: Column, search_text: Column) -> Column:
@@ -258,33 +251,127 @@ def prefix_quality(suggest_text: Column, search_text: Column) -> Column:
     )
 
 
-def civic_in_range(civic: Column) -> Column:
-    """SG10."""
-    return F.coalesce(civic.between(F.col("min_civic"), F.col("max_civic")), F.lit(False))
+def candidate(near: Column, street) -> Column:
+    """A street of a window: first what orders the window, then what scores the street. ``street`` gives its columns."""
+    return F.struct(
+        street("tier").alias("tier"), F.coalesce(F.round(near, 12), F.lit(0.0)).alias("near"),
+        (-street("address_count")).alias("less"), F.round(street("bm25"), 9).alias("rounded"),
+        street("doc_id").alias("doc_id"),
+        *[street(c).alias(c) for c in ("bm25", "prefix", "lat", "lon", "suggest_text", "min_civic", "max_civic")],
+    )
 
 
-def score() -> Column:
-    """SG8."""
+def scored_window(top: Column) -> Column:
+    """SG8 without the civic number, for the candidates of one window: base, tie (place among equal scores), doc_id and civic range."""
     weights = vocab.SEARCH_WEIGHTS
-    span = F.col("bm25_worst") - F.col("bm25_best")
-    bm25_norm = F.when(span > 0, (F.col("bm25_worst") - F.col("bm25")) / span).otherwise(1.0)
-    popularity = F.when(
-        F.col("count_max") > 0, F.log1p("address_count") / F.log1p("count_max")
-    ).otherwise(0.0)
-    proximity = F.coalesce(1 / (1 + F.col("distance") / 5000), F.lit(0.0))
-    return (
-        weights["prefix"] * prefix_quality(F.col("suggest_text"), F.col("search_text"))
-        + weights["bm25"] * bm25_norm
-        + weights["popularity"] * popularity
-        + weights["proximity"] * proximity
-        + weights["civic"] * F.when(F.col("in_range"), 1.0).otherwise(0.0)
+    whole = F.struct(
+        F.array_min(F.transform(top, lambda c: c["bm25"])).alias("best"),
+        F.array_max(F.transform(top, lambda c: c["bm25"])).alias("worst"),
+        (-F.array_min(F.transform(top, lambda c: c["less"]))).alias("most"),
+    )
+    by_tie = F.sort_array(F.transform(top, lambda c: F.struct(
+        c["less"].alias("less"), c["suggest_text"].alias("suggest_text"), c["doc_id"].alias("doc_id"), c.alias("c")
+    )))
+
+    def scored(w: Column, row: Column, tie: Column) -> Column:
+        c = row["c"]
+        span = w["worst"] - w["best"]
+        bm25_norm = F.when(span > 0, (w["worst"] - c["bm25"]) / span).otherwise(1.0)
+        popularity = F.when(w["most"] > 0, F.log1p(-c["less"]) / F.log1p(w["most"])).otherwise(0.0)
+        proximity = F.coalesce(1 / (1 + _distance(c["lat"], c["lon"]) / 5000), F.lit(0.0))
+        base = (
+            weights["prefix"] * c["prefix"]
+            + weights["bm25"] * bm25_norm
+            + weights["popularity"] * popularity
+            + weights["proximity"] * proximity
+        )
+        return F.struct(
+            base.alias("base"), tie.alias("tie"), c["doc_id"].alias("doc_id"),
+            c["min_civic"].alias("min_civic"), c["max_civic"].alias("max_civic"),
+        )
+
+    # The window's extremes are a lambda's variable, so they are computed once and not per street.
+    return F.transform(F.array(whole), lambda w: F.transform(by_tie, lambda r, i: scored(w, r, i)))[0]
+
+
+def _distance(lat: Column, lon: Column) -> Column:
+    return F.when(F.col("bias_lat").isNotNull(), haversine(F.col("bias_lon"), F.col("bias_lat"), lon, lat))
+
+
+# What the score of a window takes from its search.
+SCORED_BY = ["sid", "bias_lat", "bias_lon"]
+
+
+def packed_window(rows: DataFrame) -> DataFrame:
+    """(sid, streets): scored windows from rows with SCORED_BY and a ``candidate`` each, a window's size per search at most."""
+    top = rows.groupBy("sid").agg(
+        F.first("bias_lat").alias("bias_lat"), F.first("bias_lon").alias("bias_lon"), F.collect_list("candidate").alias("top")
     )
+    return top.select("sid", scored_window(F.col("top")).alias("streets"))
+
+
+def text_matches(searches: DataFrame, index: StreetIndex) -> DataFrame:
+    """SG3, SG4: streets that match each distinct search text, wherever they lie."""
+    none = {c: F.lit(None).cast("double") for c in SEARCH_FIELDS if c.startswith("box") or c.startswith("bias")}
+    texts = searches.select("search_text", "groups").dropDuplicates(["search_text"]).withColumns(
+        {"sid": F.md5("search_text"), "province": F.lit(None).cast("string"), **none}
+    )
+    return match_streets(texts, index)
+
+
+def text_windows(searches: DataFrame, index: StreetIndex, size: int = vocab.SEARCH_WINDOW) -> DataFrame:
+    """WN1, WN7: (sid, streets), the scored window of each search, from all matches of its text.
+
+    Searches of one text that differ in province, box or bias point share its matches, which lie in rows of
+    about STREETS_PER_ROW; a search meets these rows and keeps ``size`` streets of each, so matches
+    are neither looked up nor shuffled per search.
+    """
+    matches = cut_lineage(
+        text_matches(searches, index).select(
+            "search_text", "doc_id", "province", "lat", "lon", "address_count", "bm25", "suggest_text",
+            "min_civic", "max_civic", whole_prefix().alias("tier"),
+            prefix_quality(F.col("suggest_text"), F.col("search_text")).alias("prefix"),
+        ),
+        "matches",
+    )
+    parts = matches.groupBy("search_text").agg(F.ceil(F.count(F.lit(1)) / STREETS_PER_ROW).alias("parts"))
+    packed = (
+        matches.join(parts, "search_text")
+        .groupBy("search_text", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct(*[c for c in matches.columns if c != "search_text"])).alias("matched"))
+    )
+    packed = cut_lineage(packed.drop("part"), "packed")
+    asked = searches.drop("groups")
+    if matches.count() <= BROADCAST_MAX_ROWS:
+        met = asked.join(F.broadcast(packed), "search_text")
+    else:
+        met = spread_join(asked, packed, ["search_text"], ["sid"], "inner")
+
+    def kept(s: Column) -> Column:
+        in_box = F.col("box_min_lat").isNull() | (
+            s["lat"].between(F.col("box_min_lat"), F.col("box_max_lat"))
+            & s["lon"].between(F.col("box_min_lon"), F.col("box_max_lon"))
+        )
+        return in_box & wanted_province(F.col("province"), s["province"])
+
+    def placed(s: Column) -> Column:
+        return candidate(planar_order(F.col("bias_lon"), F.col("bias_lat"), s["lon"], s["lat"]), lambda c: s[c])
+
+    top = F.slice(F.sort_array(F.transform(F.filter("matched", kept), placed)), 1, size)
+    best = met.select(*SCORED_BY, "parts", top.alias("top")).where(F.size("top") > 0)
+    done = best.where("parts = 1").select("sid", scored_window(F.col("top")).alias("streets"))
+    if packed.where("parts > 1").isEmpty():
+        return done
+    several = best.where("parts > 1").select(*SCORED_BY, F.explode("top").alias("candidate"))
+    rank = F.row_number().over(Window.partitionBy("sid").orderBy("candidate"))
+    return done.unionByName(packed_window(several.withColumn("window_rank", rank).where(F.col("window_rank") <= size)))
 
 
 def search_streets(queries: DataFrame, index: StreetIndex, limit: int = vocab.SEARCH_LIMIT) -> DataFrame:
     """SG2-SG10, WN1, WN2, WN7: ranked streets per query.
 
-    Equal searches are matched once; a query's civic number enters only in the final score. A query
+    Equal searches are matched once; a query's civic number enters only in the final score. A query meets its
+    window as one row and keeps the streets it asked for before anything is sorted by query. A query
     may have its own ``max_results``; ``limit`` is for those without.
     """
     if "max_results" not in queries.columns:
@@ -292,22 +379,37 @@ def search_streets(queries: DataFrame, index: StreetIndex, limit: int = vocab.SE
     prepared = cut_lineage(
         prepare_queries(queries).withColumn("sid", _search_id()), "search_queries"
     ).where(F.size("groups") > 0)
-    searches = prepared.select("sid", *SEARCH_FIELDS).dropDuplicates(["sid"])
-    window = index.window(searches)
-    distance = F.when(
-        F.col("bias_lat").isNotNull(),
-        haversine(F.col("bias_lon"), F.col("bias_lat"), F.col("lon"), F.col("lat")),
+    searches = cut_lineage(prepared.select("sid", *SEARCH_FIELDS).dropDuplicates(["sid"]), "searches")
+    asked = F.least(F.greatest(F.coalesce("max_results", F.lit(limit)), F.lit(1)), F.lit(vocab.SEARCH_WINDOW))
+    by_query = prepared.select(
+        "query_id", "sid", "civic", "unit", "search_text", "bias_lat", "bias_lon", asked.alias("asked")
+    )
+    counts = by_query.groupBy("sid").agg(F.count(F.lit(1)).alias("_rows"))
+    met = salted_join(
+        by_query, index.window(searches), ["sid"], ["query_id", "civic"], "inner",
+        hot_keys(counts, ["sid"], "_rows", QUERIES_PER_TASK),
     )
-    scored = (
-        window.join(prepared.select("query_id", "sid", "civic", "unit", "max_results"), "sid")
-        .withColumns({"distance": distance, "in_range": civic_in_range(F.col("civic"))})
-        .withColumn("score", score())
+
+    def ranked(s: Column) -> Column:
+        in_range = F.coalesce(F.col("civic").between(s["min_civic"], s["max_civic"]), F.lit(False))  # SG10
+        score = s["base"] + vocab.SEARCH_WEIGHTS["civic"] * F.when(in_range, 1.0).otherwise(0.0)
+        return F.struct(
+            (-F.round(score, 9)).alias("order"), s["tie"].alias("tie"), s["doc_id"].alias("doc_id"),
+            score.alias("score"), in_range.alias("in_range"),
+        )
+
+    best = F.slice(F.sort_array(F.transform("streets", ranked)), F.lit(1), F.col("asked"))
+    hits = (
+        met.withColumn("hit", F.explode(best)).drop("streets")
+        .withColumns({c: F.col("hit")[c] for c in ("doc_id", "score", "in_range")}).drop("hit")
+        .join(index.docs.drop("padded", "n_words"), "doc_id")
+        .withColumn("distance", _distance(F.col("lat"), F.col("lon")))
     )
+    # Queries may share an id: then their rows are ranked together.
     order = Window.partitionBy("query_id").orderBy(
         F.desc(F.round("score", 9)), F.desc("address_count"), F.asc("suggest_text"), F.asc("doc_id")
     )
-    asked = F.least(F.greatest(F.coalesce("max_results", F.lit(limit)), F.lit(1)), F.lit(vocab.SEARCH_WINDOW))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= asked).drop("max_results")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("asked")).drop("asked")
 
 
 def match_ranges(label: Column, search_text: Column) -> Column:

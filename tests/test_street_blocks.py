@@ -101,3 +101,25 @@ def test_an_empty_index_and_no_searches(spark):
     assert answers(query, T.BlockIndex(*T.segments(none))) == []
     one = streets(spark, random.Random(1), 1, [1])
     assert answers(query.limit(0), T.BlockIndex(*T.segments(one))) == []
+
+
+def test_searches_of_one_text_share_its_matches(spark, monkeypatch):
+    """Searches that differ in bias point alone look their text up once; rows of few streets, hot keys and shuffled joins change nothing."""
+    rows = streets(spark, random.Random(3), 300, [1, 2, 3])
+    asked = [(i, q, None, 45 + i / 50, -75 + i / 60, *(None,) * 4) for i in range(40) for q in ["sto", "stone st"][i % 2 :][:1]]
+    queries = spark.createDataFrame(asked, SEARCH)
+    index, looked, real = G.StreetIndex(rows), [], G.match_streets
+    monkeypatch.setattr(G, "match_streets", lambda searches, *rest: looked.append(searches.count()) or real(searches, *rest))
+    whole = answers(queries, index)
+    assert looked == [2]
+    assert len({r[0] for r in whole}) == 40 and max(r[1] for r in whole) == 50
+    for name, value in (("STREETS_PER_ROW", 4), ("BROADCAST_MAX_ROWS", 0), ("QUERIES_PER_TASK", 1)):
+        monkeypatch.setattr(G, name, value)
+    assert answers(queries, index) == whole
+
+
+def test_queries_that_share_an_id_are_ranked_together(spark):
+    rows = streets(spark, random.Random(3), 300, [1, 2, 3])
+    queries = spark.createDataFrame([(1, "stone st", None, *(None,) * 6), (1, "steel ave", None, *(None,) * 6)], SEARCH)
+    found = G.search_streets(queries, G.StreetIndex(rows), 7).collect()
+    assert sorted(r["rank"] for r in found) == list(range(1, 8))
