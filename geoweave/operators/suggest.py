@@ -441,7 +441,18 @@ def resolve_leaves(ranked: DataFrame, addr: DataFrame) -> DataFrame:
         {"probe": probe, "civic_number": F.col("civic").cast("string"),
          "unit_packed": F.replace(F.col("unit"), F.lit(" "), F.lit(""))}
     )
-    units = civic_units(addr)
+
+    def leaf_label(leaf: str) -> Column:
+        parts = [text.empty_to_null(F.col(f"{leaf}.{c}")) for c in ("street_name", "street_type", "street_direction")]
+        return text.street_label(F.concat_ws("|", *parts))
+
+    # Labels are made per street, civic number and unit, not per result.
+    labels = cut_lineage(
+        addr.select("street_key").distinct().withColumn("street_label", text.street_label(F.col("street_key"))), "labels"
+    )
+    few = labels.count() <= BROADCAST_MAX_ROWS
+    keyed = keyed.join(F.broadcast(labels) if few else labels, "street_key", "left")
+    units = civic_units(addr).withColumn("first_label", leaf_label("first"))
     by_unit = (
         addr.where("unit <> ''")
         .groupBy(*DOC, "civic_number", F.upper(F.replace(F.col("unit"), F.lit(" "), F.lit(""))).alias("unit_packed"))
@@ -451,11 +462,12 @@ def resolve_leaves(ranked: DataFrame, addr: DataFrame) -> DataFrame:
                 F.struct(F.coalesce(text.leading_int(F.col("unit")), F.lit(0)), "unit", "id"),
             ).alias("unit_row")
         )
+        .withColumn("unit_label", leaf_label("unit_row"))
     )
     keys = [*DOC, "civic_number"]
     probed = (
         keyed.where("probe")
-        .join(units.select(*keys, "first", "unit_total"), keys, "left")
+        .join(units.select(*keys, "first", "first_label", "unit_total"), keys, "left")
         .join(by_unit, keys + ["unit_packed"], "left")
     )
     others = keyed.where("NOT probe").withColumns(
@@ -463,6 +475,8 @@ def resolve_leaves(ranked: DataFrame, addr: DataFrame) -> DataFrame:
             "first": F.lit(None).cast(probed.schema["first"].dataType),
             "unit_total": F.lit(None).cast("bigint"),
             "unit_row": F.lit(None).cast(probed.schema["unit_row"].dataType),
+            "first_label": F.lit(None).cast("string"),
+            "unit_label": F.lit(None).cast("string"),
         }
     )
     rows = probed.unionByName(others)
@@ -478,12 +492,8 @@ def resolve_leaves(ranked: DataFrame, addr: DataFrame) -> DataFrame:
         "leaf",
         F.when(F.col("kind").isin("premise", "building"), F.when(unit_hit, F.col("unit_row")).otherwise(F.col("first"))),
     )
-    leaf_key = F.concat_ws(
-        "|", *[text.empty_to_null(F.col(f"leaf.{c}")) for c in ("street_name", "street_type", "street_direction")]
-    )
-    rows = rows.withColumn(
-        "label", text.street_label(F.when(F.col("leaf").isNotNull(), leaf_key).otherwise(F.col("street_key")))
-    )
+    of_leaf = F.when(unit_hit, F.col("unit_label")).otherwise(F.col("first_label"))
+    rows = rows.withColumn("label", F.when(F.col("leaf").isNotNull(), of_leaf).otherwise(F.col("street_label")))
     is_leaf = F.col("leaf").isNotNull()
     unit_text = F.when((F.col("kind") == "premise") & (F.col("leaf.unit") != ""), F.concat("leaf.unit", F.lit("-"))).otherwise("")
     main = F.when(F.col("kind") == "street", F.col("label")).otherwise(
