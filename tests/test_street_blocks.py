@@ -123,3 +123,13 @@ def test_queries_that_share_an_id_are_ranked_together(spark):
     queries = spark.createDataFrame([(1, "stone st", None, *(None,) * 6), (1, "steel ave", None, *(None,) * 6)], SEARCH)
     found = G.search_streets(queries, G.StreetIndex(rows), 7).collect()
     assert sorted(r["rank"] for r in found) == list(range(1, 8))
+
+
+def test_stored_searches_by_distance_share_matches(spark, monkeypatch):
+    """Of the stored index too, the blocks of a word are read once for all bias points."""
+    rows = streets(spark, random.Random(5), 300, [1, 2, 3])
+    queries = spark.createDataFrame([(i, "stone st", None, 45 + i / 50, -75 + i / 60, *(None,) * 4) for i in range(20)], SEARCH)
+    looked, real = [], G.match_streets
+    monkeypatch.setattr(G, "match_streets", lambda searches, *rest: looked.append(searches.count()) or real(searches, *rest))
+    stored = answers(queries, T.BlockIndex(*T.segments(rows)))
+    assert looked == [1] and {r[0] for r in stored} == set(range(20))
