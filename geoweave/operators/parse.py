@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoweave.functions import text
-from geoweave.functions.mailing import mailing_address
+from geoweave.functions.mailing import mailing_lines, mailing_parts, mailing_street
 
 PARSED = ["civic", "name", "type", "direction", "unit"]
 
@@ -236,36 +236,46 @@ def standardize_addresses(df: DataFrame) -> DataFrame:
     city, province, lat, lon. Missing texts are '' in the output, as keys are built from them.
     """
     texts = ["civic_number", "street_name", "street_type", "street_direction", "unit", "city"]
-    clean = df.withColumns({c: text.null_to_empty(F.col(c)) for c in texts}).withColumns(
+    clean = df.withColumns({c: text.null_to_empty(F.col(c)) for c in texts})
+    # Pinned: the keys read each of these several times.
+    tokens = pin(
+        clean,
         {
+            "_civic": text.search_token(F.col("civic_number")),
             "_name": text.search_token(F.col("street_name")),
             "_type": text.street_type(F.col("street_type")),
             "_dir": text.street_direction(F.col("street_direction")),
             "_city": text.search_token(F.col("city")),
-            "postal_code": text.null_to_empty(text.postal_code(F.col("postal_code"))),
-            "unit_key": text.normalize_unit(F.col("unit")),
-        }
+            "_postal": text.null_to_empty(text.postal_code(F.col("postal_code"))),
+            "_unit": text.normalize_unit(F.col("unit")),
+        },
     )
     present = [text.empty_to_null(F.col(c)) for c in ("_name", "_type", "_dir")]
-    return clean.withColumns(
+    return tokens.withColumns(
         {
+            "postal_code": F.col("_postal"),
+            "unit_key": F.col("_unit"),
             "city_key": F.concat_ws("|", "_city", "province"),
             "street_key": F.concat_ws("|", *present),
-            "search_key": F.concat_ws(
-                "|", text.search_token(F.col("civic_number")), "_name", "_type", "_dir", "_city",
-                "province",
-            ),
+            "search_key": F.concat_ws("|", "_civic", "_name", "_type", "_dir", "_city", "province"),
         }
-    ).drop("_name", "_type", "_dir", "_city")
+    ).drop("_civic", "_name", "_type", "_dir", "_city", "_postal", "_unit")
 
 
 def with_mailing(df: DataFrame) -> DataFrame:
-    """Stored address rows with their mailing fields."""
-    return df.withColumn(
-        "mailing",
-        mailing_address(
-            F.col("civic_number"), F.col("street_name"), F.col("street_type"),
-            F.col("street_direction"), F.col("unit"), F.col("city"), F.col("province"),
-            F.col("postal_code"),
-        ),
+    """Stored address rows with their mailing fields.
+
+    Every field reads the same few parts, so these are pinned, and after them the lines made of them.
+    """
+    made = mailing_parts(
+        F.col("civic_number"), F.col("street_name"), F.col("street_type"),
+        F.col("street_direction"), F.col("unit"), F.col("city"), F.col("province"),
+        F.col("postal_code"),
     )
+    parts = {n: F.col(f"_m_{n}") for n in made}
+    staged = pin(df, {f"_m_{n}": e for n, e in made.items()})
+    joined = mailing_street(parts)
+    lines = {n: F.col(f"_m_{n}") for n in joined}
+    staged = pin(staged, {f"_m_{n}": e for n, e in joined.items()})
+    scratch = [f"_m_{n}" for n in (*parts, *lines)]
+    return staged.withColumn("mailing", mailing_lines(parts, lines)).drop(*scratch)

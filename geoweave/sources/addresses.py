@@ -11,7 +11,7 @@ from geoweave.functions import text, vocab
 from geoweave.operators.aggregates import (
     city_centroids, postal_centroids, street_ranges, street_search_rows,
 )
-from geoweave.operators.parse import standardize_addresses, with_mailing
+from geoweave.operators.parse import pin, standardize_addresses, with_mailing
 from geoweave.operators.street_blocks import BlockIndex, segments
 from geoweave.sources.store import Commit, Snapshot, snapshot
 
@@ -47,11 +47,19 @@ def _leading_number(value: Column) -> Column:
 def normalize_rows(raw: DataFrame, province: str | None = None) -> tuple[DataFrame, DataFrame]:
     """IO2, IO3: (address rows, rejected rows with their reason)."""
     headers = vocab.ADDRESS_HEADERS
-    code = _first_filled(raw, headers["province"])
-    rows = raw.select(
-        _leading_number(_first_filled(raw, headers["lat"])).alias("lat"),
-        _leading_number(_first_filled(raw, headers["lon"])).alias("lon"),
-        F.coalesce(text.province_code(code), code).alias("province"),
+    # Pinned, one after the other: each step reads the one before several times.
+    filled = pin(
+        raw,
+        {"_lat": _first_filled(raw, headers["lat"]), "_lon": _first_filled(raw, headers["lon"]),
+         "_code": _first_filled(raw, headers["province"])},
+    )
+    checked = pin(
+        filled,
+        {"_lat": _leading_number(F.col("_lat")), "_lon": _leading_number(F.col("_lon")),
+         "_code": F.coalesce(text.province_code(F.col("_code")), F.col("_code"))},
+    )
+    rows = checked.select(
+        F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), F.col("_code").alias("province"),
         *[text.null_to_empty(_first_filled(raw, headers[f])).alias(f) for f in FIELDS],
     )
     reason = (

@@ -127,3 +127,24 @@ def test_boundaries_are_replaced_in_one_step(spark, tmp_path, monkeypatch):
     B.write_features(make([("a", 9)]), root, ["b"])
     assert ids() == ["a_9"]
     assert isinstance(S.snapshot(spark, root).read("features", ["b"]), DataFrame)
+
+
+def text_rules(df: DataFrame) -> int:
+    """How many pattern replacements the planned query holds."""
+    spark, setting = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    former = spark.conf.get(setting, "25")
+    spark.conf.set(setting, "1000")
+    try:
+        return df._jdf.queryExecution().optimizedPlan().toString().lower().count("regexp_replace(")
+    finally:
+        spark.conf.set(setting, former)
+
+
+def test_parts_of_an_address_are_worked_out_once(spark):
+    columns = [F.col("id").cast("double" if c in ("lat", "lon") else "string").alias(c) for c in A.CONTENT]
+    rows = spark.range(3).repartition(2).select(*columns, F.lit(1).alias("copy_no"))
+    assert text_rules(A.address_table(rows)) < 150
+    raw = spark.range(3).repartition(2).select(
+        *[F.col("id").cast("string").alias(c) for c in ("Latitude", "Longitude", "Province", "City")]
+    )
+    assert text_rules(A.normalize_rows(raw, "ON")[1].agg(F.count(F.lit(1)))) < 10
