@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from geoweave.functions.geometry import EDGE_TOLERANCE, bounding_box, edges_contain, number
+from geoweave.functions.geometry import EDGE_TOLERANCE, bounding_box, number
 from geoweave.operators.skew import hot_keys, salted_join
 from geoweave.session import BROADCAST_MAX_ROWS, cut_lineage
 
@@ -22,6 +22,10 @@ PACKED_MAX_PER_CELL = 1_000
 MAX_BROADCAST_FEATURES = 50_000
 # Boundaries of a cell that a point meets at a time, and how many times more per round.
 PACK, PACK_GROWTH = 16, 4
+# Points per cell of an index that is made for them.
+POINTS_PER_CELL = 4
+# An odd number, more than a ring has edges.
+ON_EDGE = (1 << 30) + 1
 
 
 def spatial_index(features: DataFrame) -> DataFrame:
@@ -45,16 +49,56 @@ class CellIndex:
 
     A row holds, for one boundary and one cell, the edges that enter the cell and, per ring, the parity of
     what lies to the right of it. Where no edge enters the cell the answer is the same for the
-    whole cell, so the row is kept without rings (all inside) or dropped (all outside).
+    whole cell, so the row is kept without rings (all inside) or dropped (all outside). The rows are
+    made when they are first asked for.
     """
 
-    def __init__(self, rows: DataFrame, side: float, cells: int, edges: int, most: int, box: tuple):
-        self.rows = rows  # dataset, cx, cy, ordinal, rings (null = whole cell inside)
+    def __init__(self, features: DataFrame, side: float | None = None, points: int = 0):
+        """``features``: a written table of boundaries with their boxes; the cell size, if not given, follows from these and the number of points."""
+        self._features, self._given = features, side
+        x, y = F.col("bbox.max_x") - F.col("bbox.min_x"), F.col("bbox.max_y") - F.col("bbox.min_y")
+        area, vertices, n, *box = features.agg(
+            F.sum(x * y), F.sum(F.size(F.flatten(F.flatten("geom")))), F.count(F.lit(1)),
+            F.min("bbox.min_x"), F.min("bbox.min_y"), F.max("bbox.max_x"), F.max("bbox.max_y"),
+        ).first()
+        self.box = tuple(box) if n else (0.0, 0.0, 0.0, 0.0)
+        if side is None:
+            # A few cells per small boundary, a few edges per cell of a detailed one.
+            target = max(min(max(4 * n, (vertices or 1) // 16, MIN_CELLS), MAX_CELLS), points // POINTS_PER_CELL)
+            widest = max(self.box[2] - self.box[0], self.box[3] - self.box[1], 1e-6)
+            side = max(math.sqrt((area or 1.0) / target), widest / 4096)
         self.side = side
-        self.cells = cells
-        self.edges = edges
-        self.most_per_cell = most
-        self.box = box
+
+    def near(self, box: tuple, points: int) -> CellIndex:
+        """An index for so many points of ``box``, of the boundaries whose boxes meet it; this one, if its rows are made."""
+        if "rows" in self.__dict__:
+            return self
+        x0, y0, x1, y1 = box
+        met = (F.col("bbox.min_x") <= x1) & (F.col("bbox.max_x") >= x0) & (F.col("bbox.min_y") <= y1) & (F.col("bbox.max_y") >= y0)
+        return CellIndex(self._features.where(met), self._given, points)
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        """dataset, cx, cy, ordinal, rings (null = whole cell inside)."""
+        return cut_lineage(_cell_rows(self._features, self.side), "cells")
+
+    @cached_property
+    def _sizes(self) -> tuple:
+        edges = F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r["edges"])), F.lit(0))
+        per_cell = self.rows.groupBy("dataset", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum(edges).alias("e"))
+        return tuple(v or 0 for v in per_cell.agg(F.count(F.lit(1)), F.sum("e"), F.max("n")).first())
+
+    @property
+    def cells(self) -> int:
+        return self._sizes[0]
+
+    @property
+    def edges(self) -> int:
+        return self._sizes[1]
+
+    @property
+    def most_per_cell(self) -> int:
+        return self._sizes[2]
 
     @property
     def fits_broadcast(self) -> bool:
@@ -71,36 +115,9 @@ def _cell(value: Column, side: float) -> Column:
 
 def build_cell_index(features: DataFrame, side: float | None = None) -> CellIndex:
     """Cut boundaries (dataset, ordinal, geom) into cells; the cell size follows from their boxes."""
-    indexed = spatial_index(features)
-    stats = indexed.agg(
-        F.sum((F.col("bbox.max_x") - F.col("bbox.min_x")) * (F.col("bbox.max_y") - F.col("bbox.min_y"))),
-        F.sum(F.size(F.flatten(F.flatten("geom")))),
-        F.min("bbox.min_x"), F.min("bbox.min_y"), F.max("bbox.max_x"), F.max("bbox.max_y"),
-        F.count(F.lit(1)),
-    ).first()
-    area, vertices, features_n = stats[0] or 1.0, stats[1] or 1, stats[6]
-    box = tuple(stats)[2:6] if stats[2] is not None else (0.0, 0.0, 0.0, 0.0)
-    if side is None:
-        # A few cells per small boundary, a few edges per cell of a detailed one.
-        target = min(max(4 * features_n, vertices // 16, MIN_CELLS), MAX_CELLS)
-        side = max(math.sqrt(area / target), max(box[2] - box[0], box[3] - box[1], 1e-6) / 4096)
-
-    per_cell = _cell_rows(indexed, side)
-    rows = cut_lineage(per_cell, "cells")
-    size = (
-        rows.groupBy("dataset", "cx", "cy")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(
-                F.coalesce(
-                    F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r["edges"])), F.lit(0)
-                )
-            ).alias("e"),
-        )
-        .agg(F.count(F.lit(1)), F.sum("e"), F.max("n"))
-        .first()
-    )
-    return CellIndex(rows, side, size[0] or 0, size[1] or 0, size[2] or 0, box)
+    indexed = spatial_index(features).select("dataset", "ordinal", "geom", "bbox")
+    # Read for their sizes and cut up after that.
+    return CellIndex(cut_lineage(indexed, "boundaries"), side)
 
 
 def _edge(p: Column, q: Column, after: Column, before: Column, side: float) -> Column:
@@ -132,15 +149,17 @@ def _edge(p: Column, q: Column, after: Column, before: Column, side: float) -> C
 def _edges(indexed: DataFrame, side: float) -> DataFrame:
     """Every edge of every ring with the edges before and after it, and the columns of cells of its boundary."""
     n = F.size("coords")
+    vertices = F.transform("coords", lambda c: F.struct(number(F.get(c, 0)).alias("x"), number(F.get(c, 1)).alias("y")))
 
-    def at(i: Column) -> Column:
-        c = F.get("coords", F.pmod(i, n))
-        return F.struct(number(F.get(c, 0)).alias("x"), number(F.get(c, 1)).alias("y"))
+    def turned(by: int) -> Column:
+        """The vertex so many places after each one."""
+        first = F.lit(by) if by >= 0 else n + by
+        return F.concat(F.slice("vs", first + 1, n - first), F.slice("vs", F.lit(1), first))
 
-    around = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _edge(at(i), at(i - 1), at(i + 1), at(i - 2), side))
-    ahead = F.concat(F.slice("es", 2, n - 1), F.slice("es", 1, 1))
-    behind = F.concat(F.slice("es", n, F.lit(1)), F.slice("es", F.lit(1), n - 1))
     key = ["dataset", "ordinal", "part", "ring", "lo_cx", "hi_cx"]
+    # Edges are made of rows of vertices, as work on elements of arrays is not compiled.
+    around = ["a2", "a1", "own", "b1", "b2", "b3"]
+    a2, a1, own, b1, b2, b3 = (F.col(c) for c in around)
     return (
         indexed.select(
             "dataset", "ordinal", F.posexplode("geom").alias("part", "rings"),
@@ -148,8 +167,12 @@ def _edges(indexed: DataFrame, side: float) -> DataFrame:
         )
         .select("dataset", "ordinal", "part", F.posexplode("rings").alias("ring", "coords"), "lo_cx", "hi_cx")
         .where(n >= 3)
-        .select(*key, "coords", around.alias("es"))
-        .select(*key, F.inline(F.arrays_zip(ahead.alias("after"), F.col("es").alias("own"), behind.alias("before"))).alias("after", "own", "before"))
+        .select(*key, "coords", vertices.alias("vs"))
+        .select(*key, F.inline(F.arrays_zip(*[turned(2 - i).alias(c) for i, c in enumerate(around)])).alias(*around))
+        .select(
+            *key, _edge(a1, own, a2, b1, side).alias("after"), _edge(own, b1, a1, b2, side).alias("own"),
+            _edge(b1, b2, own, b3, side).alias("before"),
+        )
         .where("own.ok")
     )
 
@@ -215,8 +238,10 @@ def _cell_rows(indexed: DataFrame, side: float) -> DataFrame:
         .where("from < a")
         .select(*key, F.explode(F.sequence(F.col("from"), F.col("a") - 1)).alias("cx"), "cy", F.lit(1).alias("parity"))
     )
+    # Dealt out once, for both groupings below.
     rings = (
         near.unionByName(odd, allowMissingColumns=True)
+        .repartition("dataset", "cx", "cy", "ordinal")
         .groupBy(*key, "cx", "cy")
         .agg(F.collect_list("edge").alias("edges"), F.max("parity").alias("parity"))
     )
@@ -237,11 +262,21 @@ def rings_contain(rings: Column, px: Column, py: Column) -> Column:
     """Containment over rings cut to one cell: some outline holds the point and none of its holes."""
 
     def holds(ring: Column) -> Column:
-        marks = F.aggregate(
-            ring["edges"], ring["parity"],
-            lambda n, e: n + F.when(e["up1"] & (e["y1"] > py), 1).otherwise(0) + F.when(e["up2"] & (e["y2"] > py), 1).otherwise(0),
-        )
-        return edges_contain(ring["edges"], px, py, marks)
+        """SP5 in one pass over the edges: the number of those to the right, or ON_EDGE."""
+
+        def step(n: Column, e: Column) -> Column:
+            x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
+            passes = (y1 > py) != (y2 > py)
+            cross = (py - y1) * (x2 - x1) - (px - x1) * (y2 - y1)
+            on_edge = px.between(F.least(x1, x2), F.greatest(x1, x2)) & (F.abs(cross) < EDGE_TOLERANCE)
+            at = F.try_divide((x2 - x1) * (py - y1), y2 - y1 + F.lit(EDGE_TOLERANCE))
+            one = lambda c: F.when(c, 1).otherwise(0)
+            marked = n + one(e["up1"] & (y1 > py)) + one(e["up2"] & (y2 > py))
+            # At the height of its upper end an edge is reached but not passed.
+            reached = passes | (py == F.greatest(y1, y2))
+            return F.when(n >= ON_EDGE, n).when(reached, F.when(on_edge, ON_EDGE).otherwise(marked + one(passes & (px < at + x1)))).otherwise(marked)
+
+        return F.aggregate(ring["edges"], ring["parity"], step) % 2 == 1
 
     def outline(o: Column) -> Column:
         in_hole = F.exists(rings, lambda h: (h["part"] == o["part"]) & (h["ring"] > 0) & holds(h))
@@ -305,36 +340,39 @@ def assign_points(
     match and not with all boundaries that overlap there.
     """
     broadcast = index.fits_broadcast if broadcast is None else broadcast
-    located = points.withColumn("_cx", _cell(F.col("lon"), index.side)).withColumn(
-        "_cy", _cell(F.col("lat"), index.side)
-    )
-    rows = index.rows.withColumnsRenamed({"cx": "_cx", "cy": "_cy", "dataset": "_ds"})
-    keys = ["_cx", "_cy"]
-    if dataset is not None:
-        located = located.withColumn("_ds", F.col(dataset))
-        keys = ["_ds"] + keys
-    else:
-        rows = rows.drop("_ds")
+    keys = ["_cx", "_cy"] if dataset is None else ["_ds", "_cx", "_cy"]
+    renamed = {"cx": "_cx", "cy": "_cy", "dataset": "_ds"}
+
+    def placed(df: DataFrame, side: float) -> DataFrame:
+        cells = {"_cx": _cell(F.col("lon"), side), "_cy": _cell(F.col("lat"), side)}
+        return df.withColumns(cells if dataset is None else cells | {"_ds": F.col(dataset)})
 
     if broadcast:
+        rows = index.rows.withColumnsRenamed(renamed)
+        rows = rows if dataset is not None else rows.drop("_ds")
         packed = rows.groupBy(*keys).agg(
             F.collect_list(F.struct("ordinal", "rings")).alias("_c")
         )
         matching = F.filter("_c", lambda c: _holds(c, F.col("lon"), F.col("lat")))
         first = F.array_min(F.transform(matching, lambda c: c["ordinal"]))
         return (
-            located.join(F.broadcast(packed), keys, "left")
+            placed(points, index.side).join(F.broadcast(packed), keys, "left")
             .withColumn("ordinal", first)
             .drop(*keys, "_c")
         )
 
-    # Beyond the overall box nothing can match: those points skip the join.
+    # Beyond the overall box nothing can match: those points skip the join, and boundaries beyond the
+    # box of the others are not cut up.
     x0, y0, x1, y1 = index.box
     inside = F.coalesce(F.col("lon").between(x0, x1) & F.col("lat").between(y0, y1), F.lit(False))
     columns = points.columns
-    within = cut_lineage(
-        located.where(inside).withColumn("_row", F.monotonically_increasing_id()), "points"
-    )
+    within = cut_lineage(points.where(inside).withColumn("_row", F.monotonically_increasing_id()), "points")
+    n, *box = within.agg(F.count(F.lit(1)), F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    if n == 0:
+        return points.withColumn("ordinal", F.lit(None).cast("bigint"))
+    index = index.near(tuple(box), n)
+    within, rows = placed(within, index.side), index.rows.withColumnsRenamed(renamed)
+    rows = rows if dataset is not None else rows.drop("_ds")
     per_cell = within.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     hot = hot_keys(per_cell, keys, "n")
     packs = _packs(rows.join(within.select(*keys).distinct(), keys, "left_semi"), keys)
@@ -351,7 +389,7 @@ def assign_points(
             if left.isEmpty():
                 break
     first = within.join(reduce(DataFrame.unionByName, found), "_row", "left").withColumn("ordinal", F.col("_hit"))
-    outside = located.where(~inside).select(*columns, F.lit(None).cast("bigint").alias("ordinal"))
+    outside = points.where(~inside).select(*columns, F.lit(None).cast("bigint").alias("ordinal"))
     return first.select(*columns, "ordinal").unionByName(outside)
 
 

@@ -128,9 +128,10 @@ def gappy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _assemble(vertices: DataFrame) -> DataFrame:
     """Vertex rows to one MultiPolygon array per ordinal.
 
-    Each level is ordered by its number, so the result does not depend on row order.
+    Each level is ordered by its number, so the result does not depend on row order. The vertices are
+    dealt out by boundary once, for all three levels.
     """
-    ring = vertices.groupBy("ordinal", "part", "ring").agg(
+    ring = vertices.repartition("ordinal").groupBy("ordinal", "part", "ring").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("v", "lon", "lat"))),
             lambda s: F.array(s["lon"], s["lat"]),
@@ -154,7 +155,7 @@ def poly_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ordinal, geom): one boundary per customer."""
-    vertices = spark.sql(PARCEL_VERTICES_SQL, customer=table(spark, sf_dir, "customer"))
+    vertices = spark.sql(PARCEL_VERTICES_SQL, customer=spread(table(spark, sf_dir, "customer")))
     return _assemble(vertices)
 
 

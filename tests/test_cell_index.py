@@ -131,3 +131,30 @@ def test_stacked_boundaries_are_met_only_up_to_the_first_match(spark, monkeypatc
     order = lambda r: (r[0] is None, r)
     assert sorted(map(tuple, got.select("pid", "ordinal").collect()), key=order) == sorted(want, key=order)
     assert sum(met) <= len(points) + 3 * 400 // S.PACK
+
+
+def test_boundaries_far_from_all_points_are_not_cut_up(spark, monkeypatch):
+    """900 squares, points near one corner: only squares there are cut up, into cells for that many points."""
+    kept = {}
+
+    def counted(df, name):
+        out = cut(df, name)
+        kept[name] = out.count()
+        return out
+
+    cut = S.cut_lineage
+    monkeypatch.setattr(S, "cut_lineage", counted)
+    ring = lambda x, y: [[[[x, y], [x + 1.0, y], [x + 1.0, y + 1.0], [x, y + 1.0], [x, y]]]]
+    features = spark.createDataFrame([("d", 30 * i + j, ring(2.0 * i, 2.0 * j)) for i in range(30) for j in range(30)], SCHEMA)
+    pts = [(0, 0.5, 0.5), (1, 1.5, 0.5), (2, 2.0, 2.5), (2, 2.5, 0.25), (None, 3.0, 3.0), (4, -50.0, 0.5), (5, None, 0.5)]
+    points = spark.createDataFrame(pts, "pid int, lon double, lat double")
+    index = S.build_cell_index(features)
+    got = S.assign_points(points, index, broadcast=False).select("pid", "lon", "ordinal").collect()
+    want = [(0, 0.5, 0), (1, 1.5, None), (2, 2.0, 31), (2, 2.5, 30), (None, 3.0, 31), (4, -50.0, None), (5, None, None)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert kept["boundaries"] == 900
+    assert 0 < kept["cells"] < 2_000
+    # The same index takes points elsewhere, and is whole where it is asked for.
+    far = points.withColumns({"lon": F.col("lon") + 40, "lat": F.col("lat") + 40})
+    assert sorted(map(str, (r.ordinal for r in S.assign_points(far, index, broadcast=False).collect()))) == sorted(map(str, [620, None, 651, 650, 651, None, None]))
+    assert index.rows.select("ordinal").distinct().count() == 900
